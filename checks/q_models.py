@@ -93,8 +93,8 @@ def _(spark, sf):
 
 GRAPH_TOP = f"""{PROPAGATE}, {TGT}, uv AS (SELECT node AS "user", list(v ORDER BY d) AS vec FROM fin WHERE side = 'u' GROUP BY 1),
 iv AS (SELECT node AS item, list(v ORDER BY d) AS vec FROM fin WHERE side = 'i' GROUP BY 1),
-top AS MATERIALIZED (SELECT * FROM (SELECT "user", item, score, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM (
-  SELECT "user", item, round(list_dot_product(uv.vec, iv.vec), 9) AS score FROM uv CROSS JOIN iv WHERE "user" IN (SELECT "user" FROM tgt)) x
+top AS MATERIALIZED (SELECT * FROM (SELECT "user", item, score, row_number() OVER (PARTITION BY "user" ORDER BY round(score, 12) DESC, item) AS rank FROM (
+  SELECT "user", item, list_dot_product(uv.vec, iv.vec) AS score FROM uv CROSS JOIN iv WHERE "user" IN (SELECT "user" FROM tgt)) x
   WHERE NOT EXISTS (SELECT 1 FROM seen s WHERE s."user" = x."user" AND s.item = x.item)) WHERE rank <= 20)"""
 
 
@@ -109,10 +109,10 @@ def graph_top(s, spark, sf):
     return top.withColumnRenamed("query", "user")
 
 
-@query("score_dot_topk", f'WITH {GRAPH_TOP} SELECT "user", item, score, rank FROM top')
+@query("score_dot_topk", f'WITH {GRAPH_TOP} SELECT "user", item, round(score, 6) AS score, rank FROM top')
 def _(spark, sf):
     d = graph_top(I.split(spark, sf), spark, sf)
-    return d.select("user", "item", "score", F.col("rank").cast("long").alias("rank"))
+    return d.select("user", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -250,8 +250,8 @@ iv AS MATERIALIZED (SELECT item, v, pop, CAST(1e-6 AS DOUBLE) * pop / (SELECT ma
 pr AS MATERIALIZED (SELECT "user", d, avg(x) AS x FROM (SELECT s."user", generate_subscripts(v, 1) AS d, unnest(v) AS x FROM split s JOIN iv USING (item) WHERE part <> 'test') GROUP BY 1, 2),
 uv AS MATERIALIZED (SELECT "user", list(x ORDER BY d) AS v FROM pr GROUP BY 1),
 us AS (SELECT DISTINCT "user" FROM split WHERE part = 'test'),
-sc AS (SELECT us."user", iv.item, round(coalesce(list_dot_product(uv.v, iv.v), 0) + tie, 9) AS score FROM us LEFT JOIN uv USING ("user") CROSS JOIN iv),
-ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY score DESC, item) AS rank FROM sc) WHERE rank <= 20)"""
+sc AS (SELECT us."user", iv.item, coalesce(list_dot_product(uv.v, iv.v), 0) + tie AS score FROM us LEFT JOIN uv USING ("user") CROSS JOIN iv),
+ft AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY round(score, 12) DESC, item) AS rank FROM sc) WHERE rank <= 20)"""
 
 
 def fold_in(s, spark, sf):
@@ -261,18 +261,18 @@ def fold_in(s, spark, sf):
     return vs.fold_in_user_mean(users, s.filter("part <> 'test'"), items, pop, DIM)
 
 
-@query("fold_in_user_mean", f'WITH {FOLD_USER} SELECT "user", item, score, rank FROM ft')
+@query("fold_in_user_mean", f'WITH {FOLD_USER} SELECT "user", item, round(score, 6) AS score, rank FROM ft')
 def _(spark, sf):
     s = I.split(spark, sf)
     queries, items = fold_in(s, spark, sf)
     d = vs.blocked_topk(queries, items, 20)
-    return d.select(F.col("query").alias("user"), "item", "score", F.col("rank").cast("long").alias("rank"))
+    return d.select(F.col("query").alias("user"), "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 # exact and approximate vector search ------------------------------------------------------------
 SEARCH = """e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-hits AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM (
-  SELECT a.vec_id AS query, b.vec_id AS item, round(list_dot_product(a.v, b.v), 9) AS score FROM e a CROSS JOIN e b))"""
+hits AS (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY round(score, 12) DESC, item) AS rank FROM (
+  SELECT a.vec_id AS query, b.vec_id AS item, list_dot_product(a.v, b.v) AS score FROM e a CROSS JOIN e b))"""
 
 
 def search(spark, sf, k=100):
@@ -281,10 +281,10 @@ def search(spark, sf, k=100):
     return queries, items, vs.blocked_topk(queries, items, k)
 
 
-@query("vector_topk", f"WITH {SEARCH} SELECT query, item, score, rank FROM hits WHERE rank <= 100")
+@query("vector_topk", f"WITH {SEARCH} SELECT query, item, round(score, 6) AS score, rank FROM hits WHERE rank <= 100")
 def _(spark, sf):
     d = search(spark, sf)[2]
-    return d.select("query", "item", "score", F.col("rank").cast("long").alias("rank"))
+    return d.select("query", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("vector_topk_approximate_recall")

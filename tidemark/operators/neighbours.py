@@ -116,40 +116,48 @@ def costar_neighbours(
 
 
 def fill_topk(
-    scores: DataFrame, users: DataFrame, seen: DataFrame, index: DataFrame, k: int = 20
+    scores: DataFrame,
+    users: DataFrame,
+    seen: DataFrame,
+    index: DataFrame,
+    k: int = 20,
+    by: tuple[str, ...] = (),
 ) -> DataFrame:
     """Top-k over the whole catalog when every item without a row in `scores` counts 0.
 
     `scores` holds positive, unseen items. A user with fewer than `k` of them gets the lowest
     unseen item ids; these lie inside the first k + seen + scored ids, so only that prefix of
-    `index` (item, rank by id) is matched.
+    `index` (item, rank by id) is matched. `users` holds by... and user.
     """
-    w = Window.partitionBy("user").orderBy(F.round("score", 9).desc(), F.col("item"))
+    keys = [*by, "user"]
+    w = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), F.col("item"))
     top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    counts = scores.groupBy("user").agg(F.count(F.lit(1)).alias("c"))
+    counts = top.groupBy(*keys).agg(F.max("rank").alias("c"))
     seen_n = seen.groupBy("user").agg(F.count(F.lit(1)).alias("s"))
     short = (
-        users.select("user")
+        users.select(*keys)
         .distinct()
-        .join(counts, "user", "left")
+        .join(counts, keys, "left")
         .withColumn("c", F.coalesce("c", F.lit(0)))
         .filter(F.col("c") < k)
         .join(seen_n, "user", "left")
-        .select("user", "c", (F.coalesce("s", F.lit(0)) + k).alias("need"))
+        .select(*keys, "c", (F.coalesce("s", F.lit(0)) + k).alias("need"))
     )
-    taken = seen.select("user", "item").unionByName(scores.select("user", "item"))
+    # a short user has fewer than k scored items, all of them in `top`
     extra = (
-        short.select("user", "c", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("rank"))
+        short.select(*keys, "c", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("rank"))
         .withColumn("rank", F.col("rank").cast("long"))
         .join(index.select("item", "rank"), "rank")
-        .join(taken, ["user", "item"], "left_anti")
+        .drop("rank")
+        .join(seen.select("user", "item"), ["user", "item"], "left_anti")
+        .join(top.select(*keys, "item"), [*keys, "item"], "left_anti")
     )
-    w = Window.partitionBy("user").orderBy("item")
+    w = Window.partitionBy(*keys).orderBy("item")
     extra = (
         extra.withColumn("slot", F.row_number().over(w))
         .filter(F.col("slot") <= k)
         .withColumn("rank", (F.col("slot") + F.col("c")).cast("int"))
         .filter(F.col("rank") <= k)
-        .select("user", "item", F.lit(0.0).alias("score"), "rank")
+        .select(*keys, "item", F.lit(0.0).alias("score"), "rank")
     )
-    return top.select("user", "item", "score", "rank").unionByName(extra)
+    return top.select(*keys, "item", "score", "rank").unionByName(extra)

@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.vectors import dot, mean_vector
-from tidemark.scale import cut
+from tidemark.functions.vectors import dot, mean_vector, sum_vector
 
 BLOCK = 20_000  # vectors per block side
 TILE_CELLS = 8_000_000  # scores held at once inside a task
+DIGITS = 12  # scores equal to this many decimals are ties
 
 
 def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
@@ -24,6 +24,10 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
     return pairs.join(u, "user").join(i, "item").withColumn("score", dot(F.col("_u"), F.col("_i"))).drop("_u", "_i")
 
 
+def _by_score() -> list[Column]:
+    return [F.round("score", DIGITS).desc(), F.col("item")]
+
+
 def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the `keep` largest finite scores per row, earlier columns win ties."""
     m = scores.shape[1]
@@ -115,20 +119,20 @@ def blocked_topk(
         gone_q, gone_i = gone_q[known], gone_i[known]
         by_row = np.argsort(gone_q, kind="stable")
         gone_q, gone_i = gone_q[by_row], gone_i[by_row]
-        rank_of = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+        by_id = np.argsort(ids, kind="stable")
         step = max(1, TILE_CELLS // len(v))
         out = []
         for a in range(0, len(names), step):
-            s = np.round(left_m[a : a + step] @ right_m.T, 9)
+            raw = left_m[a : a + step] @ right_m.T
+            s = np.round(raw, DIGITS)
             lo, hi = np.searchsorted(gone_q, [a, a + step])
             s[gone_q[lo:hi] - a, gone_i[lo:hi]] = -np.inf
             if owner_cap:
                 s = _owner_best(s, v["owner"].to_numpy(), owner_cap)
-                s = s[:, np.argsort(rank_of)]
-            rows, cols = _best(s, k)
-            picked = np.argsort(rank_of)[cols] if owner_cap else cols
+            rows, cols = _best(s[:, by_id], k)
+            cols = by_id[cols]
             out.append(
-                pd.DataFrame({"query": names[a + rows], "item": ids[picked], "score": s[rows, cols]})
+                pd.DataFrame({"query": names[a + rows], "item": ids[cols], "score": raw[rows, cols]})
             )
         return pd.concat(out) if out else empty
 
@@ -140,10 +144,10 @@ def blocked_topk(
     )
     if owner_cap:
         owners = items.select("item", "owner")
-        w = Window.partitionBy("query", "owner").orderBy(F.col("score").desc(), F.col("item"))
+        w = Window.partitionBy("query", "owner").orderBy(*_by_score())
         found = found.join(owners, "item").withColumn("_o", F.row_number().over(w))
         found = found.filter(F.col("_o") <= owner_cap).drop("_o", "owner")
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("item"))
+    w = Window.partitionBy("query").orderBy(*_by_score())
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -208,8 +212,6 @@ def history_mean(
 
 def history_mean_without(pairs: DataFrame, items: DataFrame, dim: int) -> DataFrame:
     """(user, item, vec): mean vector of the user's other items, for every pair."""
-    from tidemark.functions.vectors import sum_vector
-
     joined = pairs.select("user", "item").join(items.select("item", "vec"), "item")
     sums = joined.groupBy("user").agg(
         F.count(F.lit(1)).alias("n"), sum_vector("vec", dim).alias("total")
@@ -276,6 +278,6 @@ def lsh_topk(queries: DataFrame, items: DataFrame, k: int, tables: int = 8, widt
         return hashed.withColumn("h", vector_to_array("h"))
 
     pairs = keyed(q, "query").join(keyed(v, "item"), ["t", "h"]).dropDuplicates(["query", "item"])
-    scored = pairs.select("query", "item", F.round(dot(F.col("query_vec"), F.col("item_vec")), 9).alias("score"))
-    w = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("item"))
+    scored = pairs.select("query", "item", dot(F.col("query_vec"), F.col("item_vec")).alias("score"))
+    w = Window.partitionBy("query").orderBy(*_by_score())
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
