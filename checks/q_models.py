@@ -11,9 +11,9 @@ from tidemark.operators import evaluation as ev
 from tidemark.operators import graph as gr
 from tidemark.operators import interactions as ia
 from tidemark.operators import popularity as pp
+from tidemark.operators import textvectors as tv
 from tidemark.operators import training as tr
 from tidemark.operators import vectorscore as vs
-from tidemark.operators.split import recent_history
 from tidemark.scale import cut
 
 DIM = 64
@@ -291,3 +291,13 @@ def _(spark, sf):
 def vector_recall(spark, sf):
     queries, items, exact = search(spark, sf)
     return vs.vector_recall(vs.lsh_topk(queries, items, 100), exact)
+
+
+@query("text_vectors")
+def text_vectors(spark, sf):
+    """Vectors of half of the documents are stored; only the other texts are computed."""
+    docs = I.table(spark, sf, "documents")
+    model = tv.fit_text_model(docs)
+    stored = cut(tv.text_vectors(docs.filter("doc_id % 2 = 0"), model), "stored")
+    new = tv.text_vectors(docs, model, stored)
+    return stored.unionByName(new).select("key", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x), 4).alias("squares"))

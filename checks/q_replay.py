@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import inputs as I
+from checks.q_statistics import boot_sql, interval_sql, rounded
 from checks.registry import query
 from tidemark.functions import labels as lf
 from tidemark.operators import issues as iss
 from tidemark.operators import replay as rp
 from tidemark.operators import vectorscore as vs
 from tidemark.operators.bootstrap import paired_intervals
+from tidemark.operators.recommend import zscore
 from tidemark.scale import cut
 
 DIM = 64
@@ -155,8 +158,6 @@ def per_user(spark, sf, window):
     )
     top = vs.blocked_topk(users, catalog_vec, 20).withColumnRenamed("query", "user")
     best = vec.orderBy(F.col("tie").desc(), "item").limit(20)
-    from pyspark.sql.window import Window
-
     w = Window.orderBy(F.col("tie").desc(), "item")  # 20 rows
     best = best.select("item", F.row_number().over(w).alias("rank"), F.lit(1).alias("one"))
     popular = queries.select("user", F.lit(1).alias("one")).join(F.broadcast(best), "one")
@@ -217,9 +218,6 @@ def _(spark, sf):
     return d.withColumns({m: F.round(m, 6) for m in METRICS})
 
 
-from checks.q_statistics import boot_sql, interval_sql, rounded  # noqa: E402
-
-
 @query(
     "replay_cis",
     f"""WITH {PER_USER}, val AS MATERIALIZED (SELECT cohort, model AS series, "user", ndcg AS value FROM pu), {boot_sql('val', 'cohort')},
@@ -234,7 +232,7 @@ def _(spark, sf):
 
 # serving ladder -----------------------------------------------------------------------------------
 def ladder_sql(tag: str) -> str:
-    ks = ", ".join(f"({k})" for k in rp.LADDER_K)
+    ks = ", ".join(f"(CAST({k} AS BIGINT))" for k in rp.LADDER_K)
     bs = ", ".join(f"(CAST({b} AS DOUBLE))" for b in rp.LADDER_BETA)
     return f"""z_{tag} AS (SELECT *, (sm - avg(sm) OVER u) / (stddev_pop(sm) OVER u + 1e-9) AS zm, (st - avg(st) OVER u) / (stddev_pop(st) OVER u + 1e-9) AS zt
   FROM sc_{tag} WINDOW u AS (PARTITION BY "user")),
@@ -449,6 +447,39 @@ def tune_issue_weights(spark, sf):
     return d.withColumn("mrr", F.round("mrr", 6))
 
 
+def tuned_report_sql() -> str:
+    """Rankers on both cohorts with the weights that won on the first one."""
+    base = tune_sql().rsplit("SELECT config,", 1)[0]
+    return f"""{base.rstrip()}, bw AS (SELECT wd, ws, wr, hl FROM m JOIN g USING (config) ORDER BY round(mrr, 9) DESC, config DESC LIMIT 1),
+  sx AS (SELECT u.*, CASE WHEN t < {SPLIT_T} THEN 'tune' ELSE 'report' END AS cohort, {score_sql(iss.WEIGHTS_NOW, 'u')} AS s_now, round(wd * diff + ws * skill + wr * exp(-age / hl), 9) AS s_best FROM u, bw),
+  rx AS (SELECT *, row_number() OVER (PARTITION BY "case" ORDER BY s_now DESC, created DESC, number DESC) AS r_now, row_number() OVER (PARTITION BY "case" ORDER BY s_best DESC, created DESC, number DESC) AS r_best,
+    row_number() OVER (PARTITION BY "case" ORDER BY created DESC, number DESC) AS r_new FROM sx),
+  lx AS (SELECT cohort, "case", min(r_now) AS r_now, min(r_best) AS r_best, min(r_new) AS r_new FROM rx WHERE is_linked GROUP BY 1, 2),
+  val AS MATERIALIZED (SELECT cohort, 'weights in service' AS series, "case" AS "user", 1.0 / r_now AS value FROM lx UNION ALL SELECT cohort, 'tuned', "case", 1.0 / r_best FROM lx UNION ALL SELECT cohort, 'newest', "case", 1.0 / r_new FROM lx)"""
+
+
+@query(
+    "tuned_issue_report",
+    f"""WITH {tuned_report_sql()}, {boot_sql('val', 'cohort')}, pr AS (SELECT DISTINCT cohort, 'tuned' AS a, x AS b FROM val, (VALUES ('newest'), ('weights in service')) v(x)), {interval_sql('cohort', 'pr')} SELECT * FROM pci""",
+)
+def _(spark, sf):
+    u = usable(spark, sf)
+    best = iss.tune_weights(u.filter(F.col("t") < SPLIT_T)).filter("best").first()["config"]
+    weights = {"weights in service": iss.WEIGHTS_NOW, "tuned": iss.weight_grid()[best]}
+    cohort = F.when(F.col("t") < SPLIT_T, "tune").otherwise("report")
+    cases = u.select("case", cohort.alias("cohort")).distinct()
+    frames = [(n, iss.rank_eval(u.withColumn("score", iss.issue_score(w)))) for n, w in weights.items()]
+    frames.append(("newest", iss.newest_eval(u)))
+    out = None
+    for name, d in frames:
+        d = d.select("case", F.lit(name).alias("series"), F.col("rr").alias("value"))
+        out = d if out is None else out.unionByName(d)
+    v = cut(out.join(cases, "case").withColumnRenamed("case", "user"), "values")
+    against = F.explode(F.array(F.lit("newest"), F.lit("weights in service"))).alias("b")
+    pairs = v.select("cohort", F.lit("tuned").alias("a")).distinct().select("cohort", "a", against)
+    return rounded(paired_intervals(v, pairs, ["cohort"], 200))
+
+
 PRS = f"""c AS (SELECT DISTINCT o_custkey AS "user", o_custkey % 40 AS repo_id, CAST(epoch(o_orderdate) AS BIGINT) AS pr_ts FROM orders),
 p AS (SELECT o_custkey AS "user", o_custkey % 40 AS repo_id, CAST(epoch(l_shipdate) AS BIGINT) AS created, CASE WHEN l_returnflag = 'N' THEN [] ELSE list_sort([l_partkey, l_suppkey]) END AS issues {LINES})"""
 
@@ -509,8 +540,6 @@ def _(spark, sf):
     SELECT "user", item, round((x - avg(x) OVER u) / (stddev_pop(x) OVER u + 1e-9), 6) + 0.0 AS z FROM v WINDOW u AS (PARTITION BY "user")""",
 )
 def _(spark, sf):
-    from tidemark.operators.recommend import zscore
-
     v = I.table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("user"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), F.col("l_extendedprice").alias("x")
     )

@@ -109,4 +109,5 @@ def difficulty_match(issue: Column, target: Column) -> Column:
 
 def age_days(ts: Column, now: Column) -> Column:
     """Days between two epoch-second columns, never negative; 365 when the date is missing."""
-    return F.coalesce(F.greatest(F.lit(0.0), (now - ts) / 86_400.0), F.lit(365.0))
+    days = F.greatest(F.lit(0.0), (now - ts) / 86_400.0)  # greatest skips nulls, hence the test
+    return F.when(ts.isNull(), 365.0).otherwise(days)

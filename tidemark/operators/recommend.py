@@ -458,7 +458,7 @@ def star_activity(stars: DataFrame, today: str, days: int = 182) -> DataFrame:
 
     `stars`: user, starred_at (text).
     """
-    day = F.try_to_date(F.substring("starred_at", 1, 10), F.lit("yyyy-MM-dd"))
+    day = F.try_to_date(F.substring("starred_at", 1, 10), "yyyy-MM-dd")
     age = F.datediff(F.lit(today).cast("date"), F.col("day"))
     return (
         stars.select("user", day.alias("day"))
