@@ -301,13 +301,12 @@ def full_top(scores: str) -> str:
 def knn_top(s, context_parts=("train",), mode="test"):
     """Masked full-catalog top 20 of the fitted neighbour model."""
     train = s.filter("part = 'train'")
-    scores = nb.itemknn_score(
-        s.filter(F.col("part").isin(list(context_parts))), nb.itemknn_fit(train)
-    )
     targets, seen = ev.targets_of(s, mode), ev.seen_of(s, mode)
+    scores = nb.unseen_scores(
+        s.filter(F.col("part").isin(list(context_parts))), nb.itemknn_fit(train), targets, seen
+    )
     index = ia.id_map(s, "item").select(F.col("raw_id").alias("item"), F.col("item").alias("rank"))
-    masked = cut(ev.mask_seen(scores, s, mode), "scores")
-    return cut(nb.fill_topk(masked, targets, seen, index), "top")
+    return cut(nb.fill_topk(scores, targets, seen, index), "top")
 
 
 @query(

@@ -297,7 +297,8 @@ ISSUE_LABELS = """CASE o_orderpriority WHEN '1-URGENT' THEN ['good first issue',
   WHEN '3-MEDIUM' THEN ['hard', 'ci/test'] WHEN '4-NOT SPECIFIED' THEN ['enhancement'] ELSE ['Easy', 'sql', 'docs'] END"""
 ISSUES = f"""iss AS (SELECT l_suppkey AS repo_id, l_orderkey * 10 + l_linenumber AS number, CAST(epoch(o_orderdate) AS BIGINT) AS created,
   CASE WHEN l_returnflag <> 'N' THEN CAST(epoch(l_shipdate) AS BIGINT) ELSE CAST(epoch(l_shipdate) AS BIGINT) + 7776000 END AS closed, {ISSUE_LABELS} AS labels {LINES}),
-cases AS (SELECT l_suppkey AS repo_id, l_orderkey * 10 + l_linenumber AS "case", o_custkey AS "user", CAST(epoch(l_shipdate) AS BIGINT) - 43200 AS t {LINES} WHERE l_linenumber = 1 AND l_returnflag = 'R')"""
+cases AS (SELECT l_suppkey AS repo_id, l_orderkey * 10 + l_linenumber AS "case", o_custkey AS "user", CAST(epoch(l_shipdate) AS BIGINT) - 43200 AS t {LINES} WHERE l_linenumber = 1 AND l_returnflag = 'R'
+  QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_suppkey) = 1)"""
 OPEN = f"""{ISSUES}, op AS MATERIALIZED (SELECT c."case", c."user", c.repo_id, c.t, i.number, i.created, i.closed, i.labels, i.number = c."case" AS is_linked
   FROM cases c JOIN iss i ON i.repo_id = c.repo_id AND i.created < c.t AND (i.closed IS NULL OR i.closed > c.t))"""
 
@@ -323,15 +324,18 @@ def issue_tables(spark, sf):
         F.when(F.col("l_returnflag") != "N", shipped).otherwise(shipped + 7_776_000).alias("closed"),
         labels.alias("labels"),
     )
-    cases = base.filter("l_linenumber = 1 AND l_returnflag = 'R'").select(
-        F.col("l_suppkey").alias("repo_id"), number.alias("case"), F.col("o_custkey").alias("user"), (shipped - 43_200).alias("t")
+    cases = (
+        base.filter("l_linenumber = 1 AND l_returnflag = 'R'")
+        .groupBy(number.alias("case"), F.col("o_custkey").alias("user"))
+        .agg(F.min(F.struct((shipped - 43_200).alias("t"), F.col("l_suppkey").alias("repo_id"))).alias("f"))
+        .select("f.repo_id", "case", "user", "f.t")
     )
     return issues, cases
 
 
 def candidates(spark, sf):
     issues, cases = issue_tables(spark, sf)
-    return iss.open_at(cases, issues).withColumn("is_linked", F.col("number") == F.col("case"))
+    return iss.open_at(cases, iss.label_features(issues)).withColumn("is_linked", F.col("number") == F.col("case"))
 
 
 @query("open_issues_at", f'WITH {OPEN} SELECT "case", "user", repo_id, t, number, created, is_linked FROM op')
@@ -365,7 +369,8 @@ def featured(spark, sf):
         F.col("s_suppkey").alias("repo_id"), F.when(n == 0, "Building").when(n == 1, "SQL").otherwise("").alias("language")
     )
     joined = candidates(spark, sf).join(users, "user").join(repos, "repo_id")
-    return iss.issue_features(joined)
+    columns = ("case", "t", "number", "created", "is_linked", "diff", "skill", "age")
+    return iss.issue_features(joined).select(*columns)
 
 
 @query(

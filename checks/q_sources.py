@@ -143,7 +143,7 @@ def _(spark, sf):
     used = tb.month_usage(ledger, "1997-05").first()["used"]
     asked = o.select("o_orderkey", price.alias("n"))
     d = tb.admission(asked, F.lit(used), 400_000, used + 200_000)
-    return d.select("o_orderkey", F.lit(used).alias("used"), "verdict")
+    return d.select("o_orderkey", F.lit(used).cast("long").alias("used"), "verdict")
 
 
 @query(

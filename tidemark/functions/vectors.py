@@ -38,4 +38,6 @@ def sum_vector(column: str, dim: int, weight: Column | None = None) -> Column:
 
 
 def mean_vector(column: str, dim: int) -> Column:
-    return F.array(*[F.avg(F.col(column)[i].cast("double")) for i in range(dim)])
+    """Aggregate: element-wise mean of a vector column without nulls."""
+    n = F.count(F.lit(1))
+    return F.array(*[F.sum(F.col(column)[i].cast("double")) / n for i in range(dim)])

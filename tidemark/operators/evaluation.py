@@ -30,9 +30,14 @@ def mask_seen(scores: DataFrame, split: DataFrame, mode: str) -> DataFrame:
     )
 
 
+def comparable(score: Column | str, digits: int = 9) -> Column:
+    """Score on a grid of `digits` decimals: what counts as equal when lists are ordered."""
+    return F.rint((F.col(score) if isinstance(score, str) else score) * float(10**digits))
+
+
 def topk(scores: DataFrame, k: int = K, by: tuple[str, ...] = ("user",)) -> DataFrame:
     """Best `k` rows per group by score, ties by item; `rank` starts at 1."""
-    w = Window.partitionBy(*by).orderBy(F.round("score", 9).desc(), F.col("item"))
+    w = Window.partitionBy(*by).orderBy(comparable("score").desc(), F.col("item"))
     return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.evaluation import comparable
+from tidemark.scale import cut
+
 SLICE = 512  # items of one user handled together
 
 
@@ -107,6 +110,28 @@ def itemknn_score(context: DataFrame, sims: DataFrame, by: tuple[str, ...] = ())
     )
 
 
+def unseen_scores(
+    context: DataFrame, sims: DataFrame, users: DataFrame, seen: DataFrame
+) -> DataFrame:
+    """`itemknn_score` for `users` without their seen items.
+
+    Seen pairs join the stream as markers, so that summing and masking are one aggregate on
+    (user, item) instead of an aggregate followed by an anti join.
+    """
+    users = users.select("user").distinct()
+    held = context.select("user", F.col("item").alias("neighbour")).distinct()
+    parts = (
+        held.join(users, "user", "left_semi")
+        .join(sims.select("item", "neighbour", "sim"), "neighbour")
+        .select("user", "item", "sim")
+    )
+    markers = seen.join(users, "user", "left_semi").select("user", "item", F.lit(None).cast("double").alias("sim"))
+    sums = parts.unionByName(markers).groupBy("user", "item").agg(
+        F.sum("sim").alias("score"), F.count_if(F.col("sim").isNull()).alias("seen")
+    )
+    return sums.filter(F.col("seen") == 0).drop("seen")
+
+
 def costar_neighbours(
     pairs: DataFrame, k: int = 10, shrink: float = 30.0, min_shared: int = 2
 ) -> DataFrame:
@@ -130,8 +155,9 @@ def fill_topk(
     `index` (item, rank by id) is matched. `users` holds by... and user.
     """
     keys = [*by, "user"]
-    w = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), F.col("item"))
+    w = Window.partitionBy(*keys).orderBy(comparable("score").desc(), F.col("item"))
     top = scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    top = cut(top.select(*keys, "item", "score", "rank"), "top")  # read four times below
     counts = top.groupBy(*keys).agg(F.max("rank").alias("c"))
     seen_n = seen.groupBy("user").agg(F.count(F.lit(1)).alias("s"))
     short = (

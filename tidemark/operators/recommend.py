@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.labels import age_days, difficulty_match, target_difficulty
 from tidemark.functions.text import tokens
 from tidemark.functions.vectors import dot, mean_vector, normalised
+from tidemark.operators.evaluation import comparable
 from tidemark.operators.vectorscore import blocked_topk, history_mean, moments, standardised
 from tidemark.scale import cut
 
@@ -120,7 +121,7 @@ def pick_issues(
     rows = picks.join(facts, "repo_id").join(issues, "repo_id")
     scored = rows.withColumn("matched", matched).withColumn("issue_score", score)
     w = Window.partitionBy("user", "repo_id").orderBy(
-        F.round("issue_score", 9).desc(), F.col("number").desc()
+        comparable("issue_score").desc(), F.col("number").desc()
     )
     return scored.withColumn("issue_rank", F.row_number().over(w)).filter(F.col("issue_rank") <= n)
 
@@ -135,13 +136,13 @@ def select_diverse(ranked: DataFrame, n: int = N_REPOS) -> DataFrame:
 
     `ranked`: user, repo_id, owner, starred, score.
     """
-    order = [F.round("score", 9).desc(), F.col("repo_id")]
+    order = [comparable("score").desc(), F.col("repo_id")]
     w = Window.partitionBy("user", "owner", "starred").orderBy(*order)
     few = ranked.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= MAX_PER_OWNER)
     w = Window.partitionBy("user", "starred").orderBy(*order)
     few = few.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= REACH)
     row = F.struct(
-        (-F.round("score", 9)).alias("o"), F.col("repo_id"), F.col("score"), F.col("owner"), F.col("starred")
+        (-comparable("score")).alias("o"), F.col("repo_id"), F.col("score"), F.col("owner"), F.col("starred")
     )
     lists = few.groupBy("user").agg(F.array_sort(F.collect_list(row)).alias("rows"))
     kind = few.select(row.alias("r")).schema["r"].dataType.simpleString()
@@ -403,7 +404,7 @@ def recommend_from_profile(
             + 0.2 * F.least(F.coalesce("n_skills", F.lit(0)), F.lit(3)) / 3.0,
         )
     )
-    order = [F.round("score", 9).desc(), F.col("item")]
+    order = [comparable("score").desc(), F.col("item")]
     w = Window.partitionBy("query", "owner").orderBy(*order)
     capped = scored.withColumn("_o", F.row_number().over(w)).filter(F.col("_o") <= MAX_PER_OWNER)
     w = Window.partitionBy("query").orderBy(*order)
@@ -448,7 +449,7 @@ def new_projects(
         .join(fresh.select("repo_id", "created", "n_issues"), "repo_id")
     )
     score = F.size("overlap") + 2 * F.col("lang") + F.exp(-age_days(F.col("created"), now) / 60.0)
-    w = Window.partitionBy("user").orderBy(F.round("score", 9).desc(), F.col("repo_id").desc())
+    w = Window.partitionBy("user").orderBy(comparable("score").desc(), F.col("repo_id").desc())
     best = rows.withColumn("score", score).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
     return best.filter(F.col("n_issues") > 0).select("user", "repo_id", "score", "overlap", "rank")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.eventlog import KINDS
-from tidemark.operators.evaluation import gain
+from tidemark.operators.evaluation import comparable, gain
 from tidemark.operators.vectorscore import moments, standardised
 from tidemark.scale import cut
 
@@ -261,7 +261,7 @@ def choose_rung(per_user: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("cohort") == "tune", F.col("ndcg"))).alias("tune_ndcg"),
         F.avg(F.when(F.col("cohort") == "report", F.col("ndcg"))).alias("report_ndcg"),
     )
-    order = Window.partitionBy(F.lit(1)).orderBy(F.round("tune_ndcg", 9).desc(), "k", "beta")
+    order = Window.partitionBy(F.lit(1)).orderBy(comparable("tune_ndcg").desc(), "k", "beta")
     ranked = table.withColumn("place", F.row_number().over(order))
     now = (F.col("k") == LADDER_NOW[0]) & (F.col("beta") == LADDER_NOW[1])
     return (

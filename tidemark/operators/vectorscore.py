@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.vectors import dot, mean_vector, sum_vector
+from tidemark.operators.evaluation import comparable
 
 BLOCK = 20_000  # vectors per block side
+MIN_BLOCK = 256
 TILE_CELLS = 8_000_000  # scores held at once inside a task
 DIGITS = 12  # scores equal to this many decimals are ties
 
@@ -25,7 +27,7 @@ def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFra
 
 
 def _by_score() -> list[Column]:
-    return [F.round("score", DIGITS).desc(), F.col("item")]
+    return [comparable("score", DIGITS).desc(), F.col("item")]
 
 
 def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,18 +45,31 @@ def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     return rows[ok], cols[ok]
 
 
-def _owner_best(scores: np.ndarray, owners: np.ndarray, cap: int) -> np.ndarray:
-    """Scores with everything but the `cap` best columns of each owner set to -inf.
+def _owner_best(
+    scores: np.ndarray, owners: np.ndarray, ids: np.ndarray, cap: int, keep: int
+) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the `keep` largest finite scores per row with at most `cap` per owner.
 
-    Columns are ordered by owner; ties inside an owner go to the earlier column.
+    Columns are ordered by owner, then id; ties go to the lower id. Uses `scores` up.
     """
-    out = np.full_like(scores, -np.inf)
+    every = np.arange(len(scores))
     starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
+    rows, cols, values = [], [], []
     for a, b in zip(starts, np.r_[starts[1:], len(owners)], strict=True):
         part = scores[:, a:b]
-        rows, cols = _best(part, cap)
-        out[rows, a + cols] = part[rows, cols]
-    return out
+        for _ in range(min(cap, b - a)):
+            at = part.argmax(axis=1)
+            value = part[every, at]
+            ok = np.isfinite(value)
+            rows.append(every[ok])
+            cols.append(a + at[ok])
+            values.append(value[ok])
+            part[every, at] = -np.inf
+    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
+    order = np.lexsort((ids[cols], -values, rows))
+    rows, cols = rows[order], cols[order]
+    ok = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < keep
+    return rows[ok], cols[ok]
 
 
 def blocked_topk(
@@ -73,8 +88,11 @@ def blocked_topk(
     query (with `owner_cap`, at most that many per owner). A last pass merges the block winners.
     Counts both inputs to choose the number of blocks.
     """
-    n_q = max(1, -(-queries.count() // block))
-    n_i = max(1, -(-items.count() // block))
+    rows_q, rows_i = max(1, queries.count()), max(1, items.count())
+    # small inputs: smaller blocks, so that every core gets a few of them
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    block = max(MIN_BLOCK, min(block, int((rows_q * rows_i / (4 * cores)) ** 0.5)))
+    n_q, n_i = -(-rows_q // block), -(-rows_i // block)
     all_q, all_i = [F.sequence(F.lit(0), F.lit(n - 1)) for n in (n_q, n_i)]
 
     def part(column: str, n: int) -> Column:
@@ -119,7 +137,7 @@ def blocked_topk(
         gone_q, gone_i = gone_q[known], gone_i[known]
         by_row = np.argsort(gone_q, kind="stable")
         gone_q, gone_i = gone_q[by_row], gone_i[by_row]
-        by_id = np.argsort(ids, kind="stable")
+        owners = v["owner"].to_numpy()
         step = max(1, TILE_CELLS // len(v))
         out = []
         for a in range(0, len(names), step):
@@ -128,15 +146,17 @@ def blocked_topk(
             lo, hi = np.searchsorted(gone_q, [a, a + step])
             s[gone_q[lo:hi] - a, gone_i[lo:hi]] = -np.inf
             if owner_cap:
-                s = _owner_best(s, v["owner"].to_numpy(), owner_cap)
-            rows, cols = _best(s[:, by_id], k)
-            cols = by_id[cols]
+                rows, cols = _owner_best(s, owners, ids, owner_cap, k)
+            else:
+                rows, cols = _best(s, k)
             out.append(
                 pd.DataFrame({"query": names[a + rows], "item": ids[cols], "score": raw[rows, cols]})
             )
         return pd.concat(out) if out else empty
 
     kinds = (queries.schema["query"].dataType.simpleString(), items.schema["item"].dataType.simpleString())
+    parts = min(n_q * n_i, 100_000)
+    left, right = [d.repartition(parts, "qb", "ib") for d in (left, right)]
     found = (
         left.groupBy("qb", "ib")
         .cogroup(right.groupBy("qb", "ib"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 # Settings that matter for skewed keys and large shuffles. They are plain Spark options, so a
@@ -14,11 +16,13 @@ RECOMMENDED = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",  # one core per task
 }
 
 
 def local_session(name: str = "tidemark", cores: str = "*", **conf: str) -> SparkSession:
     """A single-JVM session for tests and benchmarks."""
+    os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")  # local workers inherit the environment
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(name)
