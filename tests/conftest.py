@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -12,7 +13,11 @@ from tidemark import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("tests", "4", **{"spark.sql.shuffle.partitions": "4"})
+    conf = {
+        "spark.sql.shuffle.partitions": "4",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tidemark-tests-"),
+    }
+    return local_session("tests", "4", **conf)
 
 
 @pytest.fixture(scope="session")

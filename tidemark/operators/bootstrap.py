@@ -138,7 +138,7 @@ def paired_intervals(
             *by,
             "a",
             "b",
-            (F.col("_a") - F.col("_b")).alias("diff"),
+            F.round(F.col("_a") - F.col("_b"), 12).alias("diff"),
             F.col("q")[0].alias("ci_low"),
             F.col("q")[1].alias("ci_high"),
             "p_not_positive",
