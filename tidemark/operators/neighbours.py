@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.evaluation import comparable
-from tidemark.scale import cut
+from tidemark.scale import count_up, cut
 
 SLICE = 512  # items of one user handled together
 
@@ -171,8 +171,8 @@ def fill_topk(
     )
     # a short user has fewer than k scored items, all of them in `top`
     extra = (
-        short.select(*keys, "c", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("rank"))
-        .withColumn("rank", F.col("rank").cast("long"))
+        count_up(short, "need", "rank")
+        .select(*keys, "c", "rank")
         .join(index.select("item", "rank"), "rank")
         .drop("rank")
         .join(seen.select("user", "item"), ["user", "item"], "left_anti")

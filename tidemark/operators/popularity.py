@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.scale import global_index
+from tidemark.scale import count_up, global_index
 
 HEAD_PREFIX = 2_000  # ranks held in a broadcast table; deeper ranks are joined by shuffle
 
@@ -50,8 +50,7 @@ def popularity_topk(users: DataFrame, seen: DataFrame, ranked: DataFrame, k: int
         .join(seen.groupBy("user").agg(F.count(F.lit(1)).alias("s")), "user", "left")
         .select("user", (F.coalesce("s", F.lit(0)) + k).alias("need"))
     )
-    slots = need.select("user", F.explode(F.sequence(F.lit(0), F.col("need") - 1)).alias("rank"))
-    slots = slots.withColumn("rank", F.col("rank").cast("long"))
+    slots = count_up(need, "need", "rank").select("user", "rank")
     head = F.broadcast(ranked.filter(F.col("rank") < HEAD_PREFIX))
     tail = ranked.filter(F.col("rank") >= HEAD_PREFIX)
     found = slots.filter(F.col("rank") < HEAD_PREFIX).join(head, "rank").unionByName(

@@ -13,7 +13,7 @@ from tidemark.functions.text import tokens
 from tidemark.functions.vectors import dot, mean_vector, normalised
 from tidemark.operators.evaluation import comparable
 from tidemark.operators.vectorscore import blocked_topk, history_mean, moments, standardised
-from tidemark.scale import cut
+from tidemark.scale import cut, short_list
 
 # fixed values: list sizes, caps and weights of the ranking
 N_REPOS, N_ISSUES, N_NEW = 10, 3, 3
@@ -236,7 +236,7 @@ def history_scores(
     t_stats = moments(catalog.select(F.col("text_vec").alias("vec")), dim)
     zm = standardised(model.select("user", "vec"), m_stats).select("user", F.col("zvec").alias("zm"), F.col("offset").alias("om"))
     zt = standardised(text, t_stats).select("user", F.col("zvec").alias("zt"), F.col("offset").alias("ot"))
-    names = sorted({(r[0] or "").lower() for r in catalog.select("language").distinct().collect()} - {""})
+    names = short_list(catalog.select(F.nullif(F.lower("language"), F.lit("")).alias("language")), "language")
     spots = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     spoken = languages.groupBy("user").agg(F.collect_set(F.lower("language")).alias("langs"))
     zero = F.array_repeat(F.lit(0.0), dim)
@@ -359,7 +359,7 @@ def recommend_from_profile(
     stats = moments(catalog.select(F.col("text_vec").alias("vec")), dim)
     zi = standardised(wished, stats).select(F.col("user").alias("profile"), "zvec", "offset")
     c = catalog.agg(F.avg("contrib").alias("m"), F.stddev_pop("contrib").alias("s")).first()
-    names = sorted({r[0] for r in catalog.select("language").distinct().collect()} - {""})
+    names = short_list(catalog.filter("language <> ''"), "language")
     spots = F.array(*[F.lit(x) for x in names]) if names else none
     zero = F.array_repeat(F.lit(0.0), dim)
     langs = lowered("languages")

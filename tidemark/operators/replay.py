@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.eventlog import KINDS
 from tidemark.operators.evaluation import comparable, gain
 from tidemark.operators.vectorscore import moments, standardised
-from tidemark.scale import cut
+from tidemark.scale import cut, short_list
 
 # fixed values: serving ladder candidates; the weight on the model is min(1, items / k)
 LADDER_K = (1, 2, 3, 5, 10, 20, 10**9)
@@ -162,7 +162,7 @@ def ladder_queries(
     of the profile. `catalog`: item, model_vec, text_vec, language, tie.
     """
     spark = queries.sparkSession
-    names = sorted(r[0] for r in catalog.select("language").distinct().collect() if r[0])
+    names = short_list(catalog.filter("language <> ''"), "language")
     spots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
 
     def with_tie(column: str) -> Column:

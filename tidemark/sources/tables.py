@@ -6,10 +6,11 @@ from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from tidemark.operators.interactions import first_rating
 from tidemark.operators.split import PARTS
+from tidemark.scale import ordinal
 
 # fixed value: column names and types of an exported interaction file
 EXPORT_HEADER = ("user_id:token", "item_id:token", "timestamp:float")
@@ -83,12 +84,10 @@ def atomic_rows(split: DataFrame) -> DataFrame:
     sizes = split.groupBy("user").agg(
         *[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in PARTS[:2]]
     )
-    w = Window.partitionBy("user", "part").orderBy("item")
-    later = (
-        split.filter(F.col("part") != "train")
-        .select("user", "item", "part")
-        .withColumn("place", F.row_number().over(w).cast("long") - 1)
-    )
+    later = split.filter(F.col("part") != "train").select("user", "item", "part")
+    numeric = isinstance(split.schema["item"].dataType, T.NumericType)
+    key = F.col("item") if numeric else None
+    later = ordinal(later, ["user", "part"], [F.col("item")], "place", key)
     train = split.filter(F.col("part") == "train").select("user", "item", "part", F.col("seq").alias("place"))
     before = F.when(number == 1, F.lit(0)).when(number == 2, F.col("n_train")).otherwise(
         F.col("n_train") + F.col("n_val")
