@@ -84,12 +84,6 @@ def _(spark, sf):
     return averaged(spark, sf).withColumn("value", F.round("value", 9))
 
 
-def mixed_sql(b: str, slot: str, n: str, seed: int = 0) -> str:
-    p = bs.PRIME
-    x0 = f"(({b} * 1000003 + {slot} * 7919 + {seed * 15485863 + 12345}) % {p})"
-    return f"(SELECT ((x2 * x2 + x1) % {p}) % {n} FROM (SELECT *, (x1 * x1 + x0 * 48271 + 69069) % {p} AS x2 FROM (SELECT x0, (x0 * x0 + 1013904223) % {p} AS x1 FROM (SELECT {x0} AS x0))))"
-
-
 def boot_sql(source: str, by: str, n: int = N) -> str:
     """Resample means bm(by, series, b, mean) of source(by, series, user, value)."""
     p = bs.PRIME
