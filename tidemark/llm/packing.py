@@ -161,7 +161,7 @@ def pack(parts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFram
             for i in sorted(b):
                 sequence[i], offset[i] = k, at
                 at += sizes[i]
-        group["sequence_id"] = sequence + (group.pop("shard").astype(np.int64) << 32)
+        group["sequence_id"] = sequence + int(group.pop("shard").iloc[0]) * (1 << 32)
         group["offset"] = offset
         return group
 
