@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, order_minhash, packing, repetition
+from tidemark.llm import bytebpe, order_minhash, packing, repetition, suffix_dedup
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")  # the ranks of byte_bpe_50k.tiktoken as a tokenizer file
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,11 @@ def op2_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.compare_with_edited(documents(spark, sf))
 
 
+@query("op4_suffix_dedup")
+def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf))
+
+
 @query("op6_repetition_rules")
 def op6_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.rules(documents(spark, sf))
