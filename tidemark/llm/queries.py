@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, order_minhash, packing, repetition, suffix_dedup
+from tidemark.llm import bytebpe, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")  # the ranks of byte_bpe_50k.tiktoken as a tokenizer file
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -40,11 +40,21 @@ def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf))
 
 
+@query("op5_sanitise")
+def op5_sanitise(spark: SparkSession, sf: str) -> DataFrame:
+    return sanitise.digests(documents(spark, sf))
+
+
 @query("op6_repetition_rules")
 def op6_repetition_rules(spark: SparkSession, sf: str) -> DataFrame:
     return repetition.rules(documents(spark, sf))
 
 
+@query("op7_secrets")
+def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets_link.digests(documents(spark, sf))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bytebpe.digests(documents(spark, sf), BYTE_BPE)
