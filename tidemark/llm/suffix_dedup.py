@@ -37,7 +37,8 @@ from tidemark.scale import cut
 LENGTH = 200
 GRAM = 64
 LIMIT = 256  # different contexts of a gram that are sorted in one task
-CHUNK = 1 << 20  # windows sorted at once
+CHUNK = 1 << 18  # windows sorted at once
+PORTION = 1 << 20  # bytes of text worked on at once; a longer text is worked on alone
 
 NO_ID = -(1 << 63)  # stands for a null doc_id inside the joins
 
@@ -82,7 +83,7 @@ def anchors(raw: np.ndarray, at: np.ndarray, length: int, gram: int) -> tuple[np
 
 def _find(length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=4 << 20):
+        for batch in slices(batches, most=PORTION):
             raw, at = flat(batch.column(2))
             row, grams, context, low, top, place = anchors(raw, at, length, gram)
             spot = low << 16 | (top - low) << 8 | (place - low)
@@ -196,7 +197,7 @@ def _fetch(length: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     """Contexts of the wanted anchors: bytes where they are sorted, window hashes where they are counted."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, most=PORTION):
             rows = []
             for id_, th, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
                 data = (text or "").encode()
@@ -349,7 +350,7 @@ def _apply(docs: DataFrame, carried: list[str], added: str, values: Callable[[st
     types = [kinds[c.split()[1]] for c in added.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, most=PORTION):
             rows = []
             for text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 rows.append(values(text, (text or "").encode(), merged(found)))
