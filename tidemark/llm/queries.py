@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup
+from tidemark.llm import bytebpe, license_scan, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")  # the ranks of byte_bpe_50k.tiktoken as a tokenizer file
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +35,11 @@ def op2_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.compare_with_edited(documents(spark, sf))
 
 
+@query("op3_url_filter")
+def op3_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 @query("op4_suffix_dedup")
 def op4_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.digests(documents(spark, sf))
@@ -55,6 +60,11 @@ def op7_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets_link.digests(documents(spark, sf))
 
 
+@query("op8_license_scan", license_scan.oracle_sql())
+def op8_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf))
+
+
 @query("op9_byte_bpe")
 def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bytebpe.digests(documents(spark, sf), BYTE_BPE)
