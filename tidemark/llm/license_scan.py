@@ -189,7 +189,7 @@ def oracle_sql(templates: Mapping[str, str] = TEMPLATES, threshold: float = THRE
     bigram AS (SELECT DISTINCT r, w, {pairs} AS a FROM word WHERE len(w) > 1),
     matched AS (SELECT r, w, license, CAST(2 * len(list_intersect(a, b)) AS DOUBLE) / (len(a) + len(b)) AS dice
         FROM bigram, template
-        WHERE len(a) BETWEEN {threshold} * len(b) / (2 - {threshold}) AND (2 - {threshold}) * len(b) / {threshold}),
+        WHERE len(a) BETWEEN {threshold} * len(b) / (2 - {threshold}) - 1 AND (2 - {threshold}) * len(b) / {threshold} + 1),
     kept AS (SELECT * FROM matched WHERE dice >= {threshold})
     SELECT any_value(doc_id) AS doc_id, arg_min(license, (-dice, license)) AS license, max(dice) AS dice,
         count(DISTINCT w) AS n_passages, coalesce(string_agg(DISTINCT license, ',' ORDER BY license), '') AS licenses

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, license_scan, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup, url_filter
+from tidemark.llm import bytebpe, jaccard_join, license_scan, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup, url_filter
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")  # the ranks of byte_bpe_50k.tiktoken as a tokenizer file
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -30,6 +30,11 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query("op1_jaccard_join", jaccard_join.oracle_sql())
+def op1_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    return jaccard_join.join(documents(spark, sf))
+
+
 @query("op2_order_minhash")
 def op2_order_minhash(spark: SparkSession, sf: str) -> DataFrame:
     return order_minhash.compare_with_edited(documents(spark, sf))

@@ -160,16 +160,34 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarra
     }
 
 
+def _verdicts(m: dict[str, np.ndarray], most_covered: int, most_longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """(base_failed, kept) from the counts of `measure`."""
+    failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
+    over = (100 * m["n_covered_words"] > most_covered * m["n_words"]) | (100 * m["longest_repeat"] > most_longest * m["n_words"])
+    return failed, ~(failed | over)
+
+
 def rules(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVERED, most_longest: int = LONGEST) -> DataFrame:
     """Per row: counts, `base_failed` (the fixed rule) and `kept` (see the module's description)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             m = measure(batch.column(1), min_words)
-            failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-            over = (100 * m["n_covered_words"] > most_covered * m["n_words"]) | (100 * m["longest_repeat"] > most_longest * m["n_words"])
+            failed, kept = _verdicts(m, most_covered, most_longest)
             base = [m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-            columns = [batch.column(0), *map(pa.array, (*base, failed, m["n_covered_words"], m["longest_repeat"], ~(failed | over)))]
+            columns = [batch.column(0), *map(pa.array, (*base, failed, m["n_covered_words"], m["longest_repeat"], kept))]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(work, SCHEMA)
+
+
+def keep(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVERED, most_longest: int = LONGEST) -> DataFrame:
+    """The rows of `docs` that the rules keep, with all their columns, in one pass."""
+    text_at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, most=2 << 20):
+            _, kept = _verdicts(measure(batch.column(text_at), min_words), most_covered, most_longest)
+            yield batch.filter(pa.array(kept))
+
+    return docs.mapInArrow(work, docs.schema)
