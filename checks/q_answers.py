@@ -146,7 +146,7 @@ def _(spark, sf):
 
 @query(
     "judge_prompts",
-    f"""WITH i AS (SELECT c_custkey, p_partkey, row_number() OVER (PARTITION BY c_custkey ORDER BY p_partkey) AS rn, p_name, p_type, p_brand FROM customer JOIN part ON p_partkey % 1500 = c_custkey),
+    f"""WITH i AS (SELECT c_custkey, p_partkey, row_number() OVER (PARTITION BY c_custkey ORDER BY p_partkey) AS rn, p_name, p_type, p_brand FROM customer JOIN part ON p_partkey % (SELECT count(*) FROM customer) = c_custkey),
     g AS (SELECT c_custkey, string_agg('[' || rn || '] ' || p_name || ' (' || p_type || '): made by ' || p_brand || chr(10) || '    First issue: "fix ' || p_partkey || '" (difficulty: unknown)', chr(10) ORDER BY rn) AS items FROM i GROUP BY 1)
     SELECT c_custkey AS persona, {sql_template(pr.JUDGE, bio='c_name', languages="'SQL'", interests='c_mktsegment', hours="c_nationkey", items='items')} AS prompt FROM customer JOIN g USING (c_custkey)""",
 )
@@ -154,7 +154,7 @@ def _(spark, sf):
     from pyspark.sql.window import Window
 
     c = I.table(spark, sf, "customer")
-    p = I.table(spark, sf, "part").withColumn("c_custkey", F.col("p_partkey") % 1500)
+    p = I.table(spark, sf, "part").withColumn("c_custkey", F.col("p_partkey") % c.count())
     w = Window.partitionBy("c_custkey").orderBy("p_partkey")
     rows = p.join(c.select("c_custkey"), "c_custkey").withColumn("rn", F.row_number().over(w))
     none = F.lit(None).cast("string")
@@ -378,7 +378,7 @@ def _(spark, sf):
 RERANK = f"""{KNN_SCORE}, {TGT}, pop AS (SELECT i.item, count(t.item) AS pop FROM (SELECT DISTINCT item FROM split) i LEFT JOIN tr t USING (item) GROUP BY 1),
 ix AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS rank FROM (SELECT DISTINCT item FROM split)),
 ch AS (SELECT "user", item FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY md5('0,' || "user" || ',' || item), item) AS r FROM tgt) WHERE r = 1),
-dr AS (SELECT "user", item, min(d) AS draw FROM (SELECT "user", d, CAST('0x' || substr(md5('0,' || "user" || ',' || d), 1, 8) AS BIGINT) % (SELECT count(*) FROM ix) AS rank FROM ch, range(0, 240) x(d)) JOIN ix USING (rank) GROUP BY 1, 2),
+dr AS (SELECT "user", item, min(d) AS draw FROM (SELECT "user", d, CAST('0x' || substr(md5('0,' || "user" || ',' || d), 1, 15) AS BIGINT) % (SELECT count(*) FROM ix) AS rank FROM ch, range(0, 240) x(d)) JOIN ix USING (rank) GROUP BY 1, 2),
 ng AS (SELECT "user", item FROM (SELECT *, row_number() OVER (PARTITION BY "user" ORDER BY draw) AS r FROM dr WHERE NOT EXISTS (SELECT 1 FROM split s WHERE s."user" = dr."user" AND s.item = dr.item)) WHERE r <= 19),
 cs AS (SELECT "user", item, true AS t FROM ch UNION ALL SELECT "user", item, false FROM ng),
 od AS (SELECT 'model_order' AS variant, c."user", t, row_number() OVER (PARTITION BY c."user" ORDER BY round(coalesce(k.score, 0), 9) DESC, c.item) AS rank FROM cs c LEFT JOIN knn k ON k."user" = c."user" AND k.item = c.item

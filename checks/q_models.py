@@ -128,7 +128,7 @@ def _(spark, sf):
 def implicit_mf(spark, sf):
     s, users_map, items_map = ia.remap_split(I.split(spark, sf))
     s = cut(s, "split")
-    users, items = tr.implicit_mf(s.filter("part = 'train'"), rank=32, iterations=8)
+    users, items = tr.implicit_mf(s.filter("part = 'train'"), rank=64, iterations=10)
     targets = ev.targets_of(s, "test").select(F.col("user").alias("query")).distinct()
     seen = ev.seen_of(s, "test").withColumnRenamed("user", "query").join(targets, "query", "left_semi")
     queries = users.withColumnRenamed("user", "query").join(targets, "query", "left_semi")
@@ -139,7 +139,7 @@ def implicit_mf(spark, sf):
 
 N_NEG = 2
 NEG = f"""{TRAIN}, ix AS (SELECT item, row_number() OVER (ORDER BY item) - 1 AS rank FROM (SELECT DISTINCT item FROM split)),
-dr AS (SELECT "user", item, d AS draw, CAST('0x' || substr(md5('0,' || "user" || ',' || item || ',' || d), 1, 8) AS BIGINT)
+dr AS (SELECT "user", item, d AS draw, CAST('0x' || substr(md5('0,' || "user" || ',' || item || ',' || d), 1, 15) AS BIGINT)
     % (SELECT count(*) FROM ix) AS rank FROM tr, range(0, 40) x(d)),
 neg AS (SELECT * EXCLUDE (slot) FROM (SELECT dr."user", dr.item, ix.item AS negative, draw, row_number() OVER (PARTITION BY dr."user", dr.item ORDER BY draw) AS slot
   FROM dr JOIN ix USING (rank) WHERE NOT EXISTS (SELECT 1 FROM tr p WHERE p."user" = dr."user" AND p.item = ix.item)) WHERE slot <= {N_NEG})"""

@@ -227,7 +227,7 @@ def _(spark, sf):
     users, _ = both_cohorts(spark, sf)
     v = users.select("cohort", F.col("model").alias("series"), "user", F.col("ndcg").alias("value"))
     pairs = v.select("cohort", F.lit("mean").alias("a"), F.lit("popularity").alias("b")).distinct()
-    return rounded(paired_intervals(v, pairs, ["cohort"], 200))
+    return rounded(paired_intervals(v, pairs, ["cohort"], 1_000))
 
 
 # serving ladder -----------------------------------------------------------------------------------
@@ -482,7 +482,7 @@ def _(spark, sf):
     v = cut(out.join(cases, "case").withColumnRenamed("case", "user"), "values")
     against = F.explode(F.array(F.lit("newest"), F.lit("weights in service"))).alias("b")
     pairs = v.select("cohort", F.lit("tuned").alias("a")).distinct().select("cohort", "a", against)
-    return rounded(paired_intervals(v, pairs, ["cohort"], 200))
+    return rounded(paired_intervals(v, pairs, ["cohort"], 1_000))
 
 
 PRS = f"""c AS (SELECT DISTINCT o_custkey AS "user", o_custkey % 40 AS repo_id, CAST(epoch(o_orderdate) AS BIGINT) AS pr_ts FROM orders),

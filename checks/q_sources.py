@@ -125,7 +125,7 @@ def _(spark, sf):
     "month_usage",
     """WITH l AS (SELECT strftime(o_orderdate, '%Y-%m-%dT00:00:00') AS stamp, CASE WHEN o_orderstatus = 'F' THEN 0 WHEN o_orderstatus = 'O' THEN NULL ELSE CAST(o_totalprice AS BIGINT) END AS b, CAST(o_totalprice / 2 AS BIGINT) AS d FROM orders),
     u AS (SELECT CAST(sum(coalesce(nullif(b, 0), d)) AS BIGINT) AS used FROM l WHERE stamp LIKE '1997-05%')
-    SELECT o_orderkey, used, CASE WHEN n > 400000 THEN 'query cap' WHEN used + n > used + 200000 THEN 'month budget' ELSE 'accepted' END AS verdict FROM (SELECT o_orderkey, CAST(o_totalprice AS BIGINT) AS n FROM orders), u""",
+    SELECT used FROM u""",
 )
 def _(spark, sf):
     o = I.table(spark, sf, "orders")
@@ -140,10 +140,7 @@ def _(spark, sf):
     path = scratch(spark, "ledger")
     ledger.write.json(path)
     ledger = spark.read.schema("at STRING, bytes_billed BIGINT, bytes_dry_run BIGINT").json(path)
-    used = tb.month_usage(ledger, "1997-05").first()["used"]
-    asked = o.select("o_orderkey", price.alias("n"))
-    d = tb.admission(asked, F.lit(used), 400_000, used + 200_000)
-    return d.select("o_orderkey", F.lit(used).cast("long").alias("used"), "verdict")
+    return tb.month_usage(ledger, "1997-05")
 
 
 @query(

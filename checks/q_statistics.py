@@ -17,7 +17,7 @@ from tidemark.operators.interactions import id_map
 from tidemark.plans import gridsearch as gs
 from tidemark.scale import cut
 
-N = 200  # resamples in the checked queries
+N = 1_000  # resamples in the checked queries
 MODELS = ("popularity", "itemknn", "itemknn_long", "lightgcn")
 RUNS_FROM = """FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey"""
 VALUE = "avg(CASE WHEN l_linenumber <= 2 + m THEN l_discount * 5 ELSE l_tax * 5 END) + s * 0.01 * avg(l_tax)"

@@ -207,14 +207,14 @@ def _(spark, sf):
 
 # item texts: a part with two documents as description and README --------------------------------
 PART_TEXT = """pt AS (SELECT p.*, d.text AS described, r.text AS readme FROM part p
-  LEFT JOIN documents d ON d.doc_id = p_partkey % 1000 LEFT JOIN documents r ON r.doc_id = p_partkey + 7)"""
+  LEFT JOIN documents d ON d.doc_id = p_partkey % (SELECT count(*) FROM documents) LEFT JOIN documents r ON r.doc_id = p_partkey + 7)"""
 
 
 def part_text(spark, sf):
     p, d = I.table(spark, sf, "part"), I.table(spark, sf, "documents").select("doc_id", "text")
     described = d.select(F.col("doc_id").alias("d1"), F.col("text").alias("described"))
     readme = d.select(F.col("doc_id").alias("d2"), F.col("text").alias("readme"))
-    return p.join(described, F.col("d1") == F.col("p_partkey") % 1000, "left").join(
+    return p.join(described, F.col("d1") == F.col("p_partkey") % d.count(), "left").join(
         readme, F.col("d2") == F.col("p_partkey") + 7, "left"
     )
 

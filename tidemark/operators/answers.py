@@ -14,7 +14,7 @@ from tidemark.functions.prompts import prompt_key
 from tidemark.functions.text import normalise
 from tidemark.operators.evaluation import gain, ideal_gain
 from tidemark.operators.split import hash_key
-from tidemark.operators.training import MAX_ROUNDS, draw
+from tidemark.operators.training import MAX_ROUNDS, draw, unheld
 from tidemark.scale import cut
 
 # fixed values: general words a claim is checked for, besides the catalog's own
@@ -85,7 +85,7 @@ def repo_features(responses: DataFrame) -> DataFrame:
         _text(v, "$.summary").alias("summary"),
         _texts(v, "$.skills", 6).alias("skills"),
         _text(v, "$.domain").alias("domain"),
-        v.isNotNull().alias("parsed"),
+        (F.coalesce(F.to_json(v), F.lit("{}")) != "{}").alias("parsed"),  # an empty object says nothing
     )
 
 
@@ -147,11 +147,14 @@ def evidence_grounded(evidence: Column, source: Column) -> Column:
 def grounding_report(repos: DataFrame, issues: DataFrame) -> DataFrame:
     """(kind, metric, value): parse rate, grounded shares and difficulty shares.
 
-    `repos`: parsed, skills, source. `issues`: difficulty, skills, evidence, source.
+    `repos`: parsed, skills, source. `issues`: difficulty, skills, evidence, source. Either may have
+    `language`: a skill is also grounded by the language's name, evidence never is.
     """
 
     def skill_counts(df: DataFrame) -> Column:
-        hits = F.filter("skills", lambda s: skill_grounded(s, F.col("source")))
+        language = [F.coalesce("language", F.lit(""))] if "language" in df.columns else []
+        known = F.concat_ws(" ", "source", *language)
+        hits = F.filter("skills", lambda s: skill_grounded(s, known))
         return F.size(hits)
 
     r = repos.select("parsed", F.size("skills").alias("n"), skill_counts(repos).alias("hits"))
@@ -260,7 +263,13 @@ def random_candidate_sets(
         if open_users.isEmpty():
             break
     else:
-        raise RuntimeError("candidate sets could not be filled")
+        # these users hold nearly everything: take what they do not hold, in an order by hash
+        rest = unheld(open_users, held, index).select("user", "item").join(found.select("user", "item"), ["user", "item"], "left_anti")
+        have = found.groupBy("user").agg(F.count(F.lit(1)).alias("have"))
+        w = Window.partitionBy("user").orderBy(hash_key(seed, "user", "item"), "item")
+        short = open_users.join(have, "user", "left").select("user", "need", (F.col("need") - F.coalesce("have", F.lit(0))).alias("short"))
+        more = rest.withColumn("_r", F.row_number().over(w)).join(short, "user").filter(F.col("_r") <= F.col("short"))
+        found = found.select("user", "item").unionByName(more.select("user", "item"))
     rest = found.select("user", "item", F.lit(False).alias("is_target"))
     return chosen.withColumn("is_target", F.lit(True)).unionByName(rest)
 

@@ -11,20 +11,7 @@ from pyspark.sql.window import Window
 from tidemark.scale import HOT_ROWS, cut, ordinal
 
 PRIME = 2_147_483_647
-EXACT_ROWS = 1_000_000  # per-user rows that fit a broadcast lookup; above, Poisson weights
-# cumulative Poisson(1) probabilities: a weight is the number of steps a uniform draw passes
-POISSON_STEPS = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.999916758850712,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-)
+LOOKUP_ROWS = 1_000_000  # a lookup up to this size is broadcast, a larger one is joined by shuffle
 
 
 def mixed(seed: int, b: Column, slot: Column) -> tuple[Column, Column]:
@@ -45,29 +32,20 @@ def resample_means(
     by: Sequence[str] = (),
     n_resamples: int = 1_000,
     seed: int = 0,
-    exact_rows: int = EXACT_ROWS,
+    lookup_rows: int = LOOKUP_ROWS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(by..., series, b, mean): means of resamples of users with replacement.
 
     `values`: by..., series, user, value. All series of a group are drawn with the same user
-    indices. Up to `exact_rows` input rows the drawn values come from a broadcast lookup of that
-    size; beyond it each user gets an independent Poisson(1) weight per resample, which needs no
-    lookup and no shuffle of the draws.
+    indices, at every size. A draw is a slot of the group; how often a slot is drawn is counted
+    first, then its values are looked up. `lookup_rows` only decides how that lookup is joined.
     """
     by = list(by)
     values = cut(values.select(*by, "series", "user", "value"), "values")
     n_rows = values.count()
     parallel = values.sparkSession.sparkContext.defaultParallelism
     numbers = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")
-    if n_rows > exact_rows:
-        u = (F.xxhash64(F.lit(seed), F.col("b"), F.col("user")) / F.lit(2.0**64)) + 0.5
-        steps = F.array(*[F.lit(p) for p in POISSON_STEPS])
-        weight = F.size(F.filter(steps, lambda p: F.col("_u") >= p))
-        drawn = values.select("*", numbers).withColumn("_u", u).withColumn("w", weight)
-        return drawn.groupBy(*by, "series", "b").agg(
-            (F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("mean")
-        )
     users = values.select(*by, "user").distinct()
     group = by or [F.lit(0).alias("_g")]
     users = users.select("*", *([] if by else group))
@@ -83,11 +61,12 @@ def resample_means(
         .select(*keys, "b", (index % F.col("n")).alias("slot"))
     )
     lookup = values.join(indexed, [*by, "user"]).select(*keys, "slot", "series", "value")
-    means = (
-        draws.join(F.broadcast(lookup), [*keys, "slot"])
-        .groupBy(*keys, "series", "b")
-        .agg(F.avg("value").alias("mean"))
-    )
+    if n_rows <= lookup_rows:
+        means = draws.join(F.broadcast(lookup), [*keys, "slot"]).groupBy(*keys, "series", "b").agg(F.avg("value").alias("mean"))
+    else:
+        times = draws.groupBy(*keys, "b", "slot").agg(F.count(F.lit(1)).alias("times"))
+        total = F.sum(F.col("times") * F.col("value")) / F.sum("times")
+        means = times.join(lookup, [*keys, "slot"]).groupBy(*keys, "series", "b").agg(total.alias("mean"))
     return means if by else means.drop("_g")
 
 
@@ -220,6 +199,6 @@ def group_cis(
     """Intervals of `pairs` (a, b) inside every activity group."""
     grouped = values.join(groups.select("user", "group"), "user")
     kinds = groups.select("group").distinct()
-    one = F.lit(1).alias("one")
-    each = kinds.select("*", one).join(pairs.select("*", one), "one").drop("one")
+    # the list of pairs is as short as the list of models; the groups are a handful
+    each = pairs.crossJoin(F.broadcast(kinds))
     return paired_intervals(grouped, each, ["group"], n_resamples, ci, seed)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from tidemark.scale import exact_quantiles
 from pyspark.sql.window import Window
 
 # fixed value: order of the models in reports
@@ -82,8 +84,7 @@ def rank_agreement(ratings: DataFrame, k: int = 3) -> DataFrame:
     # the expected part needs every (a, b) combination: at most k * k rows from the marginals
     marg_a = cells.groupBy("a").agg(F.sum("n").alias("na"))
     marg_b = cells.groupBy("b").agg(F.sum("n").alias("nb"))
-    one = F.lit(1).alias("one")
-    expected = marg_a.select("*", one).join(marg_b.select("*", one), "one").drop("one")
+    expected = marg_a.crossJoin(F.broadcast(marg_b))  # a row per rating value on either side
     grid = expected.join(cells, ["a", "b"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     gap = (F.col("a") - F.col("b")).cast("double")
     miss = (F.col("a") != F.col("b")).cast("double")
@@ -105,9 +106,9 @@ def rank_agreement(ratings: DataFrame, k: int = 3) -> DataFrame:
 def latency_percentiles(log: DataFrame, approximate: bool = False) -> DataFrame:
     """(stage, n, p50, p95) of a timing log: stage, ms."""
     points = [0.5, 0.95]
-    q = F.percentile_approx("ms", points, 10_000) if approximate else F.percentile("ms", points)
-    return (
-        log.groupBy("stage")
-        .agg(F.count(F.lit(1)).alias("n"), q.alias("q"))
-        .select("stage", "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))
-    )
+    counts = log.groupBy("stage").agg(F.count(F.lit(1)).alias("n"))
+    if approximate:
+        quantiles = log.groupBy("stage").agg(F.percentile_approx("ms", points, 10_000).alias("q"))
+    else:
+        quantiles = exact_quantiles(log, ["stage"], "ms", points)
+    return counts.join(quantiles, "stage", "left").select("stage", "n", F.col("q")[0].alias("p50"), F.col("q")[1].alias("p95"))

@@ -443,7 +443,7 @@ def new_projects(
     rows = (
         met.groupBy("user", "repo_id")
         .agg(
-            F.array_sort(F.collect_set(F.when(is_word, F.substring("key", 3, 1_000)))).alias("overlap"),
+            F.array_sort(F.collect_set(F.when(is_word, F.expr("substring(key, 3)")))).alias("overlap"),
             F.max((~is_word).cast("int")).alias("lang"),
         )
         .join(fresh.select("repo_id", "created", "n_issues"), "repo_id")

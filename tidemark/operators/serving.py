@@ -186,6 +186,18 @@ def explanation(facts: Column) -> Column:
     return F.when(F.size(facts) > 1, more).otherwise(F.get(facts, F.lit(0)))
 
 
+def priority_repos(repos: DataFrame, issues: DataFrame, max_repos: int) -> DataFrame:
+    """The `max_repos` repositories with issues that most people contribute to, with their `priority` from 1.
+
+    `repos`: repo_id, n_contrib, ... The limit is the feature: answers are paid for per repository.
+    """
+    with_issues = repos.join(issues.select("repo_id").distinct(), "repo_id", "left_semi")
+    best = with_issues.orderBy(F.col("n_contrib").desc(), "repo_id").limit(max_repos)
+    # at most max_repos rows are numbered
+    w = Window.orderBy(F.col("n_contrib").desc(), "repo_id")
+    return best.withColumn("priority", F.row_number().over(w))
+
+
 def newest_batches(issues: DataFrame, per_repo: int = 5, per_call: int = 5) -> DataFrame:
     """(repo_id, batch, position, ...): the newest issues of a repository in numbered batches."""
     w = Window.partitionBy("repo_id").orderBy(F.col("created").desc(), F.col("number").desc())

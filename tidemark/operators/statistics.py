@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.scale import cut, exact_quantiles
+
 
 def dataset_stats(split: DataFrame, heads: DataFrame) -> DataFrame:
     """One row describing a split; `heads` is (item, pop, is_head) over all items."""
@@ -30,8 +32,7 @@ def dataset_stats(split: DataFrame, heads: DataFrame) -> DataFrame:
         (F.sum(F.when(F.col("is_head"), F.col("pop"))) / F.sum("pop")).alias("head_share"),
         F.count_if(F.col("pop") == 0).alias("items_without_train"),
     )
-    one = F.lit(1).alias("one")
-    both = users.select("*", one).join(items.select("*", one), "one").drop("one")
+    both = users.crossJoin(F.broadcast(items))  # one row each
     return both.withColumn("density", F.col("n_pairs") / (F.col("n_users") * F.col("n_items")))
 
 
@@ -57,12 +58,17 @@ def tie_stats(split: DataFrame) -> DataFrame:
     share = F.col("tied") / F.col("rows")
     tv = F.coalesce(F.col("train_max") == F.col("val_min"), F.lit(False))
     vt = F.coalesce(F.col("val_max") == F.col("test_min"), F.lit(False))
-    return per_user.select("tied", "rows", share.alias("share"), tv.alias("tv"), vt.alias("vt")).agg(
+    users = cut(per_user.select("tied", "rows", share.alias("share"), tv.alias("tv"), vt.alias("vt")), "ties")
+    median = exact_quantiles(users, [], "share", [0.5])
+    rest = users.agg(
         (F.sum("tied") / F.sum("rows")).alias("share_tied"),
         F.avg("share").alias("user_share_mean"),
-        F.expr("percentile(share, 0.5)").alias("user_share_median"),
         F.avg((F.col("share") > 0).cast("double")).alias("users_with_tie_share"),
         F.count_if("tv").alias("train_val_boundary"),
         F.count_if("vt").alias("val_test_boundary"),
         F.count_if(F.col("tv") | F.col("vt")).alias("any_boundary"),
     )
+    # one row each
+    return rest.crossJoin(F.broadcast(median.select(F.col("q")[0].alias("user_share_median")))).select(
+        "share_tied", "user_share_mean", "user_share_median", "users_with_tie_share", "train_val_boundary", "val_test_boundary", "any_boundary"
+    )

@@ -139,6 +139,36 @@ def _split_ordinal(
     )
 
 
+def exact_quantiles(
+    df: DataFrame, by: Sequence[str], value: str, points: Sequence[float], hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """(by..., q): linearly interpolated quantiles of a column per group; nulls are left out.
+
+    Values are numbered within their group (a huge group by pieces, see `ordinal`) and only the two
+    neighbours of each point are read; no group's values are held together anywhere.
+    """
+    keys = list(by) or ["_all"]
+    values = df if by else df.withColumn("_all", F.lit(0))
+    values = cut(values.select(*keys, F.col(value).cast("double").alias("_v")).filter("_v is not null"), "quantiles")
+    sizes = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ordinal(values, keys, [F.col("_v")], "_at", F.col("_v"), hot_rows).join(sizes, keys)
+    places = [F.lit(p) * (F.col("_n") - 1) for p in points]
+    wanted = F.array(*[f(p).cast("long") for p in places for f in (F.floor, F.ceil)])
+    near = placed.filter(F.array_contains(wanted, F.col("_at")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when(F.col("_at") == place.cast("long"), F.col("_v")))
+
+    ends = near.groupBy(*keys, "_n").agg(
+        *[at(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(places)],
+        *[at(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(places)],
+    )
+    q = [
+        F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p)) for i, p in enumerate(places)
+    ]
+    return ends.select(*by, F.array(*q).alias("q"))
+
+
 def global_index(
     df: DataFrame, order: Sequence[Column], name: str, small_rows: int = SMALL_ROWS
 ) -> tuple[DataFrame, int]:

@@ -139,13 +139,3 @@ def month_usage(ledger: DataFrame, month: str) -> DataFrame:
     billed = F.coalesce(F.nullif(F.col("bytes_billed"), F.lit(0)), F.col("bytes_dry_run"))
     return ledger.filter(F.col("at").startswith(month)).agg(F.coalesce(F.sum(billed), F.lit(0)).alias("used"))
 
-
-def admission(requests: DataFrame, used: Column, max_query: int, budget: int) -> DataFrame:
-    """Requests (n = bytes) with the decision each would get alone: accepted, over the cap of one
-    query, or over the month's budget."""
-    verdict = (
-        F.when(F.col("n") > max_query, "query cap")
-        .when(used + F.col("n") > budget, "month budget")
-        .otherwise("accepted")
-    )
-    return requests.withColumn("verdict", verdict)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.scale import cut
 from tidemark.sources.days import publish_days, read_days
 
 
@@ -18,15 +19,22 @@ def file_stream(spark: SparkSession, path: str, schema: str, files_per_batch: in
 
 
 def stream_ingest_daily(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append whole-day rows (with a `day` column) to the day table, each day once.
+    """Merge day rows (with a `day` column) into the day table.
 
-    Days that are already published are dropped from a batch, and a day's folder is replaced as a
-    whole, so a repeated batch or a repeated file changes nothing. Ends when the input is used up.
+    A day may come in several files and batches. Its stored rows are merged with the new ones, one
+    row per (kind, user, repo_id) with the earliest time and the largest count, and its folder is
+    replaced as a whole; so a repeated batch, file or row changes nothing. Other days stay. Ends
+    when the input is used up.
     """
+    keys = ["day", "kind", "user", "repo_id"]
 
     def publish(batch: DataFrame, _: int) -> None:
-        done = read_days(batch.sparkSession, path).select("day").distinct()
-        publish_days(batch.join(done, "day", "left_anti"), path)
+        stored = read_days(batch.sparkSession, path)
+        touched = stored.join(batch.select("day").distinct(), "day", "left_semi")
+        both = touched.unionByName(batch.select(*stored.columns))
+        merged = both.groupBy(*keys).agg(F.min("first_us").alias("first_us"), F.max("n").alias("n"))
+        # written aside first: a day's folder is both read and replaced
+        publish_days(cut(merged.select(*stored.columns), "days"), path)
 
     return (
         stream.writeStream.foreachBatch(publish)
