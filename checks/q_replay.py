@@ -220,14 +220,14 @@ def _(spark, sf):
 
 @query(
     "replay_cis",
-    f"""WITH {PER_USER}, val AS MATERIALIZED (SELECT cohort, model AS series, "user", ndcg AS value FROM pu), {boot_sql('val', 'cohort')},
-    pr AS (SELECT DISTINCT cohort, 'mean' AS a, 'popularity' AS b FROM val), {interval_sql('cohort', 'pr')} SELECT * FROM pci""",
+    f"""WITH {REPORT_ROWS}, val AS MATERIALIZED (SELECT cohort, queries, model AS series, "user", ndcg AS value FROM pu JOIN sub USING (cohort, "user") WHERE queries IN ('all', 'new repo')),
+    {boot_sql('val', 'cohort, queries')}, pr AS (SELECT DISTINCT cohort, queries, 'mean' AS a, 'popularity' AS b FROM val), {interval_sql('cohort, queries', 'pr')} SELECT * FROM pci""",
 )
 def _(spark, sf):
-    users, _ = both_cohorts(spark, sf)
-    v = users.select("cohort", F.col("model").alias("series"), "user", F.col("ndcg").alias("value"))
-    pairs = v.select("cohort", F.lit("mean").alias("a"), F.lit("popularity").alias("b")).distinct()
-    return rounded(paired_intervals(v, pairs, ["cohort"], 1_000))
+    v = rp.interval_values(*both_cohorts(spark, sf))
+    by = ["cohort", "queries"]
+    pairs = v.select(*by, F.lit("mean").alias("a"), F.lit("popularity").alias("b")).distinct()
+    return rounded(paired_intervals(v, pairs, by, 1_000))
 
 
 # serving ladder -----------------------------------------------------------------------------------
@@ -263,7 +263,7 @@ def ladder(spark, sf, window):
     )
     named = vectors_q.withColumn("query", F.concat_ws("|", "user", "k", "beta"))
     named = cut(named, "rungs")
-    top = vs.blocked_topk(named.select("query", "vec"), vectors_i, 20)
+    top = vs.blocked_topk(named.select("query", "vec", "tags", "boost"), vectors_i, 20)
     top = top.join(named.select("query", "user", "k", "beta"), "query")
     asked = named.select("user", "k", "beta").join(queries, "user")
     return rp.replay_metrics(top, asked, cat, by=("k", "beta"))
@@ -291,6 +291,21 @@ def _(spark, sf):
     return d.withColumns({c: F.round(c, 6) for c in ("tune_ndcg", "report_ndcg")})
 
 
+@query(
+    "ladder_ci",
+    f"""WITH {LADDER}, g AS (SELECT k, beta, avg(ndcg) AS a FROM lm_t GROUP BY 1, 2),
+    o AS (SELECT k, beta FROM g ORDER BY round(a, 9) DESC, k, beta LIMIT 1),
+    val AS MATERIALIZED (SELECT 'report' AS cohort, 'tuned' AS series, "user", ndcg AS value FROM lm_r JOIN o USING (k, beta)
+      UNION ALL SELECT 'report', 'serving', "user", ndcg FROM lm_r WHERE k = 3 AND beta = CAST(0.15 AS DOUBLE)),
+    {boot_sql('val', 'cohort')}, pr AS (SELECT 'report' AS cohort, 'tuned' AS a, 'serving' AS b), {interval_sql('cohort', 'pr')} SELECT * FROM pci""",
+)
+def _(spark, sf):
+    frames = [ladder(spark, sf, w).withColumn("cohort", F.lit(c)) for w, c in ((TUNE, "tune"), (REPORT, "report"))]
+    v = rp.tuned_values(cut(frames[0].unionByName(frames[1]), "rungs"))
+    pairs = spark.createDataFrame([("report", "tuned", "serving")], "cohort string, a string, b string")
+    return rounded(paired_intervals(v, pairs, ["cohort"], 1_000))
+
+
 # issue replay: suppliers as repositories, order lines as issues ------------------------------------
 LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 ISSUE_LABELS = """CASE o_orderpriority WHEN '1-URGENT' THEN ['good first issue', 'docs'] WHEN '2-HIGH' THEN ['Level: Medium', 'python']

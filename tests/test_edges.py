@@ -108,3 +108,22 @@ def test_priority_follows_contributors(spark):
     issues = spark.createDataFrame([(1,), (2,), (3,)], "repo_id long")
     got = [(r["priority"], r["repo_id"]) for r in priority_repos(repos, issues, 2).orderBy("priority").collect()]
     assert got == [(1, 2), (2, 3)]
+
+
+def test_thousands_of_languages_in_the_block_product(spark):
+    from tidemark.operators.vectorscore import blocked_topk
+
+    n = 5_000
+    items = spark.range(n).select(F.col("id").alias("item"), F.array(F.lit(0.0)).alias("vec"), F.concat(F.lit("lang"), "id").alias("tag"))
+    queries = spark.createDataFrame([(1, [1.0], ["lang4321", "lang17", "none"], 2.0), (2, [1.0], None, 1.0)], "query long, vec array<double>, tags array<string>, boost double")
+    got = [(r["query"], r["item"], r["score"]) for r in blocked_topk(queries, items, 3).orderBy("query", "rank").collect()]
+    assert got == [(1, 17, 2.0), (1, 4321, 2.0), (1, 0, 0.0), (2, 0, 0.0), (2, 1, 0.0), (2, 2, 0.0)]
+
+
+def test_owner_cap_keeps_the_lower_id_of_ties():
+    from tidemark.operators.vectorscore import _owner_best
+
+    owners, ids = np.array(["a", "a", "a", "b", "c"]), np.array([5, 6, 7, 1, 2])
+    scores = np.array([[1.0, 1.0, 1.0, 1.0, 1.0], [3.0, 2.0, 1.0, -np.inf, 0.0]])
+    rows, cols = _owner_best(scores, owners, ids, 2, 3)
+    assert list(zip(rows, ids[cols])) == [(0, 1), (0, 2), (0, 5), (1, 5), (1, 6), (1, 2)]

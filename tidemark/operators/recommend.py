@@ -12,8 +12,8 @@ from tidemark.functions.labels import age_days, difficulty_match, target_difficu
 from tidemark.functions.text import tokens
 from tidemark.functions.vectors import dot, mean_vector, normalised
 from tidemark.operators.evaluation import comparable
-from tidemark.operators.vectorscore import blocked_topk, history_mean, moments, standardised
-from tidemark.scale import cut, short_list
+from tidemark.operators.vectorscore import blocked_topk, history_mean, moments, standardised, tag_score
+from tidemark.scale import cut
 
 # fixed values: list sizes, caps and weights of the ranking
 N_REPOS, N_ISSUES, N_NEW = 10, 3, 3
@@ -206,7 +206,7 @@ def history_scores(
     Score = w z(model) + (1 - w) z(text) + boost [language], w = min(1, n / 2); the model vector is
     the mean of the history, the text vector the mean of the last 50 and of the interests. Both
     z-scores are affine in inner products whose mean and deviation follow from the catalog's
-    moments, and the language match is a product of one-hot vectors: one inner-product search per
+    moments, and the language match is a boost of the search: one inner-product search per
     user, no user-by-repository table. Starred pairs, which have their own cap, are scored
     directly.
 
@@ -236,8 +236,6 @@ def history_scores(
     t_stats = moments(catalog.select(F.col("text_vec").alias("vec")), dim)
     zm = standardised(model.select("user", "vec"), m_stats).select("user", F.col("zvec").alias("zm"), F.col("offset").alias("om"))
     zt = standardised(text, t_stats).select("user", F.col("zvec").alias("zt"), F.col("offset").alias("ot"))
-    names = short_list(catalog.select(F.nullif(F.lower("language"), F.lit("")).alias("language")), "language")
-    spots = F.array(*[F.lit(x) for x in names]) if names else F.array().cast("array<string>")
     spoken = languages.groupBy("user").agg(F.collect_set(F.lower("language")).alias("langs"))
     zero = F.array_repeat(F.lit(0.0), dim)
     weight = F.least(F.lit(1.0), F.col("n_hist") / LADDER_K)
@@ -250,7 +248,6 @@ def history_scores(
     )
     scale_m = F.transform(F.coalesce("zm", zero), lambda x: x * F.col("w"))
     scale_t = F.transform(F.coalesce("zt", zero), lambda x: x * (1 - F.col("w")))
-    hot = F.transform(spots, lambda s: F.when(F.array_contains("langs", s), LANG_BOOST).otherwise(0.0))
     offset = F.col("w") * F.coalesce("om", F.lit(0.0)) + (1 - F.col("w")) * F.coalesce("ot", F.lit(0.0))
     users = cut(
         users.select(
@@ -258,22 +255,26 @@ def history_scores(
             "stars_seen",
             "n_hist",
             mode_of(F.col("n_hist")).alias("mode"),
-            F.concat(scale_m, scale_t, hot).alias("vec"),
+            F.concat(scale_m, scale_t).alias("vec"),
+            F.col("langs").alias("tags"),
+            F.lit(LANG_BOOST).alias("boost"),
             offset.alias("offset"),
         ),
         "users",
     )
-    item_hot = F.transform(spots, lambda s: F.when(s == F.lower(F.coalesce("language", F.lit(""))), 1.0).otherwise(0.0))
     double = lambda c: F.transform(c, lambda x: x.cast("double"))
     items = cut(
         catalog.select(
-            F.col("repo_id").alias("item"), "owner", F.concat(double("model_vec"), double("text_vec"), item_hot).alias("vec")
+            F.col("repo_id").alias("item"),
+            "owner",
+            F.nullif(F.lower("language"), F.lit("")).alias("tag"),
+            F.concat(double("model_vec"), double("text_vec")).alias("vec"),
         ),
         "items",
     )
     held = stars.select(F.col("user").alias("query"), F.col("repo_id").alias("item")).distinct()
     fresh = blocked_topk(
-        users.select(F.col("user").alias("query"), "vec"),
+        users.select(F.col("user").alias("query"), "vec", "tags", "boost"),
         items,
         REACH + MAX_PER_OWNER,  # the user's own repositories are dropped below
         exclude=held,
@@ -281,9 +282,10 @@ def history_scores(
     )
     fresh = fresh.select(F.col("query").alias("user"), "item", "score", F.lit(False).alias("starred"))
     starred = (
-        held.join(users.select(F.col("user").alias("query"), F.col("vec").alias("_q")), "query")
-        .join(items.select("item", F.col("vec").alias("_i")), "item")
-        .select(F.col("query").alias("user"), "item", dot(F.col("_q"), F.col("_i")).alias("score"), F.lit(True).alias("starred"))
+        held.join(users.select(F.col("user").alias("query"), F.col("vec").alias("_q"), "tags", "boost"), "query")
+        .join(items.select("item", F.col("vec").alias("_i"), "tag"), "item")
+        .withColumn("score", dot(F.col("_q"), F.col("_i")) + tag_score(F.col("boost"), F.col("tags"), F.col("tag")))
+        .select(F.col("query").alias("user"), "item", "score", F.lit(True).alias("starred"))
     )
     ranked = (
         fresh.unionByName(starred)
@@ -359,26 +361,26 @@ def recommend_from_profile(
     stats = moments(catalog.select(F.col("text_vec").alias("vec")), dim)
     zi = standardised(wished, stats).select(F.col("user").alias("profile"), "zvec", "offset")
     c = catalog.agg(F.avg("contrib").alias("m"), F.stddev_pop("contrib").alias("s")).first()
-    names = short_list(catalog.filter("language <> ''"), "language")
-    spots = F.array(*[F.lit(x) for x in names]) if names else none
     zero = F.array_repeat(F.lit(0.0), dim)
     langs = lowered("languages")
-    hot = F.transform(spots, lambda s: F.when(F.array_contains(langs, s), 0.6).otherwise(0.0))
     queries = cut(
         profiles.join(zi, "profile", "left").select(
             F.col("profile").alias("query"),
-            F.concat(F.transform(F.coalesce("zvec", zero), lambda x: x * 0.6), hot, F.array(F.lit(1.0))).alias("vec"),
+            F.concat(F.transform(F.coalesce("zvec", zero), lambda x: x * 0.6), F.array(F.lit(1.0))).alias("vec"),
+            langs.alias("tags"),
+            F.lit(0.6).alias("boost"),
             (F.coalesce("offset", F.lit(0.0)) * 0.6).alias("offset"),
         ),
         "queries",
     )
-    item_hot = F.transform(spots, lambda s: F.when(s == F.col("language"), 1.0).otherwise(0.0))
     busy = (F.col("contrib") - F.lit(c["m"] or 0.0)) / F.lit((c["s"] or 0.0) + 1e-9) * 0.1
     items = cut(
-        catalog.select(F.col("repo_id").alias("item"), "owner", F.concat("text_vec", item_hot, F.array(busy)).alias("vec")),
+        catalog.select(
+            F.col("repo_id").alias("item"), "owner", F.nullif(F.col("language"), F.lit("")).alias("tag"), F.concat("text_vec", F.array(busy)).alias("vec")
+        ),
         "items",
     )
-    best = blocked_topk(queries.select("query", "vec"), items, N_REPOS, owner_cap=MAX_PER_OWNER)
+    best = blocked_topk(queries.select("query", "vec", "tags", "boost"), items, N_REPOS, owner_cap=MAX_PER_OWNER)
     keywords = topics.select("topic", F.explode("kw").alias("word"))
     skills = (
         profiles.select("profile", F.explode(langs).alias("word"))
@@ -400,6 +402,7 @@ def recommend_from_profile(
         .withColumn(
             "score",
             dot(F.col("_q"), F.col("_i"))
+            + tag_score(F.col("boost"), F.col("tags"), F.col("tag"))
             + F.col("offset")
             + 0.2 * F.least(F.coalesce("n_skills", F.lit(0)), F.lit(3)) / 3.0,
         )

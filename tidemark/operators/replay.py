@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.operators.eventlog import KINDS
 from tidemark.operators.evaluation import comparable, gain
 from tidemark.operators.vectorscore import moments, standardised
-from tidemark.scale import cut, short_list
+from tidemark.scale import cut
 
 # fixed values: serving ladder candidates; the weight on the model is min(1, items / k)
 LADDER_K = (1, 2, 3, 5, 10, 20, 10**9)
@@ -155,15 +155,13 @@ def ladder_queries(
 
     Score = w z(model) + (1 - w) z(text) + beta [language match] + tie with w = min(1, n / k). A
     z-score over the catalog is an affine function of the inner product, whose mean and deviation
-    follow from the catalog's moments; a language match is an inner product with a one-hot vector.
+    follow from the catalog's moments; a language match is a boost of the search (see `blocked_topk`).
     So each (user, rung) is one query vector and the ranking is one inner-product search.
 
     `queries`: user, n. `model`, `text`: user, vec (missing = zero). `languages`: user, language
     of the profile. `catalog`: item, model_vec, text_vec, language, tie.
     """
     spark = queries.sparkSession
-    names = short_list(catalog.filter("language <> ''"), "language")
-    spots = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
 
     def with_tie(column: str) -> Column:
         return F.concat(F.transform(column, lambda x: x.cast("double")), F.array("tie"))
@@ -210,18 +208,19 @@ def ladder_queries(
     head_m = F.transform(F.slice("zm", 1, dim_model), lambda x: x * F.col("w"))
     head_t = F.transform(F.slice("zt", 1, dim_text), lambda x: x * (1 - F.col("w")))
     tie = F.col("w") * F.col("zm")[dim_model] + (1 - F.col("w")) * F.col("zt")[dim_text] + 1.0
-    one_hot = F.transform(spots, lambda s: F.when(F.array_contains("langs", s), F.col("beta")).otherwise(0.0))
     vectors = base.select(
         F.struct("user", "k", "beta").alias("q"),
-        F.concat(head_m, head_t, F.array(tie), one_hot).alias("vec"),
+        F.concat(head_m, head_t, F.array(tie)).alias("vec"),
+        F.col("langs").alias("tags"),
+        F.col("beta").alias("boost"),
         (F.col("w") * F.col("om") + (1 - F.col("w")) * F.col("ot")).alias("offset"),
     )
-    item_hot = F.transform(spots, lambda s: F.when(s == F.col("language"), 1.0).otherwise(0.0))
     items = catalog.select(
         "item",
-        F.concat(F.slice("mv", 1, dim_model), F.slice("tv", 1, dim_text), F.array("tie"), item_hot).alias("vec"),
+        F.concat(F.slice("mv", 1, dim_model), F.slice("tv", 1, dim_text), F.array("tie")).alias("vec"),
+        F.nullif(F.col("language"), F.lit("")).alias("tag"),
     )
-    return vectors.select("q.user", "q.k", "q.beta", "vec", "offset"), items
+    return vectors.select("q.user", "q.k", "q.beta", "vec", "tags", "boost", "offset"), items
 
 
 def replay_report(per_user: DataFrame, queries: DataFrame) -> DataFrame:
@@ -251,6 +250,26 @@ def replay_report(per_user: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def interval_values(per_user: DataFrame, queries: DataFrame, metric: str = "ndcg") -> DataFrame:
+    """(cohort, queries, series, user, value) for paired intervals: all queries, and those whose target
+    was new to the user. A single model's row per user is its own series."""
+    facts = queries.select("cohort", "user", "target_in_profile")
+    subsets = F.array_compact(F.array(F.lit("all"), F.when(~F.col("target_in_profile"), "new repo")))
+    joined = per_user.join(facts, ["cohort", "user"]).withColumn("queries", F.explode(subsets))
+    return joined.select("cohort", "queries", F.col("model").alias("series"), "user", F.col(metric).alias("value"))
+
+
+def tuned_values(per_user: DataFrame) -> DataFrame:
+    """(cohort, series, user, value) on the report cohort: the rung that is best on the tune cohort
+    (`tuned`) and the one in service (`serving`); `per_user` as in `choose_rung`."""
+    best = choose_rung(per_user).filter("is_best").select("k", "beta")
+    report = per_user.filter(F.col("cohort") == "report")
+    now = (F.col("k") == LADDER_NOW[0]) & (F.col("beta") == LADDER_NOW[1])
+    tuned = report.join(F.broadcast(best), ["k", "beta"]).withColumn("series", F.lit("tuned"))  # one rung
+    both = tuned.unionByName(report.filter(now).withColumn("series", F.lit("serving")))
+    return both.select("cohort", "series", "user", F.col("ndcg").alias("value"))
+
+
 def choose_rung(per_user: DataFrame) -> DataFrame:
     """(k, beta, tune_ndcg, report_ndcg): the rung that is best on the tune cohort (ties to the
     smaller k) and the one in service, each with both cohorts' NDCG.

@@ -19,13 +19,6 @@ TILE_CELLS = 8_000_000  # scores held at once inside a task
 DIGITS = 12  # scores equal to this many decimals are ties
 
 
-def score_pairs(pairs: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """(user, item, score) for given pairs. `users`: user, vec. `items`: item, vec."""
-    u = users.select("user", F.col("vec").alias("_u"))
-    i = items.select("item", F.col("vec").alias("_i"))
-    return pairs.join(u, "user").join(i, "item").withColumn("score", dot(F.col("_u"), F.col("_i"))).drop("_u", "_i")
-
-
 def _by_score() -> list[Column]:
     return [comparable("score", DIGITS).desc(), F.col("item")]
 
@@ -50,28 +43,43 @@ def _owner_best(
 ) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the `keep` largest finite scores per row with at most `cap` per owner.
 
-    Columns are ordered by owner, then id; ties go to the lower id. Uses `scores` up.
+    Columns are ordered by owner, then id; ties go to the lower id. Uses `scores` up. Only owners with
+    more than `cap` columns are looked at one by one.
     """
-    every = np.arange(len(scores))
     starts = np.flatnonzero(np.r_[True, owners[1:] != owners[:-1]])
-    rows, cols, values = [], [], []
-    for a, b in zip(starts, np.r_[starts[1:], len(owners)], strict=True):
+    ends = np.r_[starts[1:], len(owners)]
+    for a, b in zip(starts[ends - starts > cap], ends[ends - starts > cap], strict=True):
         part = scores[:, a:b]
-        for _ in range(min(cap, b - a)):
-            at = part.argmax(axis=1)
-            value = part[every, at]
-            ok = np.isfinite(value)
-            rows.append(every[ok])
-            cols.append(a + at[ok])
-            values.append(value[ok])
-            part[every, at] = -np.inf
-    rows, cols, values = np.concatenate(rows), np.concatenate(cols), np.concatenate(values)
-    order = np.lexsort((ids[cols], -values, rows))
+        over = np.argsort(-part, axis=1, kind="stable")[:, cap:]
+        np.put_along_axis(part, over, -np.inf, axis=1)
+    m = scores.shape[1]
+    fits = np.isfinite(scores)
+    if m > keep:
+        fits &= scores >= np.partition(scores, m - keep, axis=1)[:, m - keep, None]
+    rows, cols = np.nonzero(fits)
+    order = np.lexsort((ids[cols], -scores[rows, cols], rows))
     rows, cols = rows[order], cols[order]
     ok = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < keep
     return rows[ok], cols[ok]
 
 
+def tag_score(boost: Column, tags: Column, tag: Column) -> Column:
+    """What a query's boost adds to an item: the boost if the item's tag is one of the query's."""
+    return F.when(F.array_contains(tags, tag), boost).otherwise(0.0)
+
+
+def _tag_scores(vectors: pd.DataFrame, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """(queries x tags of the block) boosts and the column of each item."""
+    codes, names = pd.factorize(tags)
+    place = {t: k for k, t in enumerate(names)}
+    boosts = np.zeros((len(vectors), len(names) + 1))  # the last column is for items without a tag
+    for row, (mine, boost) in enumerate(zip(vectors["tags"], vectors["boost"], strict=True)):
+        for t in mine if mine is not None else ():
+            if t in place:
+                boosts[row, place[t]] = boost
+    return boosts, np.where(codes < 0, len(names), codes)
+
+
 def blocked_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -87,7 +95,11 @@ def blocked_topk(
     each pair of blocks is one task group that multiplies two small matrices and keeps k rows per
     query (with `owner_cap`, at most that many per owner). A last pass merges the block winners.
     Counts both inputs to choose the number of blocks.
+
+    With `tags` (array) and `boost` in `queries` and `tag` in `items`, a query's boost is added to the
+    items whose tag it has: a product with one-hot vectors, however many tags there are.
     """
+    tagged = "tags" in queries.columns and "tag" in items.columns
     rows_q, rows_i = max(1, queries.count()), max(1, items.count())
     # small inputs: smaller blocks, so that every core gets a few of them
     cores = queries.sparkSession.sparkContext.defaultParallelism
@@ -102,6 +114,8 @@ def blocked_topk(
     left = queries.select(
         "query",
         vec.alias("vec"),
+        (F.col("tags") if tagged else F.lit(None)).cast("array<string>").alias("tags"),
+        (F.col("boost") if tagged else F.lit(0.0)).cast("double").alias("boost"),
         F.lit(None).cast(items.schema["item"].dataType).alias("item"),
         part("query", n_q).alias("qb"),
         F.explode(all_i).alias("ib"),
@@ -111,6 +125,8 @@ def blocked_topk(
             exclude.select("query", "item").select(
                 "query",
                 F.lit(None).cast("array<double>").alias("vec"),
+                F.lit(None).cast("array<string>").alias("tags"),
+                F.lit(0.0).alias("boost"),
                 "item",
                 part("query", n_q).alias("qb"),
                 part("item", n_i).alias("ib"),
@@ -118,7 +134,12 @@ def blocked_topk(
         )
     owner = F.col("owner") if owner_cap else F.lit("")
     right = items.select(
-        "item", vec.alias("vec"), owner.alias("owner"), part("item", n_i).alias("ib"), F.explode(all_q).alias("qb")
+        "item",
+        vec.alias("vec"),
+        owner.alias("owner"),
+        (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
+        part("item", n_i).alias("ib"),
+        F.explode(all_q).alias("qb"),
     )
 
     def multiply(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
@@ -138,10 +159,13 @@ def blocked_topk(
         by_row = np.argsort(gone_q, kind="stable")
         gone_q, gone_i = gone_q[by_row], gone_i[by_row]
         owners = v["owner"].to_numpy()
+        boosts, tag_of = _tag_scores(vectors, v["tag"].to_numpy()) if tagged else (None, None)
         step = max(1, TILE_CELLS // len(v))
         out = []
         for a in range(0, len(names), step):
             raw = left_m[a : a + step] @ right_m.T
+            if tagged:
+                raw += boosts[a : a + step][:, tag_of]
             s = np.round(raw, DIGITS)
             lo, hi = np.searchsorted(gone_q, [a, a + step])
             s[gone_q[lo:hi] - a, gone_i[lo:hi]] = -np.inf

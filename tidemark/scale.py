@@ -60,14 +60,6 @@ def count_up(df: DataFrame, n: str, name: str, step: int = 100_000) -> DataFrame
     return pieces.withColumn(name, F.explode(F.sequence(F.col("_p") * step, last))).drop("_p")
 
 
-def short_list(df: DataFrame, column: str, most: int = 4_096) -> list[str]:
-    """Sorted distinct values of a column that is short by nature; refuses to collect a long one."""
-    found = df.select(column).filter(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"{column!r} has more than {most} values")
-    return sorted(r[0] for r in found)
-
-
 def hot_keys(df: DataFrame, by: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `hot_rows` rows; at most rows / hot_rows of them."""
     return df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > hot_rows)
