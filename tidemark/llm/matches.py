@@ -39,7 +39,9 @@ def spans_of(text: Column, kind: str, pattern: str) -> Column:
 
     In the pattern ``\\G`` is the end of the match before. A text without any match takes one plain search.
     """
-    both = F.lit(f"(?s)(.*?)({pattern})")
+    # \G: a gap starts where the match before ended; without it the rest of a text without a further
+    # match would be searched again from each of its characters
+    both = F.lit(rf"(?s)\G(.*?)({pattern})")
     parts = F.arrays_zip(
         F.regexp_extract_all(text, both, F.lit(0)).alias("part"),
         F.regexp_extract_all(text, both, F.lit(2)).alias("value"),
