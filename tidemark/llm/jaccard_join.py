@@ -15,8 +15,11 @@ linked sets at least one has the same value, so:
   value is shared with; the candidates are verified on their whole sets.
 
 Only what connects texts is wanted, so candidates come in rounds: each prober first meets one set, the
-hub, for each of its values; sets that are already connected need no further candidates. The last round
-takes every pair of a value that is not connected yet.
+hub, for each of its values; sets that are already connected need no further candidates. Values that more
+than `DENSE` sets still hold unconnected (large groups of texts that are alike, but not alike enough) tie
+their holders to families, whose sets are compared in blocks by matrix products; a block pair returns the
+links that connect it, not its pairs. The last round takes every pair of the other values that is not
+connected yet.
 
 Bands of small sets have one segment for each element. Empty sets (no words, null text) link with
 nothing. Texts with equal sets are one set throughout. Repeated rows are texts with equal sets. A null
@@ -40,9 +43,12 @@ WORDS, PERCENT = 5, 75
 FINEST = 64  # bands up to this size have a segment for each element
 SEGMENTS = 0.72  # segments per smallest size of a band above
 NEIGHBOURHOOD = 4  # every how many segments have one-deletion neighbourhoods
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+DENSE = 64  # holders of a value up to which they are paired one by one
+BLOCK_SETS, BLOCK_ELEMENTS = 1_024, 1 << 20  # of a block of a family
+COLUMNS = 4_096  # elements per matrix product
 BROADCAST_SETS = 1_000_000  # more sets than this are joined by shuffle
-PORTION = 2 << 20
+PORTION = 1 << 20  # bytes of text or elements worked on at once
 
 _EACH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -242,19 +248,30 @@ def _set_blobs(sets: DataFrame, percent: int) -> DataFrame:
     buckets = _buckets(sets)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "elements", 2 * PORTION):
+        for batch in _portions(batches, 2 * PORTION):
             elements, at = _elements(batch.column(1))
             yield _rows(list(_blobs(elements, at, batch.column(0).to_numpy().astype(np.int64).view(np.uint64), percent, buckets)), _KIND)
 
     return sets.select("name", "elements").mapInArrow(work, _BLOBS)
 
 
-def _elements(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    raw, at = flat(column)
-    return np.frombuffer(raw.tobytes(), "<u8"), at // 8
+def _elements(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].view(np.uint64), at - at[0]
+
 
+def _portions(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The same sets in batches of about `most` bytes of elements (the second column)."""
+    for batch in batches:
+        at, first = batch.column(1).offsets.to_numpy().astype(np.int64), 0
+        while first < batch.num_rows:
+            last = int(np.searchsorted(at, at[first] + most // 8, side="right")) - 1
+            last = min(max(last, first + 1), batch.num_rows)
+            yield batch.slice(first, last - first)
+            first = last
 
-_DESCRIBED = "doc_id long, th long, name long, h1 long, h2 long, n long, elements binary"
+
+_DESCRIBED = "doc_id long, th long, name long, h1 long, h2 long, n long, elements array<long>"
 
 
 def _describe(docs: DataFrame, size: int) -> DataFrame:
@@ -265,7 +282,7 @@ def _describe(docs: DataFrame, size: int) -> DataFrame:
         for batch in slices(batches, most=PORTION):
             elements, at = shingle_sets(batch.column(2), size)
             h1, h2 = set_hashes(elements, at)
-            raw = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((8 * at).astype(np.int32).tobytes()), pa.py_buffer(elements.tobytes())])
+            raw = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(elements.view(np.int64)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array((h1 & ~np.uint64(1)).view(np.int64)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(np.diff(at)), raw],
                 [c.split()[0] for c in _DESCRIBED.split(", ")],
@@ -292,7 +309,7 @@ def _values(sets: DataFrame, percent: int) -> DataFrame:
     names = [c.split()[0] for c in _VALUES.split(", ")]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "elements", PORTION):
+        for batch in _portions(batches, PORTION):
             elements, at = _elements(batch.column(1))
             u, size = batch.column(0).to_numpy(), np.diff(at)
             e = Entries(elements, at, percent)
@@ -372,21 +389,11 @@ def _allot(percent: int):
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """u, x and whether they link, by their whole sets."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "a", PORTION):
-            a, a_at = _elements(batch.column(2))
-            b, b_at = _elements(batch.column(3))
-            ok = []
-            for k in range(batch.num_rows):
-                x, y = a[a_at[k] : a_at[k + 1]], b[b_at[k] : b_at[k + 1]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], ["u", "x", "linked"])
-
     elements = sets.select("u", "elements")
     joined = pairs.join(elements.withColumnRenamed("elements", "a"), "u").join(elements.select(F.col("u").alias("x"), F.col("elements").alias("b")), "x")
-    return joined.select("u", "x", "a", "b").mapInArrow(work, "u long, x long, linked boolean")
+    common = F.size(F.array_intersect("a", "b"))
+    counted = joined.select("u", "x", common.alias("common"), (F.size("a") + F.size("b")).alias("both"))
+    return counted.select("u", "x", (100 * F.col("common") >= percent * (F.col("both") - F.col("common"))).alias("linked"))
 
 
 def components(links: DataFrame, labels: DataFrame) -> DataFrame:
@@ -430,27 +437,27 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     labels = cut(probes.select("u").union(holders.select("x")).distinct().withColumn("label", F.col("u")), "labels")
     tried = None
     for turn in range(HUB_ROUNDS + 1):
+        last = turn == HUB_ROUNDS
+        if last:
+            families, links = _families(probes, holders, labels, sets, percent)
+            labels = components(cut(links, "links"), labels)
         mine = labels.select("u", F.col("label").alias("a"))
         theirs = labels.select(F.col("u").alias("x"), F.col("label").alias("b"))
-        holding = holders.join(theirs, "x")
         probing = probes.join(mine, "u")
-        # values whose holders and probers are not all connected yet
-        spread = (
-            holding.select("key", "wants", F.col("b").alias("c"))
-            .unionByName(probing.select("key", "wants", F.col("a").alias("c")))
-            .groupBy("key", "wants")
-            .agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-            .filter("lo != hi")
-            .select("key", "wants")
-        )
-        holding = holding.join(spread, ["key", "wants"], "left_semi")
-        if turn < HUB_ROUNDS:
+        open_values = _unconnected(probes, holders, labels)
+        if last:  # the dense values were compared in blocks
+            open_values = open_values.filter("not dense")
+        holding = holders.join(theirs, "x").join(open_values, ["key", "wants"], "left_semi")
+        if not last:
             # a hub for each value; every round another one
             order = F.col("x") if turn == 0 else F.xxhash64("b", F.lit(turn))
             holding = holding.groupBy("key", "wants").agg(F.min_by(F.struct("x", "b"), order).alias("hub")).select("key", "wants", "hub.x", "hub.b")
         met = probing.join(holding.hint("shuffle_merge"), ["key", "wants"]).filter("a != b").select(F.least("u", "x").alias("u"), F.greatest("u", "x").alias("x")).distinct()
         if tried is not None:
             met = met.join(tried, ["u", "x"], "left_anti")
+        if last:
+            of = families.select("u", F.col("label").alias("f")), families.select(F.col("u").alias("x"), F.col("label").alias("g"))
+            met = met.join(of[0], "u", "left").join(of[1], "x", "left").filter("f is null or g is null or f != g").select("u", "x")
         verified = cut(_verify(cut(met, "pairs"), sets, percent), "verified")
         if not verified.isEmpty():
             labels = components(verified.filter("linked").select("u", "x"), labels)
@@ -458,6 +465,78 @@ def _connect(sets: DataFrame, percent: int) -> DataFrame:
     return labels
 
 
+def _unconnected(probes: DataFrame, holders: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, wants, dense): values whose holders and probers have several labels; dense: more than `DENSE` of them."""
+    all_ = holders.withColumnRenamed("x", "u").unionByName(probes).join(labels, "u")
+    counted = all_.groupBy("key", "wants").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n"))
+    return counted.filter("lo != hi").select("key", "wants", (F.col("n") > DENSE).alias("dense"))
+
+
+def _families(probes: DataFrame, holders: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(u, label) of the sets that dense values tie together, and links that connect what is linked in a family."""
+    dense = _unconnected(probes, holders, labels).filter("dense").select("key", "wants")
+    tied = cut(holders.withColumnRenamed("x", "u").unionByName(probes).join(dense, ["key", "wants"], "left_semi"), "dense")
+    hubs = tied.groupBy("key", "wants").agg(F.min("u").alias("x"))
+    ties = tied.join(hubs.hint("shuffle_merge"), ["key", "wants"]).select("u", "x").distinct()
+    families = components(cut(ties, "ties"), cut(tied.select("u").distinct().withColumn("label", F.col("u")), "families"))
+    member = families.join(sets.select("u", F.size("elements").alias("n")), "u")
+    wide = member.groupBy("label").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_SETS, F.sum("n") / BLOCK_ELEMENTS)).cast("int").alias("blocks")
+    )
+    block = F.pmod(F.xxhash64("u"), F.col("blocks")).cast("int")
+    placed = families.join(wide, "label").withColumn("block", block)
+    # a set goes to the pairs of blocks that its own is one of: one row for each block of its family
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    spread = placed.select("u", "label", "block", other).select(
+        "u", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
+    )
+    pairs = spread.join(sets.select("u", "elements"), "u").select("label", "i", "j", "block", "u", "elements")
+    return families, pairs.groupBy("label", "i", "j").applyInArrow(_compare_blocks(percent), "u long, x long")
+
+
+def _compare_blocks(percent: int):
+    """Links that connect the sets of two blocks, at most one for each set, from all their pairs."""
+
+    def part(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = table["elements"].combine_chunks()
+        elements, at = _elements(column.chunk(0) if isinstance(column, pa.ChunkedArray) else column)
+        return table["u"].to_numpy(), elements, np.diff(at)
+
+    def dense(elements: np.ndarray, row: np.ndarray, rows: int, known: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(known, elements), len(known) - 1)
+        here = known[at] == elements
+        out = np.zeros((rows, len(known)), np.float32)
+        out[row[here], at[here]] = 1
+        return out
+
+    def work(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        block = table["block"].to_numpy()
+        left, right = part(table.filter(pa.array(block == i))), part(table.filter(pa.array(block == j)))
+        (a, ea, na), (b, eb, nb) = left, right
+        both = np.intersect1d(ea, eb)
+        row_a, row_b = np.repeat(np.arange(len(a)), na), np.repeat(np.arange(len(b)), nb)
+        common = np.zeros((len(a), len(b)), np.float32)
+        for k in range(0, len(both), COLUMNS):
+            known = both[k : k + COLUMNS]
+            common += dense(ea, row_a, len(a), known) @ dense(eb, row_b, len(b), known).T
+        linked = 100 * common >= percent * (na[:, None] + nb[None, :] - common)
+        name = np.concatenate((a, b))
+        root = np.unique(name, return_inverse=True)[1]  # in a block with itself a set is there twice
+        edges: list[tuple[int, int]] = []
+        for r in range(len(a)):
+            near = np.flatnonzero(linked[r])
+            found, first = np.unique(root[len(a) + near], return_index=True)
+            new = found != root[r]
+            if new.any():
+                edges += [(int(a[r]), int(b[near[f]])) for f in first[new]]
+                root[np.isin(root, found)] = root[r]
+        u, x = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table({"u": pa.array(u, pa.int64()), "x": pa.array(x, pa.int64())})
+
+    return work
+
+
 def _joined(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, th, n and component of each row."""
     names = cut(_alive(_text_blobs(docs, size, percent)).withColumn("alive", F.lit(True)), "names")
