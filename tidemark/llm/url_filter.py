@@ -53,7 +53,7 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
 def _entropy(text: Column) -> Column:
     """Shannon entropy of the characters, in bits."""
     size = F.length(text)
-    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / size)
+    shares = F.transform(F.array_distinct(F.split(text, "")), lambda c: (size - F.length(F.replace(text, c, F.lit("")))) / F.greatest(size, F.lit(1)))
     return F.coalesce(-F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a + p * F.log2(p)), F.lit(0.0))
 
 
