@@ -12,7 +12,10 @@ another; matches end with their text. All strings are judged on the input.
    compared by the length of their common extension, found by binary search on prefix polynomial hashes.
    Neighbours with LENGTH common bytes are repeated, after their bytes have been compared as well.
 4. A gram with more than `LIMIT` different contexts (the edge of a passage that very many texts share) is
-   split by the text of its windows instead: equal windows meet by hash in a distributed count.
+   split by the text around it instead. Each context is cut into pieces of `CLASS` windows, at fixed
+   distances from the anchor. Windows can only be equal within pieces whose common bytes are equal; pieces
+   that are equal altogether are repeated as a whole; only what is left, a piece or two at the edge of a
+   passage, is counted window by window. All of this is distributed counting by hash.
 
 Texts are moved between tasks once, by document, and that exchange serves the fetching of contexts and
 the final cut. Text columns other than `text` are carried along untouched.
@@ -36,6 +39,7 @@ from tidemark.scale import cut
 
 LENGTH = 200
 GRAM = 64
+CLASS = 16  # windows in a piece of a context of a very common gram
 LIMIT = 256  # different contexts of a gram that are sorted in one task
 CHUNK = 1 << 18  # windows sorted at once
 PORTION = 1 << 20  # bytes of text worked on at once; a longer text is worked on alone
@@ -189,10 +193,32 @@ def repeated_windows(grams: np.ndarray, raw: np.ndarray, at: np.ndarray, windows
     return context_at, window_at
 
 
-CONTEXT = "g long, c long, id long, th int, low long, windows int, place int, n long, bytes binary, hashes array<long>"
+CONTEXT = "g long, c long, id long, th int, low long, windows int, place int, n long, bytes binary, classes array<struct<key:bigint,piece:bigint,first:int,hashes:array<bigint>>>"
 SPAN = "id long, th int, start long, stop long"
 
 
+def _classes(prefix: np.ndarray, low: int, windows: int, place: int, length: int, gram: int) -> list[dict]:
+    """Pieces of a context: the windows whose starts lie CLASS * c to CLASS * (c + 1) - 1 bytes before the anchor.
+
+    key: hash of the bytes that all windows of a whole piece have; piece: hash of the piece and where it
+    lies; first: its first window in the context; hashes of its windows.
+    """
+    anchor = low + place
+    s = np.arange(low, low + windows)
+    hashes = mix(span_hashes(prefix, s, s + length)).view(np.int64)
+    of = (anchor - s) // CLASS
+    bounds = runs(of)
+    c, first, last = of[bounds[:-1]], bounds[:-1], bounds[1:] - 1
+    name = mix(c.astype(np.uint64) + np.uint64(gram & (1 << 64) - 1))
+    key = mix(name + span_hashes(prefix, anchor - CLASS * c, anchor - CLASS * c - (CLASS - 1) + length))
+    where = mix((anchor - s[first]).astype(np.uint64) << np.uint64(16) | (last - first).astype(np.uint64))
+    piece = mix(where + span_hashes(prefix, s[first], s[last] + length))
+    return [
+        {"key": k, "piece": p, "first": a, "hashes": hashes[a : b + 1].tolist()}
+        for k, p, a, b in zip(key.view(np.int64).tolist(), piece.view(np.int64).tolist(), first.tolist(), last.tolist(), strict=True)
+    ]
+
+
 def _fetch(length: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Contexts of the wanted anchors: bytes where they are sorted, window hashes where they are counted."""
 
@@ -205,13 +231,12 @@ def _fetch(length: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
                 prefix = prefix_hashes(raw) if any(w["contexts"] > limit for w in wanted) else None
                 for w in wanted:
                     low, more, place = w["spot"] >> 16, w["spot"] >> 8 & 255, w["spot"] & 255
-                    hashes = piece = None
+                    classes = piece = None
                     if w["contexts"] > limit:
-                        s = np.arange(low, low + more + 1)
-                        hashes = mix(span_hashes(prefix, s, s + length)).view(np.int64)
+                        classes = _classes(prefix, low, more + 1, place, length, w["g"])
                     else:
                         piece = data[low : low + more + length]
-                    rows.append((w["g"], w["c"], id_, th, low, more + 1, place, w["n"], piece, hashes))
+                    rows.append((w["g"], w["c"], id_, th, low, more + 1, place, w["n"], piece, classes))
                 if len(rows) >= 4096:
                     yield _contexts(rows)
                     rows = []
@@ -221,7 +246,8 @@ def _fetch(length: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return work
 
 
-_CONTEXT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+_PIECES = pa.list_(pa.struct([("key", pa.int64()), ("piece", pa.int64()), ("first", pa.int32()), ("hashes", pa.list_(pa.int64()))]))
+_CONTEXT_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), _PIECES]
 _CONTEXT_NAMES = [c.split()[0] for c in CONTEXT.split(", ")]
 
 
@@ -304,13 +330,25 @@ def repeated_spans(docs: DataFrame, texts: DataFrame, length: int = LENGTH, gram
         .sortWithinPartitions("g")
         .mapInArrow(_sort(length), SPAN)
     )
-    window = pieces.filter("hashes is not null").select("id", "th", "low", "n", F.posexplode("hashes").alias("k", "h"))
+    classes = pieces.filter("classes is not null").select("id", "th", "low", "n", F.inline("classes"))
+    at = F.struct("id", "th", (F.col("low") + F.col("first")).alias("start"))
+    different = classes.groupBy("key", "piece").agg(F.sum("n").alias("n"), F.min(at).alias("at"), F.first("hashes").alias("hashes"))
+    # equal pieces, in all their places
+    equal = (
+        classes.filter("n = 1")
+        .join(different.filter("n > 1").select("key", "piece").hint("shuffle_merge"), ["key", "piece"])
+        .select("id", "th", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("first") + F.size("hashes") - 1 + length).alias("stop"))
+    )
+    # different pieces with the same common bytes, window by window
+    open_keys = different.groupBy("key").agg(F.count(F.lit(1)).alias("pieces")).filter("pieces > 1").select("key")
+    window = different.join(open_keys.hint("shuffle_merge"), "key").select("at", "n", F.posexplode("hashes").alias("k", "h"))
     again = window.groupBy("h").agg(F.sum("n").alias("all")).filter("all > 1").select("h")
-    many = (
+    single = (
         window.filter("n = 1")
         .join(again.hint("shuffle_merge"), "h")
-        .select("id", "th", (F.col("low") + F.col("k")).alias("start"), (F.col("low") + F.col("k") + length).alias("stop"))
+        .select("at.id", "at.th", (F.col("at.start") + F.col("k")).alias("start"), (F.col("at.start") + F.col("k") + length).alias("stop"))
     )
+    many = equal.unionByName(single)
     low, more = F.shiftright("spot", 16), F.shiftright("spot", 8).bitwiseAND(255)
     whole = shared.join(contexts.filter("n > 1").select("g", "c").hint("shuffle_merge"), ["g", "c"]).select(
         "id", "th", low.alias("start"), (low + more + length).alias("stop")
