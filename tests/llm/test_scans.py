@@ -95,6 +95,29 @@ def test_repetition_equals_brute_force(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, r in got.items() if r["kept"])
 
 
+def test_pasted_passages_fail_texts_that_the_fixed_rule_passes(spark):
+    word = iter(range(10**6))
+    fresh = lambda n: [f"w{next(word)}" for _ in range(n)]
+    long_, short, ten = fresh(22), [fresh(8) for _ in range(4)], fresh(9)
+    rows = [
+        (1, fresh(20) + long_ + fresh(36) + long_),  # one passage twice: 22 longest, 44 covered
+        (2, sum(([*s, *fresh(2)] for s in short + short), fresh(20))),  # four passages twice: 8 longest, 64 covered
+        (3, fresh(100) + ten + fresh(9) + ten),  # 9 of 127 longest, 18 covered
+        (4, fresh(100)),
+        (5, fresh(20) + (t := fresh(7)) + fresh(20) + t),  # 7 of 54 words twice: under MIN_WORDS
+        (6, sum(([*s, *fresh(30)] for s in short + short), [])),  # 8 longest, 64 of 304 covered
+        (7, sum(([*s, *fresh(16)] for s in short + short), [])),  # 8 longest (4 percent), 64 of 192 covered
+    ]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in rows], TEXTS)
+    got = {r["doc_id"]: r for r in rules.rules(docs).collect()}
+    assert all(not got[i]["base_failed"] for i in (1, 3, 4, 5, 6, 7))
+    assert {i for i, r in got.items() if r["kept"]} == {3, 4, 5, 6}
+    # each clause decides by itself
+    assert 100 * got[7]["longest_repeat"] <= rules.LONGEST * got[7]["n_words"]
+    one = rules.rules(docs.filter("doc_id = 1"), most_covered=100).first()
+    assert not one["kept"] and {r["doc_id"] for r in rules.keep(docs).select("doc_id").collect()} == {3, 4, 5, 6}
+
+
 def test_licences_equal_sql(spark):
     rnd, templates = random.Random(1), license_scan.TEMPLATES
     rows = [(1, None), (2, ""), (3, "\n\n"), (4, templates["MIT permission"]), (6, "All rights reserved"), (6, "All rights reserved"), (7, templates["MIT"] + "\n" + templates["GPL-3.0"].replace("license", "LICENCE"))]

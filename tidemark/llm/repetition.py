@@ -8,7 +8,12 @@ longest prefix gives the longest repeat. Word sequences are compared by 64-bit h
 
 A text is kept unless the fixed rule fails it (fewer than 50 words, or more than half of the words in
 repeated three-word windows), more than `COVERED` percent of the words are covered, or the longest
-repeat is over `LONGEST` percent of the words.
+repeat has at least `MIN_WORDS` words and over `LONGEST` percent of the words.
+
+The limits come from the Gopher rules for repeated 8- to 10-word windows: 12 percent of a text in further
+copies, which is 24 percent with the first ones, and 10 percent for a single passage. A passage found twice
+covers twice its length, so a `LONGEST` under half of `COVERED` is needed for it to decide anything, and
+both have to be well under the 50 percent at which the fixed rule fails a text by itself.
 
 Nulls and empty texts have no words and fail the fixed rule. Very long texts are worked on alone.
 Repeated rows give repeated results. Columns other than `doc_id` and `text` are not read.
@@ -25,8 +30,8 @@ from pyspark.sql import DataFrame
 from tidemark.llm.arrays import flat, mix, prefix_hashes, runs, slices, span_hashes, words
 
 MIN_WORDS = 8  # shortest repeated passage that counts
-COVERED = 50  # percent of the words in repeated passages
-LONGEST = 40  # percent of the words in the longest one
+COVERED = 24  # percent of the words in repeated passages
+LONGEST = 10  # percent of the words in the longest one
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True
@@ -160,11 +165,11 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarra
     }
 
 
-def _verdicts(m: dict[str, np.ndarray], most_covered: int, most_longest: int) -> tuple[np.ndarray, np.ndarray]:
+def _verdicts(m: dict[str, np.ndarray], min_words: int, most_covered: int, most_longest: int) -> tuple[np.ndarray, np.ndarray]:
     """(base_failed, kept) from the counts of `measure`."""
     failed = (m["n_words"] < 50) | (100 * m["n_repeat_words"] > 50 * m["n_words"])
-    over = (100 * m["n_covered_words"] > most_covered * m["n_words"]) | (100 * m["longest_repeat"] > most_longest * m["n_words"])
-    return failed, ~(failed | over)
+    long_ = (m["longest_repeat"] >= min_words) & (100 * m["longest_repeat"] > most_longest * m["n_words"])
+    return failed, ~(failed | long_ | (100 * m["n_covered_words"] > most_covered * m["n_words"]))
 
 
 def rules(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVERED, most_longest: int = LONGEST) -> DataFrame:
@@ -173,7 +178,7 @@ def rules(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVER
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
             m = measure(batch.column(1), min_words)
-            failed, kept = _verdicts(m, most_covered, most_longest)
+            failed, kept = _verdicts(m, min_words, most_covered, most_longest)
             base = [m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             columns = [batch.column(0), *map(pa.array, (*base, failed, m["n_covered_words"], m["longest_repeat"], kept))]
             yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in SCHEMA.split(", ")])
@@ -187,7 +192,7 @@ def keep(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVERE
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, most=2 << 20):
-            _, kept = _verdicts(measure(batch.column(text_at), min_words), most_covered, most_longest)
+            _, kept = _verdicts(measure(batch.column(text_at), min_words), min_words, most_covered, most_longest)
             yield batch.filter(pa.array(kept))
 
     return docs.mapInArrow(work, docs.schema)
