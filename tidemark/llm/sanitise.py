@@ -4,7 +4,7 @@ Fixed rules find e-mail addresses, network addresses, card and telephone numbers
 a protected entity. Removing it is not enough where a term beside it points to it: the corpus tells how
 strongly. For an entity e and a term t of its context (words within `REACH` code points)
 
-    P(e | t) = texts where t stands beside e / rows where t occurs
+    P(e | t) = texts where t stands beside e / texts where t occurs
     PMI(e; t) = log2(N P(e, t) / (P(e) P(t))) = IC(e) + log2 P(e | t)
 
 with IC(e) = -log2 P(e), the information that the entity holds. A term discloses the entity when what it
@@ -12,8 +12,8 @@ leaves hidden, -log2 P(e | t), is at most `HIDDEN` bits, and it stands beside th
 `SUPPORT` different texts. Disclosing terms are added as spans of kind ``term``: ``sanitise`` generalises
 those that have a wider class (capitalised words, words with digits) and removes the rest.
 
-Co-occurrences count different texts and term counts count all rows, so copies of a text never make its
-words telling. All counts cover the whole corpus. Everything is DataFrame expressions and joins.
+Both sides count different texts, so copies of a text neither make its words telling nor hide them. All
+counts cover the whole corpus. Everything is DataFrame expressions and joins.
 
 Nulls and empty texts have no spans. Repeated rows give repeated results; rows that share a doc_id but
 not the text are told apart by a hash of the text. `sanitise` carries all other columns along.
@@ -94,16 +94,17 @@ def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """t (hash of the lower-case word) and the number of rows it occurs in, over the whole corpus."""
-    found = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    return docs.select(F.explode(F.transform(found, lambda w: F.xxhash64(w))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("rows"))
+    """t (hash of the lower-case word) and the number of different texts it occurs in, over the whole corpus."""
+    found = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(3, 64))
+    terms = docs.select(F.xxhash64("text").alias("th"), F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w)))).alias("terms"))
+    return terms.dropDuplicates(["th"]).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all_texts"))
 
 
 def disclosing_terms(beside: DataFrame, docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) -> DataFrame:
     """(e, t) whose term discloses the entity. `beside` has th, e, t: a term beside an entity in a text."""
     pairs = beside.select("e", "t", "th").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    counts = term_counts(docs).filter(F.col("rows") >= support)
-    return pairs.join(counts, "t").filter(-F.log2(F.col("texts") / F.col("rows")) <= hidden).select("e", "t")
+    counts = term_counts(docs).filter(F.col("all_texts") >= support)
+    return pairs.join(counts, "t").filter(-F.log2(F.col("texts") / F.col("all_texts")) <= hidden).select("e", "t")
 
 
 def _spots(docs: DataFrame, support: int, hidden: float) -> DataFrame:
