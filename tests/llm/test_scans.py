@@ -46,6 +46,15 @@ def test_copies_do_not_make_terms_telling(spark):
     assert found == {"email:16:29"}
 
 
+def test_entities_of_one_or_two_texts_are_disclosed(spark):
+    rows = [(1, "ask Zabrov at zab@corp.com now"), (2, "ask Quillen at q@corp.com now"), (3, "ask Quillen at q@corp.com again")]
+    rows += [(50 + i, f"ask at now again {i}") for i in range(40)]
+    found = {r["doc_id"]: r["spans"] for r in sanitise.digests(spark.createDataFrame(rows, TEXTS)).collect()}
+    assert found[1] == "email:14:26,term:4:10"
+    assert found[2] == found[3] == "email:15:25,term:4:11"
+    assert found[50] == ""
+
+
 def test_copies_of_a_disclosing_text_change_nothing(spark):
     rows = [(i, f"Agent Marlow writes to jane@corp.com on day {i}") for i in range(5)]
     rows += [(50 + i, f"people writes on one day {i}") for i in range(20)]

@@ -4,13 +4,15 @@ Fixed rules find e-mail addresses, network addresses, card and telephone numbers
 a protected entity. Removing it is not enough where a term beside it points to it: the corpus tells how
 strongly. For an entity e and a term t of its context (words within `REACH` code points)
 
-    P(e | t) = texts where t stands beside e / texts where t occurs
-    PMI(e; t) = log2(N P(e, t) / (P(e) P(t))) = IC(e) + log2 P(e | t)
+    P(e | t) = texts with t beside e / (texts with t + DOUBT (1 - P(t | e) (1 - P(e))))
+    PMI(e; t) = log2(P(e | t) / P(e)) = IC(e) + log2 P(e | t)
 
-with IC(e) = -log2 P(e), the information that the entity holds. A term discloses the entity when what it
-leaves hidden, -log2 P(e | t), is at most `HIDDEN` bits, and it stands beside the entity in at least
-`SUPPORT` different texts. Disclosing terms are added as spans of kind ``term``: ``sanitise`` generalises
-those that have a wider class (capitalised words, words with digits) and removes the rest.
+with IC(e) = -log2 P(e), the information that the entity holds. The estimate is smoothed by at most `DOUBT`
+texts without e: less of them the more of the entity's texts have the term and the rarer the entity is.
+So a word seen once beside an entity of many texts says little, and the one name beside an address that is
+found in a single text says all. A term discloses the entity when what it leaves hidden, -log2 P(e | t), is
+at most `HIDDEN` bits. Disclosing terms are added as spans of kind ``term``: ``sanitise`` generalises those
+that have a wider class (capitalised words, words with digits) and removes the rest.
 
 Both sides count different texts, so copies of a text neither make its words telling nor hide them. All
 counts cover the whole corpus. Everything is DataFrame expressions and joins.
@@ -28,7 +30,7 @@ from tidemark.llm.matches import SPAN, counted, merged_spans, no_spans, replaced
 from tidemark.scale import cut
 
 REACH = 48
-SUPPORT = 3
+DOUBT = 2.0  # texts
 HIDDEN = 1.0  # bits: P(e | t) of a half and more
 
 KINDS = ("email", "ip", "card", "phone")
@@ -100,14 +102,18 @@ def term_counts(docs: DataFrame) -> DataFrame:
     return terms.dropDuplicates(["th"]).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all_texts"))
 
 
-def disclosing_terms(beside: DataFrame, docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) -> DataFrame:
+def disclosing_terms(beside: DataFrame, docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
     """(e, t) whose term discloses the entity. `beside` has th, e, t: a term beside an entity in a text."""
-    pairs = beside.select("e", "t", "th").distinct().groupBy("e", "t").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") >= support)
-    counts = term_counts(docs).filter(F.col("all_texts") >= support)
-    return pairs.join(counts, "t").filter(-F.log2(F.col("texts") / F.col("all_texts")) <= hidden).select("e", "t")
+    count = F.count(F.lit(1))
+    n = max(docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0], 1)
+    pairs = beside.select("e", "t", "th").distinct().groupBy("e", "t").agg(count.alias("texts"))
+    entities = beside.select("e", "th").distinct().groupBy("e").agg(count.alias("e_texts"))
+    doubtful = doubt * (1 - F.col("texts") / F.col("e_texts") * (1 - F.col("e_texts") / n))
+    telling = F.col("texts") / (F.col("all_texts") + doubtful) >= 2.0**-hidden
+    return pairs.join(entities, "e").join(term_counts(docs), "t").filter(telling).select("e", "t")
 
 
-def _spots(docs: DataFrame, support: int, hidden: float) -> DataFrame:
+def _spots(docs: DataFrame, doubt: float, hidden: float) -> DataFrame:
     """id, th, doc_id, base and spans (base and disclosing terms) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     with_base = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
@@ -126,21 +132,21 @@ def _spots(docs: DataFrame, support: int, hidden: float) -> DataFrame:
         .distinct()
     )
     found = (
-        beside.join(disclosing_terms(beside, docs, support, hidden), ["e", "t"])
+        beside.join(disclosing_terms(beside, docs, doubt, hidden), ["e", "t"])
         .groupBy("id", "th")
         .agg(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind"), "value")).cast(SPAN).alias("terms"))
     )
     return spots.join(found, ["id", "th"], "left").select("id", "th", "doc_id", "base", F.concat("base", F.coalesce("terms", no_spans())).alias("spans"))
 
 
-def find(docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) -> DataFrame:
+def find(docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
     """Per row: doc_id, base and spans, arrays of (start, stop, kind, value)."""
-    return _spots(docs, support, hidden).select("doc_id", "base", "spans")
+    return _spots(docs, doubt, hidden).select("doc_id", "base", "spans")
 
 
-def digests(docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) -> DataFrame:
+def digests(docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
     """Per row: doc_id, the number of each fixed kind, base_sha256 of the fixed spans, all spans as text."""
-    return find(docs, support, hidden).select(
+    return find(docs, doubt, hidden).select(
         "doc_id",
         *[counted(F.col("base"), k).alias(f"n_{k}") for k in KINDS],
         F.sha2(joined(F.col("base")), 256).alias("base_sha256"),
@@ -148,12 +154,12 @@ def digests(docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) ->
     )
 
 
-def sanitise(docs: DataFrame, support: int = SUPPORT, hidden: float = HIDDEN) -> DataFrame:
+def sanitise(docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
     """`docs` with entities replaced by their kind and disclosing terms generalised or removed.
 
     Overlapping spans are replaced as one, by the mark of the first.
     """
-    spots = _spots(docs, support, hidden).filter(F.size("spans") > 0).dropDuplicates(["id", "th"]).select("id", "th", "spans")
+    spots = _spots(docs, doubt, hidden).filter(F.size("spans") > 0).dropDuplicates(["id", "th"]).select("id", "th", "spans")
     rest = [c for c in docs.columns if c != "text"]
     out = _keyed(docs, F.col("text"), F.struct(*rest).alias("row")).join(spots, ["id", "th"], "left")
     runs = merged_spans(F.col("spans"))
