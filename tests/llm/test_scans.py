@@ -55,6 +55,18 @@ def test_entities_of_one_or_two_texts_are_disclosed(spark):
     assert found[50] == ""
 
 
+def test_terms_are_found_in_the_whole_text(spark):
+    far = "some common words again and " * 5
+    text = f"Zabrov called. {far}\n\nMail zab@corp.com and zab2@corp.com now.\n\n{far} ZABROV left"
+    rows = [(1, text), (1, text)] + [(50 + i, f"called. mail now left {far} {i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, TEXTS)
+    second = text.index("ZABROV")
+    want = [f"email:{(k := text.index('zab@'))}:{k + 12}", f"email:{(k := text.index('zab2@'))}:{k + 13}", "term:0:6", f"term:{second}:{second + 6}"]
+    found = [r["spans"] for r in sanitise.digests(docs).filter("doc_id = 1").collect()]
+    assert found == [",".join(want)] * 2
+    assert {r["text"] for r in sanitise.sanitise(docs).filter("doc_id = 1").collect()} == {text.replace("Zabrov", "[name]").replace("ZABROV", "[name]").replace("zab@corp.com", "[email]").replace("zab2@corp.com", "[email]")}
+
+
 def test_copies_of_a_disclosing_text_change_nothing(spark):
     rows = [(i, f"Agent Marlow writes to jane@corp.com on day {i}") for i in range(5)]
     rows += [(50 + i, f"people writes on one day {i}") for i in range(20)]

@@ -82,3 +82,16 @@ def replaced(text: Column, spans: Column, mark: str) -> Column:
         ),
     )
     return F.array_join(pieces, mark)
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """`text` with each of the merged spans replaced by as many spaces; all places stay."""
+    count, size = F.size(spans), F.length(text)
+
+    def piece(k: Column) -> Column:
+        after = F.when(k == 0, F.lit(0)).otherwise(F.try_element_at(spans, k)["stop"])
+        start = F.when(k == count, size).otherwise(F.try_element_at(spans, k + 1)["start"])
+        stop = F.when(k == count, size).otherwise(F.try_element_at(spans, k + 1)["stop"])
+        return F.concat(F.substring(text, (after + 1).cast("int"), (start - after).cast("int")), F.repeat(F.lit(" "), (stop - start).cast("int")))
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), count), piece), "")

@@ -1,18 +1,19 @@
 """Personal data in texts, and the terms around it that would still reveal it.
 
 Fixed rules find e-mail addresses, network addresses, card and telephone numbers. Each different value is
-a protected entity. Removing it is not enough where a term beside it points to it: the corpus tells how
-strongly. For an entity e and a term t of its context (words within `REACH` code points)
+a protected entity. Removing it is not enough where a term around it points to it: the corpus tells how
+strongly. For an entity e and a term t of its context (the words outside entities of the texts that hold e)
 
-    P(e | t) = texts with t beside e / (texts with t + DOUBT (1 - P(t | e) (1 - P(e))))
+    P(e | t) = texts with t and e / (texts with t + DOUBT (1 - P(t | e) (1 - P(e))))
     PMI(e; t) = log2(P(e | t) / P(e)) = IC(e) + log2 P(e | t)
 
 with IC(e) = -log2 P(e), the information that the entity holds. The estimate is smoothed by at most `DOUBT`
 texts without e: less of them the more of the entity's texts have the term and the rarer the entity is.
-So a word seen once beside an entity of many texts says little, and the one name beside an address that is
+So a word seen once with an entity of many texts says little, and the one name with an address that is
 found in a single text says all. A term discloses the entity when what it leaves hidden, -log2 P(e | t), is
-at most `HIDDEN` bits. Disclosing terms are added as spans of kind ``term``: ``sanitise`` generalises those
-that have a wider class (capitalised words, words with digits) and removes the rest.
+at most `HIDDEN` bits. All its occurrences in the texts that hold the entity are added as spans of kind
+``term``: ``sanitise`` generalises those that have a wider class (capitalised words, words with digits) and
+removes the rest.
 
 Both sides count different texts, so copies of a text neither make its words telling nor hide them. All
 counts cover the whole corpus. Everything is DataFrame expressions and joins.
@@ -26,10 +27,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.matches import SPAN, counted, merged_spans, no_spans, replaced, spans_of
+from tidemark.llm.matches import SPAN, blanked, counted, merged_spans, no_spans, replaced, spans_of
 from tidemark.scale import cut
 
-REACH = 48
 DOUBT = 2.0  # texts
 HIDDEN = 1.0  # bits: P(e | t) of a half and more
 
@@ -72,25 +72,6 @@ def joined(spans: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
-def _context(text: Column, span: Column) -> Column:
-    """Whole words before and after a span, with their places in the text."""
-    size = F.length(text)
-
-    def side(begin: Column, end: Column) -> Column:
-        piece = F.substring(text, (begin + 1).cast("int"), (end - begin).cast("int"))
-        found = F.filter(
-            spans_of(piece, "term", TERM),
-            # a word that touches the cut may be part of a longer one
-            lambda w: ((w["start"] > 0) | (begin == 0) | (begin == span["stop"])) & ((begin + w["stop"] < end) | (end == size) | (end == span["start"])),
-        )
-        return F.transform(
-            found,
-            lambda w: F.struct((w["start"] + begin).alias("start"), (w["stop"] + begin).alias("stop"), F.lit("term").alias("kind"), w["value"].alias("value")),
-        )
-
-    return F.concat(side(F.greatest(F.lit(0), span["start"] - REACH), span["start"]), side(span["stop"], F.least(size, span["stop"] + REACH)))
-
-
 def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"), *columns)
 
@@ -103,40 +84,37 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(beside: DataFrame, docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
-    """(e, t) whose term discloses the entity. `beside` has th, e, t: a term beside an entity in a text."""
+    """(e, t) whose term discloses the entity. `beside` has one row for each text th that holds entity e (in
+    e_texts different texts) and term t."""
     count = F.count(F.lit(1))
     n = max(docs.agg(F.count_distinct(F.xxhash64("text"))).first()[0], 1)
-    pairs = beside.select("e", "t", "th").distinct().groupBy("e", "t").agg(count.alias("texts"))
-    entities = beside.select("e", "th").distinct().groupBy("e").agg(count.alias("e_texts"))
+    pairs = beside.groupBy("e", "t").agg(count.alias("texts"), F.max("e_texts").alias("e_texts"))
     doubtful = doubt * (1 - F.col("texts") / F.col("e_texts") * (1 - F.col("e_texts") / n))
     telling = F.col("texts") / (F.col("all_texts") + doubtful) >= 2.0**-hidden
-    return pairs.join(entities, "e").join(term_counts(docs), "t").filter(telling).select("e", "t")
+    return pairs.join(term_counts(docs), "t").filter(telling).select("e", "t")
 
 
 def _spots(docs: DataFrame, doubt: float, hidden: float) -> DataFrame:
     """id, th, doc_id, base and spans (base and disclosing terms) of each row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     with_base = _keyed(docs, F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    around = F.flatten(
-        F.transform(
-            "base",
-            lambda s: F.transform(_context(F.col("text"), s), lambda w: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("e"), w["start"].alias("start"), w["stop"].alias("stop"), w["value"].alias("value"))),
-        )
-    )
-    none = F.array().cast("array<struct<e:bigint,start:bigint,stop:bigint,value:string>>")
-    spots = cut(with_base.select("id", "th", "doc_id", "base", F.when(F.size("base") == 0, none).otherwise(around).alias("around")), "personal")
-    beside = (
-        spots.filter(F.size("around") > 0)
-        .select("id", "th", F.explode("around").alias("w"))
-        .select("id", "th", "w.e", F.xxhash64(F.lower("w.value")).alias("t"), "w.start", "w.stop", "w.value")
-        .distinct()
-    )
-    found = (
-        beside.join(disclosing_terms(beside, docs, doubt, hidden), ["e", "t"])
-        .groupBy("id", "th")
-        .agg(F.collect_set(F.struct("start", "stop", F.lit("term").alias("kind"), "value")).cast(SPAN).alias("terms"))
-    )
-    return spots.join(found, ["id", "th"], "left").select("id", "th", "doc_id", "base", F.concat("base", F.coalesce("terms", no_spans())).alias("spans"))
+    outside = with_base.withColumn("gone", F.when(F.size("base") > 0, merged_spans(F.col("base")))).withColumn("rest", F.when(F.size("base") > 0, blanked(F.col("text"), F.col("gone"))))
+    spots = cut(outside.select("id", "th", "doc_id", "base", spans_of(F.col("rest"), "term", TERM).alias("words")), "personal")
+    holding = spots.filter(F.size("base") > 0)
+    entities = F.array_distinct(F.transform("base", lambda s: F.xxhash64(s["kind"], F.lower(s["value"]))))
+    own = cut(holding.select("th", entities.alias("entities"), "words").dropDuplicates(["th"]), "personal-texts")
+    # entities that the same texts hold have the same terms: they count as one
+    held = own.select("th", F.explode("entities").alias("one"))
+    sets = held.groupBy("one").agg(F.count(F.lit(1)).alias("e_texts"), F.bit_xor("th").alias("x"), F.bit_xor(F.xxhash64("th")).alias("y"))
+    held = held.join(sets, "one").select("th", F.xxhash64("e_texts", "x", "y").alias("e"), "e_texts").distinct()
+    terms = own.select("th", F.explode(F.array_distinct(F.transform("words", lambda w: F.xxhash64(F.lower(w["value"]))))).alias("t"))
+    beside = held.join(terms, "th")
+    told = beside.join(disclosing_terms(beside, docs, doubt, hidden), ["e", "t"]).select("th", "t").distinct()
+    words = own.select("th", F.explode("words").alias("w")).withColumn("t", F.xxhash64(F.lower("w.value")))
+    found = words.join(told, ["th", "t"]).groupBy("th").agg(F.collect_list("w").cast(SPAN).alias("terms"))
+    result = ["id", "th", "doc_id", "base"]
+    spans = F.concat("base", F.coalesce("terms", no_spans()))
+    return holding.join(found, "th", "left").select(*result, spans.alias("spans")).unionByName(spots.filter(F.size("base") == 0).select(*result, F.col("base").alias("spans")))
 
 
 def find(docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
