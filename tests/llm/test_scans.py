@@ -106,6 +106,26 @@ def test_weak_parts_need_their_complement(spark):
     assert clean == {1: "[secret] and [secret] at [secret]", 2: rows[1][1], 3: rows[2][1], 4: "[secret] [secret]"}
 
 
+def test_long_parts_are_linked_as_by_brute_force(spark):
+    key = "aB3" * 240
+    docs = spark.createDataFrame([(1, f"{key} at https://x.example.com"), (2, "w " * 95 + "aB3" * 84 + " at https://x.example.com"), (3, f"user=bob {key}")], TEXTS)
+    found = {r["doc_id"]: r["spans"] for r in secrets_link.digests(docs).collect()}
+    assert found[1] == "linked_secret:0:720,linked_endpoint:724:745"
+    assert found[2] == "linked_secret:190:442,linked_endpoint:446:467"
+    assert found[3] == "linked_identifier:0:8,linked_secret:9:729"
+    rnd, rows = random.Random(5), []
+    for text in range(150):
+        for _ in range(rnd.randrange(1, 5)):
+            start = rnd.randrange(0, 2500)
+            rows.append((text, start, start + rnd.choice([1, 30, 250, 450, 900]), rnd.choice(["linked_identifier", "linked_endpoint", "linked_secret", "hex"]), "v"))
+    rows = sorted(set(rows))
+    got = secrets_link.linked_spans(spark.createDataFrame(rows, "id long, start long, stop long, kind string, value string"), ["id"])
+    secret = lambda r: r[3] in ("linked_secret", "hex")
+    near = lambda a, b: b[1] - a[2] < 200 and a[1] - b[2] < 200
+    want = [a for a in rows if a[3] != "hex" and any(a[0] == b[0] and secret(a) != secret(b) and near(a, b) for b in rows)]
+    assert sorted(map(tuple, got.collect())) == want
+
+
 def test_repetition_equals_brute_force(spark):
     rnd = random.Random(2)
     rows = [(1, None), (2, ""), (3, "  \n "), (4, "a\n\na\na b\na"), (None, " a b c a b c "), (6, "x " * 3000)]

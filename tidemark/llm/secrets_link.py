@@ -57,18 +57,21 @@ def joined(spans: Column) -> Column:
 def linked_spans(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFrame:
     """Weak parts that a complementary part lies near: an interval join within scopes.
 
-    `parts` has the key columns and start, stop, kind. A part meets those of its own scope and the two
-    next to it, so the join is an equality on key and scope. Of each role only the first start and the
-    last stop in a scope matter to a part elsewhere; within a scope all parts are near enough. So a scope
-    is at most three rows, however many parts it holds.
+    `parts` has the key columns and start, stop, kind. A part is in every scope that it reaches into and
+    meets the parts in those and in the two next to them, so the join is an equality on key and scope. Of
+    each role only the first start and the last stop in a scope matter to a part elsewhere; within a scope
+    all parts are near enough. So a scope is at most three rows, however many parts it holds.
     """
     role = F.when(F.col("kind") == "linked_identifier", "identifier").when(F.col("kind") == "linked_endpoint", "endpoint").otherwise("secret")
-    sided = parts.withColumn("role", role).withColumn("scope", F.floor(F.col("start") / scope))
-    left = sided.filter(F.col("kind").startswith("linked_")).withColumn("scope", F.explode(F.array(F.col("scope") - 1, F.col("scope"), F.col("scope") + 1)))
-    right = sided.groupBy(*key, "scope", F.col("role").alias("other")).agg(F.min("start").alias("first"), F.max("stop").alias("last"))
+    low, high = F.floor(F.col("start") / scope), F.floor((F.col("stop") - 1) / scope)
+    sided = parts.select(*key, "start", "stop", "kind", role.alias("role"))  # values can be long: they are not repeated for each scope
+    left = sided.filter(F.col("kind").startswith("linked_")).withColumn("scope", F.explode(F.sequence(low - 1, high + 1)))
+    right = sided.withColumn("scope", F.explode(F.sequence(low, high))).groupBy(*key, "scope", F.col("role").alias("other")).agg(F.min("start").alias("first"), F.max("stop").alias("last"))
     near = (F.col("first") - F.col("stop") < scope) & (F.col("start") - F.col("last") < scope)
     complementary = (F.col("role") == "secret") != (F.col("other") == "secret")
-    return left.join(right, [*key, "scope"]).filter(near & complementary).select(*key, "start", "stop", "kind", "value").distinct()
+    part = [*key, "start", "stop", "kind"]
+    found = left.join(right, [*key, "scope"]).filter(near & complementary).select(*part)
+    return parts.join(found, part, "left_semi").dropDuplicates(part).select(*part, "value")
 
 
 def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
