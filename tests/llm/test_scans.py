@@ -197,3 +197,12 @@ def test_trees_learn_from_labelled_urls(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
     right = sum(got[1000 + i] == ("block" if i % 2 else "allow") for i in range(100))
     assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400)) and right >= 90
+
+
+def test_suffix_rates_cover_all_labelled_urls(spark):
+    # only the site tells: every other feature is the same on both sides
+    rows = [(1000 * i + k, f"https://s{100 + i}.org/{'xx' if i % 2 else 'fr'}/{k}") for i in range(400) for k in range(3)]
+    rows += [(1000 * i + 9, f"https://s{100 + i}.org/zz/9") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages, (("block", "org", "/xx/"), ("allow", "org", "/fr/")), sample=200).collect()}
+    assert sum(got[1000 * i + 9] == ("block" if i % 2 else "allow") for i in range(400)) >= 390

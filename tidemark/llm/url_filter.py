@@ -5,7 +5,7 @@ fitting rule wins. URLs that a rule decides are labelled URLs: from a bounded sa
 (`SAMPLE`, the least by hash, so the sample does not depend on how the table is stored) Spark's
 gradient-boosted trees are trained. Features are lengths, depth, digit ratio, entropy, numbers of
 parameters, labels and hyphens, and how often the host's suffixes (last label, last two labels) were
-blocked among the labelled, smoothed towards the mean.
+blocked among all labelled URLs, smoothed towards their mean.
 
 A null URL, or one without ``://``, has an empty host and path; the trees judge it like any other. When
 the labelled URLs are of one kind only, or there are none, there is nothing to learn and the verdict is
@@ -62,6 +62,7 @@ def _count(text: Column, characters: str) -> Column:
 
 
 FEATURES = ("length", "host_length", "path_length", "depth", "digits", "entropy", "parameters", "labels", "hyphens", "fragment", "secure", "top_rate", "site_rate")
+SUFFIXES = {"top": lambda: F.substring_index("host", ".", -1), "site": lambda: F.substring_index("host", ".", -2)}
 
 
 def lexical(pages: DataFrame) -> DataFrame:
@@ -80,16 +81,14 @@ def lexical(pages: DataFrame) -> DataFrame:
             "hyphens": _count(host, "-"),
             "fragment": url.contains("#").cast("int"),
             "secure": url.startswith("https").cast("int"),
-            "top": F.substring_index(host, ".", -1),
-            "site": F.substring_index(host, ".", -2),
+            **{name: suffix() for name, suffix in SUFFIXES.items()},
         }
     )
 
 
 def _with_rates(pages: DataFrame, rates: dict[str, DataFrame], mean: float) -> DataFrame:
     for name, table in rates.items():
-        # as many rows as the training sample at most
-        pages = pages.join(F.broadcast(table), name, "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(mean)))
+        pages = pages.join(table, name, "left").withColumn(f"{name}_rate", F.coalesce(f"{name}_rate", F.lit(mean)))
     return pages
 
 
@@ -98,16 +97,17 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, sampl
     seen = pages.select(F.col("page_id").cast("long").alias("page_id"), "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     seen = seen.withColumn("hit", rule_of(F.col("host"), F.col("path"), rules))
     labelled = seen.filter("hit is not null").select("url", "host", "path", (F.col("hit.verdict") == "block").cast("double").alias("label")).distinct()
+    labelled = cut(labelled, "labelled")
     training = cut(lexical(labelled.orderBy(F.xxhash64("url"), "url").limit(sample)), "urls")
-    total = training.agg(F.count(F.lit(1)).alias("n"), F.mean("label").alias("mean")).first()
+    total = labelled.agg(F.count(F.lit(1)).alias("n"), F.mean("label").alias("mean")).first()
     result = ["page_id", "host", "path", F.col("hit.rule").alias("rule")]
     if not total["n"] or total["mean"] in (0.0, 1.0):
         only = "block" if total["n"] and total["mean"] == 1.0 else "allow"
         return seen.select(*result, F.coalesce("hit.verdict", F.lit(only)).alias("verdict"), F.lit(None).cast("double").alias("blocked"))
     mean = total["mean"]
     rates = {
-        name: training.groupBy(name).agg(((F.sum("label") + SMOOTHING * mean) / (F.count(F.lit(1)) + SMOOTHING)).alias(f"{name}_rate"))
-        for name in ("top", "site")
+        name: labelled.groupBy(suffix().alias(name)).agg(((F.sum("label") + SMOOTHING * mean) / (F.count(F.lit(1)) + SMOOTHING)).alias(f"{name}_rate"))
+        for name, suffix in SUFFIXES.items()
     }
     vectors = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     trees = GBTClassifier(maxIter=20, maxDepth=4, stepSize=0.2, seed=3, subsamplingRate=0.8)
