@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import bytebpe, jaccard_join, license_scan, order_minhash, packing, repetition, sanitise, secrets_link, suffix_dedup, url_filter
+from tidemark.llm import bytebpe, collocations, exact_dedup, jaccard_join, license_scan, order_minhash, packing, repetition
+from tidemark.llm import sanitise, secrets_link, suffix_dedup, url_filter, whitening
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")  # the ranks of byte_bpe_50k.tiktoken as a tokenizer file
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -78,3 +79,18 @@ def op9_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf), WORD_BPE)
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf}/embeddings.parquet"))
+
+
+@query("op12_exact_dedup", exact_dedup.oracle_sql())
+def op12_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_dedup.groups(documents(spark, sf), keep="largest")
+
+
+@query("op13_collocations", collocations.oracle_sql())
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf))
