@@ -75,7 +75,7 @@ def merge(runs: DataFrame, largest: bool) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            table = pa.Table.from_batches([batch]).rename_columns(_NAMES)
+            table = pa.table(batch.columns, names=_NAMES)  # all columns as nullable ones
             if last is not None:
                 table = pa.concat_tables([last, table])
             table = _joined_runs(table.combine_chunks(), largest)
