@@ -73,6 +73,87 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * powers(len(prefix), inverse=True)[start]
 
 
+# Hashes modulo a prime: no pair of texts collides for every base, as Thue-Morse strings do modulo 2**64.
+MOD = np.uint64((1 << 61) - 1)
+MOD_BASE = 0x0B5D1F3A9C86E247  # drawn at random once
+_LOW, _31, _30, _61 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30), np.uint64(61)
+SPAN_BYTES = 1 << 20  # bytes of spans hashed at once
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    """x modulo MOD."""
+    x = (x & MOD) + (x >> _61)
+    return np.where(x >= MOD, x - MOD, x)
+
+
+def _up31(x: np.ndarray) -> np.ndarray:
+    """x * 2**31 modulo MOD for x < 2**61: a turn of 61 bits."""
+    return ((x << _31) & MOD) + (x >> _30)
+
+
+def mod_product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo MOD for a, b < MOD."""
+    a1, a0, b1, b0 = a >> _31, a & _LOW, b >> _31, b & _LOW
+    middle = a1 * b0 + a0 * b1
+    return _fold(np.uint64(2) * a1 * b1 + (middle >> _30) + ((middle & np.uint64((1 << 30) - 1)) << _31) + _fold(a0 * b0))
+
+
+_MOD_POWERS: dict[int, np.ndarray] = {}
+
+
+def mod_powers(n: int, inverse: bool = False) -> np.ndarray:
+    """MOD_BASE ** 0 .. MOD_BASE ** (n - 1) modulo MOD, or of its inverse. Kept up to SPAN_BYTES of them."""
+    base = pow(MOD_BASE, -1, int(MOD)) if inverse else MOD_BASE
+    have = _MOD_POWERS.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        step = np.full(len(have), pow(base, len(have), int(MOD)), np.uint64)
+        have = np.concatenate((have, mod_product(have, step)))
+    _MOD_POWERS[base] = have if len(have) <= SPAN_BYTES else have[:SPAN_BYTES].copy()
+    return have[:n]
+
+
+def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash modulo MOD of each span [start, end) of bytes, with its length; spans are in order and do not overlap.
+
+    A span's powers begin with itself, so tables are as long as the longest span and not as the text.
+    """
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    while first < len(start):
+        last = max(first + 1, int(np.searchsorted(end, start[first] + SPAN_BYTES, side="right")))
+        a, b = int(start[first]), int(end[last - 1])
+        s, e = start[first:last] - a, end[first:last] - a
+        begin = np.zeros(b - a + 1, np.int64)
+        begin[s] = s
+        within = np.arange(b - a + 1) - np.maximum.accumulate(begin)
+        power = mod_powers(int((e - s).max()) + 1)
+        power = power[np.minimum(within, len(power) - 1)]
+        value = np.zeros(b - a + 1, np.uint64)
+        value[:-1] = raw[a:b]
+        value += np.uint64(1)
+        bounds = np.column_stack((s, e)).ravel()
+        high = np.add.reduceat(value * (power >> _31), bounds)[::2]
+        low = np.add.reduceat(value * (power & _LOW), bounds)[::2]
+        out[first:last] = np.where(e > s, _fold(_up31(_fold(high)) + _fold(low)), 0)
+        first = last
+    return mix(out + mix((end - start).astype(np.uint64)))
+
+
+def mod_prefix(values: np.ndarray) -> np.ndarray:
+    """P with P[i] = sum of values[j] * MOD_BASE ** j over j < i modulo MOD, for any 64-bit values."""
+    terms = mod_product(_fold(values), mod_powers(len(values)))
+    out = np.zeros(len(values) + 1, np.uint64)
+    high, low = np.cumsum(terms >> _31, dtype=np.uint64), np.cumsum(terms & _LOW, dtype=np.uint64)
+    out[1:] = _fold(_up31(_fold(high)) + _fold(low))
+    return out
+
+
+def mod_spans(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash modulo MOD of each span [start, end) of the values of `prefix`, the same wherever it lies."""
+    gap = prefix[end] + MOD - prefix[start]
+    return mod_product(_fold(gap), mod_powers(len(prefix), inverse=True)[start])
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread the bits of 64-bit hashes (finaliser of a 64-bit mixer)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

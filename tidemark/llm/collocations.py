@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.arrays import flat, lower_ascii, mix, prefix_hashes, slices, span_hashes
+from tidemark.llm.arrays import flat, hash_spans, lower_ascii, mix, slices
 from tidemark.scale import cut
 
 LONGEST_PHRASE = 5
@@ -97,7 +97,7 @@ def find_words(raw: np.ndarray, at: np.ndarray) -> Words:
     coded = gathered(raw, start, end - start, pa.binary()).dictionary_encode()
     code = coded.indices.to_numpy().astype(np.int64)
     letters, where = flat(coded.dictionary)
-    hashes = mix(span_hashes(prefix_hashes(letters), where[:-1], where[1:]) + np.diff(where).astype(np.uint64)) if n else np.zeros(0, np.uint64)
+    hashes = hash_spans(letters, where[:-1], where[1:])
     return Words(raw, start, end, row, piece_end, code, len(hashes), hashes[code])
 
 
@@ -112,7 +112,7 @@ def phrase_hashes(words: Words, begin: np.ndarray, length: int, salt: np.ndarray
 def name_hashes(column: pa.Array) -> np.ndarray:
     """Hash of each value of a string column."""
     letters, where = flat(column)
-    return mix(span_hashes(prefix_hashes(letters), where[:-1], where[1:])) if len(column) else np.zeros(0, np.uint64)
+    return hash_spans(letters, where[:-1], where[1:])
 
 
 # the parse -----------------------------------------------------------------------------------------

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.arrays import flat, lower_ascii, mix, prefix_hashes, slices, span_hashes, words
+from tidemark.llm.arrays import flat, hash_spans, lower_ascii, mix, slices, words
 from tidemark.scale import cut
 
 WORDS, PERCENT = 5, 75
@@ -59,7 +59,7 @@ def shingle_sets(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     rows = len(at) - 1
     raw = lower_ascii(raw)
     start, end, row = words(raw, at)
-    word = mix(span_hashes(prefix_hashes(raw), start, end) + (end - start).astype(np.uint64))
+    word = hash_spans(raw, start, end)
     count = np.bincount(row, minlength=rows)
     first = np.concatenate(([0], np.cumsum(count)))
     # each place takes the words up to the end of its shingle; a short text is one shingle

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from tidemark.llm.arrays import flat, mix, prefix_hashes, runs, slices, span_hashes, words
+from tidemark.llm.arrays import flat, hash_spans, mix, runs, slices, words
 
 THRESHOLD = 0.8
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -87,7 +87,7 @@ def _hash_pairs(words: list[str]) -> np.ndarray:
     """Hashes of the word pairs, as `_pairs` forms them from bytes."""
     raw = np.frombuffer("\n".join(words).encode(), np.uint8)
     start, end, _ = _words(raw, np.array([0, len(raw)]))
-    return _pairs(prefix_hashes(raw), start, end)
+    return _pairs(raw, start, end)
 
 
 def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -95,9 +95,9 @@ def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return words(np.where(_WORD[raw], raw, 32).astype(np.uint8), at)
 
 
-def _pairs(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def _pairs(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Hash of each word with the one after it."""
-    word = mix(span_hashes(prefix, start, end) + (end - start).astype(np.uint64))
+    word = hash_spans(raw, start, end)
     return mix(word[:-1] * np.uint64(3) + mix(word[1:]))
 
 
@@ -108,7 +108,7 @@ def _matches(texts: pa.Array, hashes: dict[str, np.ndarray], threshold: float) -
     start, end, row = _words(raw, at)
     if len(start) < 2 or not hashes:
         return
-    pairs = _pairs(prefix_hashes(raw), start, end)
+    pairs = _pairs(raw, start, end)
     known = np.unique(np.concatenate(list(hashes.values())))
     hit = known[np.minimum(np.searchsorted(known, pairs), len(known) - 1)] == pairs
     # lines, and paragraphs as runs of lines between lines of blanks

@@ -4,7 +4,8 @@ The words of a batch of texts are sorted as suffixes by prefix doubling (only su
 tied take part in a round, and a suffix ends with its text). Neighbours' longest common prefixes give
 the maximal repeated passages: a suffix belongs to one as far as the longer of its two neighbours'
 prefixes reaches. The union of the passages of at least `MIN_WORDS` words gives the covered share; the
-longest prefix gives the longest repeat. Word sequences are compared by 64-bit hashes.
+longest prefix gives the longest repeat. Words, lines and word sequences are compared by
+hashes modulo a 61-bit prime.
 
 A text is kept unless the fixed rule fails it (fewer than 50 words, or more than half of the words in
 repeated three-word windows), more than `COVERED` percent of the words are covered, or the longest
@@ -27,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tidemark.llm.arrays import flat, mix, prefix_hashes, runs, slices, span_hashes, words
+from tidemark.llm.arrays import flat, hash_spans, mix, mod_prefix, mod_spans, slices, words
 
 MIN_WORDS = 8  # shortest repeated passage that counts
 COVERED = 24  # percent of the words in repeated passages
@@ -82,7 +83,7 @@ def neighbour_prefixes(order: np.ndarray, end: np.ndarray, prefix: np.ndarray) -
     while len(open_):
         x, y = a[open_], b[open_]
         mid = (low[open_] + high[open_] + 1) >> 1
-        same = span_hashes(prefix, x, x + mid) == span_hashes(prefix, y, y + mid)
+        same = mod_spans(prefix, x, x + mid) == mod_spans(prefix, y, y + mid)
         low[open_] = np.where(same, mid, low[open_])
         high[open_] = np.where(same, high[open_], mid - 1)
         open_ = open_[low[open_] < high[open_]]
@@ -106,10 +107,8 @@ def repeats(symbols: np.ndarray, at: np.ndarray, min_words: int) -> tuple[np.nda
     """(words covered by repeated passages, longest repeated passage) of each sequence at[i]:at[i + 1]."""
     sizes = np.diff(at)
     end = np.repeat(at[1:], sizes)
-    # a suffix without an equal window of min_words words in its text has no passage: leave it out early
-    prefix = prefix_hashes(symbols)
     order = suffix_order(symbols, end)
-    lcp = neighbour_prefixes(order, end, prefix)
+    lcp = neighbour_prefixes(order, end, mod_prefix(symbols))
     reach = np.empty(len(order), np.int64)
     reach[order] = np.maximum(lcp, np.concatenate((lcp[1:], [0]))) if len(lcp) else lcp
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -123,12 +122,11 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarra
     """All counts for a batch of texts."""
     raw, at = flat(column)
     n = len(at) - 1
-    prefix = prefix_hashes(raw)
     start, end, row = words(raw, at)
     n_words = np.bincount(row, minlength=n)
     word_at = np.concatenate(([0], np.cumsum(n_words)))
     leads = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
-    symbols = mix(span_hashes(prefix, start, end) + (end - start).astype(np.uint64))
+    symbols = hash_spans(raw, start, end)
 
     # lines with a word that equal an earlier line of their text
     breaks = np.flatnonzero(raw == 10)
@@ -138,7 +136,7 @@ def measure(column: pa.Array, min_words: int = MIN_WORDS) -> dict[str, np.ndarra
     stop = np.sort(np.concatenate((breaks, at[1:])))
     with_word = np.searchsorted(start, stop) > np.searchsorted(start, line_start)
     line_start, stop, line_row = line_start[with_word], stop[with_word], line_row[with_word]
-    key = mix(span_hashes(prefix, line_start, stop) + (stop - line_start).astype(np.uint64))
+    key = hash_spans(raw, line_start, stop)
     by = np.lexsort((key, line_row))
     again = (key[by][1:] == key[by][:-1]) & (line_row[by][1:] == line_row[by][:-1])
     n_dup = np.bincount(line_row[by][1:][again], minlength=n)

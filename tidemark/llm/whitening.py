@@ -276,7 +276,7 @@ def transform(vectors: DataFrame, model: Whitening, column: str = "embedding", o
     if not len(model.values):
         return vectors.select(*names, F.lit(None).cast("array<double>").alias(out))
     held = vectors.select(F.struct(*names).alias("row"), F.col(column).cast("array<double>").alias("v"))
-    kind = held.schema["row"].dataType.simpleString()
+    kind = held.select("row", F.col("v").alias(out)).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _blocks(batches, model.d):
@@ -287,7 +287,7 @@ def transform(vectors: DataFrame, model: Whitening, column: str = "embedding", o
                 z[at] = line
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.list_(pa.float64()))], ["row", out])
 
-    return held.mapInArrow(work, f"row {kind}, `{out}` array<double>").select("row.*", out)
+    return held.mapInArrow(work, kind).select("row.*", out)
 
 
 OUT = "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double"
