@@ -302,10 +302,8 @@ def knn_top(s, context_parts=("train",), mode="test"):
     """Masked full-catalog top 20 of the fitted neighbour model."""
     train = s.filter("part = 'train'")
     targets, seen = ev.targets_of(s, mode), ev.seen_of(s, mode)
-    scores = nb.unseen_scores(
-        s.filter(F.col("part").isin(list(context_parts))), nb.itemknn_fit(train), targets, seen
-    )
-    index = ia.id_map(s, "item").select(F.col("raw_id").alias("item"), F.col("item").alias("rank"))
+    context = s.filter(F.col("part").isin(list(context_parts)))
+    scores = nb.itemknn_topk(context, nb.itemknn_fit(train), targets, seen).drop("rank")
     return cut(nb.fill_topk(scores, targets, seen, index), "top")
 
 

@@ -13,6 +13,7 @@ from tidemark.operators import interactions as ia
 from tidemark.operators import popularity as pp
 from tidemark.operators import textvectors as tv
 from tidemark.operators import training as tr
+from tidemark.operators import vectorindex as vi
 from tidemark.operators import vectorscore as vs
 from tidemark.scale import cut
 
@@ -287,10 +288,20 @@ def _(spark, sf):
     return d.select("query", "item", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query("vector_topk_approximate_recall")
+@query(
+    "vector_topk_approximate_recall",
+    """SELECT count(*) AS queries, least(100, count(*)) AS least_rows, least(100, count(*)) AS most_rows, true AS recall_reached FROM embeddings""",
+)
 def vector_recall(spark, sf):
+    """Every vector asks the inverted-list index: rows of each answer, and recall over all answers."""
     queries, items, exact = search(spark, sf)
-    return vs.vector_recall(vs.lsh_topk(queries, items, 100), exact)
+    index = vi.build_index(items)
+    found = cut(vi.index_topk(index, queries, 100, vi.probes_for(index, queries, 100)), "found")
+    rows = queries.join(found.groupBy("query").count(), "query", "left").agg(
+        F.count(F.lit(1)).alias("queries"), F.min(F.coalesce("count", F.lit(0))).alias("least_rows"), F.max("count").alias("most_rows")
+    )
+    recall = vs.vector_recall(found, exact).select((F.col("recall") >= 0.9).alias("recall_reached"))
+    return rows.crossJoin(recall)  # one row each
 
 
 @query("text_vectors")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.vectors import mean_vector
 from tidemark.operators.answers import grounding_report, random_candidate_sets
-from tidemark.operators.bootstrap import paired_intervals, resample_means
+from tidemark.operators.bootstrap import PRIME, paired_intervals, resample_means
 from tidemark.operators.serving import priority_repos
 from tidemark.operators.training import sample_negatives
 from tidemark.scale import exact_quantiles
@@ -70,16 +72,44 @@ def test_vectors_of_another_size_are_refused(spark):
     assert df.agg(mean_vector("vec", 3).alias("m")).first()["m"] == [1.0, 2.0, 3.0]
 
 
-def test_bootstrap_is_the_same_with_either_lookup(spark):
+def plain_resamples(n, m, n_resamples, seed=0):
+    """Slots drawn by each resample: all draws dealt to blocks of `m`, then to the slots of a block."""
+
+    def mix(b, slot, block):
+        x0 = (b * 1_000_003 + slot * 7_919 + seed * 15_485_863 + block * 104_729 + 12_345) % PRIME
+        x1 = (x0 * x0 + 1_013_904_223) % PRIME
+        x2 = (x1 * x1 + x0 * 48_271 + 69_069) % PRIME
+        return (x2 * x2 + x1) % PRIME
+
+    for b in range(n_resamples):
+        dealt = Counter(mix(b, i, 0) % n // m for i in range(n)) if n > m else {0: n}
+        yield [at * m + mix(b, t, at) % min(m, n - at * m) for at, k in sorted(dealt.items()) for t in range(k)]
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64])
+def test_bootstrap_means_equal_drawn_slots(spark, block):
     rng = np.random.default_rng(0)
     rows = [(g, s, u, float(rng.random())) for g, n in (("small", 3), ("large", 200)) for u in range(n) for s in ("a", "b")]
     values = spark.createDataFrame(rows, "dataset string, series string, user long, value double")
-    by = lambda **k: {(r["dataset"], r["series"], r["b"]): r["mean"] for r in resample_means(values, ["dataset"], 50, **k).collect()}
-    one, other = by(), by(lookup_rows=0)
-    assert one.keys() == other.keys() and len(one) == 200
-    assert all(abs(one[k] - other[k]) < 1e-12 for k in one)
+    got = {(r["dataset"], r["series"], r["b"]): r["mean"] for r in resample_means(values, ["dataset"], 20, block=block).collect()}
+    held = {(g, s, u): v for g, s, u, v in rows}
+    want = {
+        (g, s, b): np.mean([held[g, s, i] for i in slots])
+        for g, n in (("small", 3), ("large", 200))
+        for b, slots in enumerate(plain_resamples(n, block, 20))
+        for s in ("a", "b")
+    }
+    assert all(len(s) == 200 for s in plain_resamples(200, block, 3))
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     pairs = spark.createDataFrame([("small", "a", "b"), ("large", "a", "b")], "dataset string, a string, b string")
-    assert paired_intervals(values, pairs, ["dataset"], 50, lookup_rows=0).count() == 2
+    intervals = paired_intervals(values, pairs, ["dataset"], 50, block=block)
+    assert intervals.count() == 2
+
+
+def test_bootstrap_has_no_row_per_user_and_resample(spark):
+    values = spark.createDataFrame([("a", u, 1.0) for u in range(50)], "series string, user long, value double")
+    plan = resample_means(values, n_resamples=1_000)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" in plan and "sequence(0, 999" not in plan
 
 
 @pytest.mark.parametrize("hot_rows", [5_000_000, 20])

@@ -90,6 +90,38 @@ def test_streams(spark, tmp_path):
     assert pairs == [("a", 1), ("b", 1), ("c", 1), ("z", 1)]
 
 
+def test_counts_of_a_split_day_add_up_and_repeated_files_do_not(spark, tmp_path):
+    src, out, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+
+    def arrive(*rows):
+        d = spark.createDataFrame([("star", u, 1, us, n, date(2024, 1, d)) for u, us, n, d in rows], dy.DAY_SCHEMA)
+        d.coalesce(1).write.mode("append").parquet(src)
+        st.stream_ingest_daily(st.file_stream(spark, src, dy.DAY_SCHEMA), out, check).awaitTermination()
+        return sorted((r["user"], r["first_us"], r["n"], r["day"].day) for r in dy.read_days(spark, out).collect())
+
+    assert arrive(("a", 10, 3, 1), ("b", 5, 1, 2)) == [("a", 10, 3, 1), ("b", 5, 1, 2)]
+    both = [("a", 7, 5, 1), ("b", 5, 1, 2)]
+    assert arrive(("a", 7, 2, 1)) == both
+    assert arrive(("a", 7, 2, 1)) == both  # the same file again, under another name
+    assert arrive(("b", 5, 1, 2), ("a", 10, 3, 1)) == both
+    assert arrive(("c", 1, 1, 3), ("a", 9, 1, 1)) == [("a", 7, 6, 1), ("b", 5, 1, 2), ("c", 1, 1, 3)]
+
+
+def test_first_touch_reads_only_its_batch(spark, tmp_path):
+    src, check, schema = str(tmp_path / "in"), str(tmp_path / "c"), "kind string, user string, repo_id long, ts long"
+    seen = []
+    for k in range(3):
+        old = [("push", f"u{i}", 1, 1000 + k) for i in range(20)]
+        new = [(kind, f"n{k}", 2, at) for kind, at in (("star", 7), ("fork", 6), ("push", 8))]
+        spark.createDataFrame(old + new, schema).coalesce(1).write.mode("append").parquet(src)
+        # a new output folder each time: nothing that was written before can be read
+        query = st.stream_first_touch(st.file_stream(spark, src, schema), str(tmp_path / f"t{k}"), check)
+        query.awaitTermination()
+        assert [p["numInputRows"] for p in query.recentProgress if p["numInputRows"]] == [23]
+        seen.append(sorted((r["user"], r["ts"], r["kind"]) for r in spark.read.parquet(str(tmp_path / f"t{k}")).collect()))
+    assert len(seen[0]) == 21 and seen[1:] == [[("n1", 6, "fork")], [("n2", 6, "fork")]]
+
+
 def test_final_runs_and_leaderboard(spark):
     cols = "dataset string, model string, config_hash string, seed long, finished_at string, ndcg double"
     runs = spark.createDataFrame(

@@ -2,29 +2,61 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.scale import HOT_ROWS, cut, ordinal
 
 PRIME = 2_147_483_647
-LOOKUP_ROWS = 1_000_000  # a lookup up to this size is broadcast, a larger one is joined by shuffle
+BLOCK_USERS = 1 << 20  # users whose draws are counted in one task
+CELLS = 1 << 22  # draw counts held at once
 
 
-def mixed(seed: int, b: Column, slot: Column) -> tuple[Column, Column]:
-    """Pseudo-random integer below PRIME from (seed, resample, slot), plain 64-bit arithmetic.
-
-    Returns the start value, to be stored as `_x0`, and the mixed value computed from it.
-    """
-    start = (b * 1_000_003 + slot * 7_919 + F.lit(seed * 15_485_863 + 12_345)) % PRIME
-    x0 = F.col("_x0")
+def mixed(seed: int, b: np.ndarray, slot: np.ndarray, block: int = 0) -> np.ndarray:
+    """Pseudo-random integers below PRIME from (seed, resample, slot), plain 64-bit arithmetic."""
+    x0 = (b * 1_000_003 + slot * 7_919 + (seed * 15_485_863 + block * 104_729 + 12_345)) % PRIME
     x1 = (x0 * x0 + 1_013_904_223) % PRIME
     x2 = (x1 * x1 + x0 * 48_271 + 69_069) % PRIME
-    x3 = (x2 * x2 + x1) % PRIME
-    return start, x3
+    return (x2 * x2 + x1) % PRIME
+
+
+def _steps(first: int, last: int, width: int) -> Iterator[np.ndarray]:
+    """Resample numbers in columns, as many at once as CELLS allows for `width` draws each."""
+    step = max(1, CELLS // max(1, width))
+    for a in range(first, last, step):
+        yield np.arange(a, min(a + step, last), dtype=np.int64)[:, None]
+
+
+def _sizes_of_blocks(slots: DataFrame, keys: list[str], n_resamples: int, seed: int, block: int) -> DataFrame:
+    """(keys..., block, draws): how many draws of each resample fall into each block of a large group.
+
+    A draw is a slot of the group; what is exchanged is one array per block and block of slots.
+    """
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        n, slot = int(group["n"].iloc[0]), group["slot"].to_numpy(np.int64)
+        n_blocks = -(-n // block)
+        total = np.zeros((n_resamples, n_blocks), np.int64)
+        for b in _steps(0, n_resamples, len(slot)):
+            to = mixed(seed, b, slot[None, :]) % n // block
+            total[b[:, 0]] += np.bincount((to + (b - b[0]) * n_blocks).ravel(), minlength=len(b) * n_blocks).reshape(len(b), n_blocks)
+        out = pd.DataFrame({"block": np.arange(n_blocks), "draws": list(total.T)})
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slots.select(*keys).schema.fields)
+    large = slots.filter(F.col("n") > block).select(*keys, "n", "slot", F.floor(F.col("slot") / block).alias("from"))
+    found = large.groupBy(*keys, "from").applyInPandas(count, f"block long, draws array<long>, {kinds}")
+    each = found.select(*keys, "block", F.posexplode("draws").alias("b", "draws"))
+    summed = each.groupBy(*keys, "block", "b").agg(F.sum("draws").alias("draws"))
+    # one array of resamples for each block of users
+    return summed.groupBy(*keys, "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "draws"))), lambda x: x["draws"]).alias("draws"))
 
 
 def resample_means(
@@ -32,42 +64,78 @@ def resample_means(
     by: Sequence[str] = (),
     n_resamples: int = 1_000,
     seed: int = 0,
-    lookup_rows: int = LOOKUP_ROWS,
+    block: int = BLOCK_USERS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(by..., series, b, mean): means of resamples of users with replacement.
 
-    `values`: by..., series, user, value. All series of a group are drawn with the same user
-    indices, at every size. A draw is a slot of the group; how often a slot is drawn is counted
-    first, then its values are looked up. `lookup_rows` only decides how that lookup is joined.
+    `values`: by..., series, user, value. All series of a group are drawn with the same user indices.
+    The users of a group are numbered and cut into blocks of `block`. A task holds the values of a block
+    as a (users x series) matrix and the draw counts of some resamples as a (resamples x users) matrix,
+    which it forms itself; their product is all that leaves it. A group of one block has as many draws
+    as users. In a larger one the draws of all users are dealt to the blocks first.
     """
     by = list(by)
-    values = cut(values.select(*by, "series", "user", "value"), "values")
-    n_rows = values.count()
-    parallel = values.sparkSession.sparkContext.defaultParallelism
-    numbers = F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))).alias("b")
-    users = values.select(*by, "user").distinct()
-    group = by or [F.lit(0).alias("_g")]
-    users = users.select("*", *([] if by else group))
     keys = by or ["_g"]
-    indexed = ordinal(users, keys, [F.col("user")], "slot", F.col("user"), hot_rows)
+    values = values.select(*by, "series", "user", "value")
+    values = cut(values if by else values.withColumn("_g", F.lit(0)), "values")
+    users = values.select(*keys, "user").distinct()
     sizes = users.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    indexed = cut(indexed.join(sizes, keys), "slots")
-    start, index = mixed(seed, F.col("b").cast("long"), F.col("slot"))
-    draws = (
-        indexed.repartition(parallel, "slot")
-        .select(*keys, "slot", "n", numbers)
-        .withColumn("_x0", start)
-        .select(*keys, "b", (index % F.col("n")).alias("slot"))
+    slots = ordinal(users, keys, [F.col("user")], "slot", F.col("user"), hot_rows).join(sizes, keys)
+    slots = cut(slots, "slots")
+    placed = values.join(slots, [*keys, "user"]).select(
+        *keys, F.floor(F.col("slot") / block).alias("block"), (F.col("slot") % block).alias("slot"), "n", "series", "value"
     )
-    lookup = values.join(indexed, [*by, "user"]).select(*keys, "slot", "series", "value")
-    if n_rows <= lookup_rows:
-        means = draws.join(F.broadcast(lookup), [*keys, "slot"]).groupBy(*keys, "series", "b").agg(F.avg("value").alias("mean"))
-    else:
-        times = draws.groupBy(*keys, "b", "slot").agg(F.count(F.lit(1)).alias("times"))
-        total = F.sum(F.col("times") * F.col("value")) / F.sum("times")
-        means = times.join(lookup, [*keys, "slot"]).groupBy(*keys, "series", "b").agg(total.alias("mean"))
-    return means if by else means.drop("_g")
+    spread = sizes.agg(F.sum(F.ceil(F.col("n") / block)), F.max("n")).head()
+    if not spread[0]:
+        return values.select(*by, "series", F.lit(0).alias("b"), F.col("value").cast("double").alias("mean"))
+    parallel = values.sparkSession.sparkContext.defaultParallelism
+    chunks = max(1, min(n_resamples, -(-2 * parallel // spread[0])))
+    edges = [n_resamples * c // chunks for c in range(chunks + 1)]
+    placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    several = spread[1] > block
+    if several:
+        draws = _sizes_of_blocks(slots, keys, n_resamples, seed, block)
+        placed = placed.join(draws, [*keys, "block"], "left")
+
+    def product(group: pd.DataFrame) -> pd.DataFrame:
+        first, last = edges[int(group["chunk"].iloc[0])], edges[int(group["chunk"].iloc[0]) + 1]
+        at, n = int(group["block"].iloc[0]), int(group["n"].iloc[0])
+        m = min(block, n - at * block)
+        codes, names = pd.factorize(group["series"], sort=True)
+        table, held = np.zeros((m, len(names))), np.zeros((m, len(names)))
+        slot = group["slot"].to_numpy(np.int64)
+        value = group["value"].to_numpy(float)
+        known = ~np.isnan(value)
+        table[slot[known], codes[known]] = value[known]
+        held[slot[known], codes[known]] = 1.0
+        # a group of one block has no row of draws
+        dealt = group["draws"].iloc[0] if several else None
+        sums, times = np.zeros((last - first, len(names))), np.zeros((last - first, len(names)))
+        most = m if dealt is None else int(np.max(dealt))
+        for b in _steps(first, last, max(m, most)):
+            to = mixed(seed, b, np.arange(most, dtype=np.int64)[None, :], at) % m
+            to += (b - b[0]) * m
+            if dealt is not None:
+                to = to[np.arange(most)[None, :] < np.asarray(dealt)[b]]
+            counts = np.bincount(to.ravel(), minlength=len(b) * m).reshape(len(b), m).astype(float)
+            sums[b[:, 0] - first], times[b[:, 0] - first] = counts @ table, counts @ held
+        out = pd.DataFrame(
+            {
+                "series": np.tile(names, last - first),
+                "b": np.repeat(np.arange(first, last, dtype=np.int32), len(names)),
+                "total": sums.ravel(),
+                "times": times.ravel(),
+            }
+        )
+        for k in keys:
+            out[k] = group[k].iloc[0]
+        return out
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.select(*keys, "series").schema.fields)
+    found = placed.groupBy(*keys, "block", "chunk").applyInPandas(product, f"{kinds}, b int, total double, times double")
+    mean = F.try_divide(F.sum("total"), F.sum("times")).alias("mean")
+    return found.groupBy(*by, "series", "b").agg(mean).filter("mean is not null")
 
 
 def series_means(values: DataFrame, by: Sequence[str] = ()) -> DataFrame:

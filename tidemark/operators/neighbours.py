@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.operators.evaluation import comparable
+from tidemark.operators.evaluation import comparable, topk
+from tidemark.operators.vectorscore import _best
 from tidemark.scale import count_up, cut
 
 SLICE = 512  # items of one user handled together
+USER_BLOCK = 16_384  # users scored together
+SIM_ROWS = 4_000_000  # similarity rows that a task may hold
+SCORE_CELLS = 4_000_000  # scores that a task holds at once
 
 
 def _half_pairs(lists: DataFrame) -> DataFrame:
@@ -132,6 +138,73 @@ def unseen_scores(
     return sums.filter(F.col("seen") == 0).drop("seen")
 
 
+def itemknn_topk(
+    context: DataFrame, sims: DataFrame, users: DataFrame, seen: DataFrame, k: int = 20, block: int = USER_BLOCK
+) -> DataFrame:
+    """(user, item, score, rank): the best `k` unseen items with a score for each of `users`.
+
+    A sparse product by blocks. Users are hashed to blocks; a block gets the similarity rows of the items that
+    its users hold, each once however many of them hold it. A task multiplies (users x held items) with
+    (held items x items), hides what was seen and passes on k rows per user; scored pairs are never
+    a table. Items are hashed to blocks as well, so that the rows of a task are bounded by `SIM_ROWS`.
+    """
+    users = users.select("user").distinct()
+    sims = sims.select("item", "neighbour", "sim")
+    cores = users.sparkSession.sparkContext.defaultParallelism
+    n_users = max(1, users.count())
+    n_u = max(-(-n_users // block), min(2 * cores, n_users))
+    n_i = max(1, -(-sims.count() // SIM_ROWS))
+    ub, ib = [F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("user", n_u), ("item", n_i))]
+    every = F.explode(F.sequence(F.lit(0), F.lit(n_i - 1)))
+
+    held = context.select("user", F.col("item").alias("held")).distinct().join(users, "user", "left_semi").withColumn("ub", ub)
+    needed = held.select("ub", F.col("held").alias("neighbour")).distinct()
+    rows = needed.join(sims, "neighbour").withColumn("ib", ib)
+    hidden = seen.select("user", "item").join(users, "user", "left_semi")
+    asked = held.select("user", F.col("held").alias("item"), F.lit(False).alias("hidden"), "ub", every.alias("ib")).unionByName(
+        hidden.select("user", "item", F.lit(True).alias("hidden"), ub.alias("ub"), ib.alias("ib"))
+    )
+
+    def product(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"user": q["user"][:0], "item": v["item"][:0], "score": np.zeros(0)})
+        pairs, gone = q[~q["hidden"]], q[q["hidden"]]
+        if not len(pairs) or not len(v):
+            return empty
+        v = v.sort_values(["neighbour", "item"], kind="stable")
+        items, names = np.sort(v["item"].unique()), np.sort(pairs["user"].unique())
+        item = np.searchsorted(items, v["item"].to_numpy())
+        neighbour, sim = v["neighbour"].to_numpy(), v["sim"].to_numpy(float)
+        who = np.searchsorted(names, pairs["user"].to_numpy())
+        what = pairs["item"].to_numpy()
+        order = np.argsort(who, kind="stable")
+        who, what = who[order], what[order]
+        first, last = np.searchsorted(neighbour, what, "left"), np.searchsorted(neighbour, what, "right")
+        gone_u, gone_i = pd.Index(names).get_indexer(gone["user"]), pd.Index(items).get_indexer(gone["item"])
+        known = (gone_u >= 0) & (gone_i >= 0)
+        gone_u, gone_i = gone_u[known], gone_i[known]
+        step = max(1, SCORE_CELLS // len(items))
+        out = []
+        for a in range(0, len(names), step):
+            b = min(a + step, len(names))
+            lo, hi = np.searchsorted(who, [a, b])
+            size = last[lo:hi] - first[lo:hi]
+            total = np.cumsum(size)
+            at = np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(first[lo:hi], size)
+            cell = np.repeat(who[lo:hi] - a, size) * len(items) + item[at]
+            scores = np.bincount(cell, weights=sim[at], minlength=(b - a) * len(items)).reshape(b - a, -1)
+            mine = (gone_u >= a) & (gone_u < b)
+            scores[gone_u[mine] - a, gone_i[mine]] = 0.0
+            row, col = _best(np.where(scores > 0, np.rint(scores * 1e9), -np.inf), k)
+            out.append(pd.DataFrame({"user": names[a + row], "item": items[col], "score": scores[row, col]}))
+        return pd.concat(out)
+
+    kinds = (users.schema["user"].dataType.simpleString(), sims.schema["item"].dataType.simpleString())
+    parts = min(n_u * n_i, 100_000)
+    sides = [d.repartition(parts, "ub", "ib").groupBy("ub", "ib") for d in (asked, rows.select("item", "neighbour", "sim", "ub", "ib"))]
+    found = sides[0].cogroup(sides[1]).applyInPandas(product, f"user {kinds[0]}, item {kinds[1]}, score double")
+    return topk(found, k)
+
+
 def costar_neighbours(
     pairs: DataFrame, k: int = 10, shrink: float = 30.0, min_shared: int = 2
 ) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.functions.vectors import dot, mean_vector, sum_vector
+from tidemark.functions.vectors import mean_vector, sum_vector
 from tidemark.operators.evaluation import comparable
 
 BLOCK = 20_000  # vectors per block side
@@ -302,26 +302,3 @@ def vector_recall(approx: DataFrame, exact: DataFrame) -> DataFrame:
         approx.select("query", "item", F.lit(1).alias("hit")), ["query", "item"], "left"
     )
     return found.agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
-
-
-def lsh_topk(queries: DataFrame, items: DataFrame, k: int, tables: int = 8, width: float = 1.0) -> DataFrame:
-    """Approximate top-k: candidates that share a random-projection bucket, exact order inside."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    v = items.select("item", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"), "vec")
-    q = queries.select("query", array_to_vector(F.transform("vec", lambda x: x.cast("double"))).alias("features"), "vec")
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", numHashTables=tables, bucketLength=width, seed=0
-    ).fit(v)
-
-    def keyed(df: DataFrame, name: str) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-
-        hashed = model.transform(df).select(name, F.col("vec").alias(f"{name}_vec"), F.posexplode("hashes").alias("t", "h"))
-        return hashed.withColumn("h", vector_to_array("h"))
-
-    pairs = keyed(q, "query").join(keyed(v, "item"), ["t", "h"]).dropDuplicates(["query", "item"])
-    scored = pairs.select("query", "item", dot(F.col("query_vec"), F.col("item_vec")).alias("score"))
-    w = Window.partitionBy("query").orderBy(*_by_score())
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
