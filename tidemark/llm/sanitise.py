@@ -41,7 +41,7 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9]){15,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-TERM = r"[\p{L}\p{N}]{3,64}+"
+TERM = r"[\p{L}\p{N}]++"
 
 
 def _digits(value: Column) -> Column:
@@ -78,9 +78,11 @@ def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """t (hash of the lower-case word) and the number of different texts it occurs in, over the whole corpus."""
-    found = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: F.length(w).between(3, 64))
-    terms = docs.select(F.xxhash64("text").alias("th"), F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w)))).alias("terms"))
-    return terms.dropDuplicates(["th"]).select(F.explode("terms").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all_texts"))
+    # texts compress, hashes of their words do not: copies go before the words are taken
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").dropDuplicates(["th"])
+    found = F.filter(F.split("text", r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    terms = F.array_distinct(F.transform(found, lambda w: F.xxhash64(F.lower(w))))
+    return texts.select(F.explode(terms).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("all_texts"))
 
 
 def disclosing_terms(beside: DataFrame, docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> DataFrame:
