@@ -158,7 +158,8 @@ def knn_brute(train, k, shrink):
     return out
 
 
-def test_neighbour_ranking_matches_brute_force(parts):
+@pytest.mark.parametrize("sim_rows", [0, 4_000_000, 60])
+def test_neighbour_ranking_matches_brute_force(parts, monkeypatch, sim_rows):
     train = parts.filter("part = 'train'")
     sims = knn_brute(train, 5, 10.0)
     fitted = nb.itemknn_fit(train, 5, 10.0)
@@ -168,7 +169,10 @@ def test_neighbour_ranking_matches_brute_force(parts):
     assert {j: set(v) for j, v in got.items()} == {j: set(v) for j, v in sims.items() if v}
     targets, seen = ev.targets_of(parts, "test"), ev.seen_of(parts, "test")
     index = ia.id_map(parts, "item").select(F.col("raw_id").alias("item"), F.col("item").alias("rank"))
-    top = nb.fill_topk(nb.unseen_scores(train, fitted, targets, seen), targets, seen, index, 20)
+    monkeypatch.setattr(nb, "SIM_ROWS", sim_rows)
+    monkeypatch.setattr(nb, "SCORE_CELLS", 500)
+    scores = nb.itemknn_topk(train, fitted, targets, seen, block=7) if sim_rows else nb.unseen_scores(train, fitted, targets, seen)
+    top = nb.fill_topk(scores.drop("rank"), targets, seen, index, 20)
     lists = defaultdict(list)
     for r in top.orderBy("user", "rank").collect():
         lists[r["user"]].append(r["item"])

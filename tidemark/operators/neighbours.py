@@ -159,7 +159,8 @@ def itemknn_topk(
 
     held = context.select("user", F.col("item").alias("held")).distinct().join(users, "user", "left_semi").withColumn("ub", ub)
     needed = held.select("ub", F.col("held").alias("neighbour")).distinct()
-    rows = needed.join(sims, "neighbour").withColumn("ib", ib)
+    # under names of its own: both sides of the cogroup come from `held`
+    rows = needed.join(sims, "neighbour").select("item", "neighbour", "sim", F.col("ub").alias("ub"), ib.alias("ib"))
     hidden = seen.select("user", "item").join(users, "user", "left_semi")
     asked = held.select("user", F.col("held").alias("item"), F.lit(False).alias("hidden"), "ub", every.alias("ib")).unionByName(
         hidden.select("user", "item", F.lit(True).alias("hidden"), ub.alias("ub"), ib.alias("ib"))
@@ -200,7 +201,7 @@ def itemknn_topk(
 
     kinds = (users.schema["user"].dataType.simpleString(), sims.schema["item"].dataType.simpleString())
     parts = min(n_u * n_i, 100_000)
-    sides = [d.repartition(parts, "ub", "ib").groupBy("ub", "ib") for d in (asked, rows.select("item", "neighbour", "sim", "ub", "ib"))]
+    sides = [d.repartition(parts, "ub", "ib").groupBy("ub", "ib") for d in (asked, rows)]
     found = sides[0].cogroup(sides[1]).applyInPandas(product, f"user {kinds[0]}, item {kinds[1]}, score double")
     return topk(found, k)
 
