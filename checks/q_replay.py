@@ -252,21 +252,12 @@ def ladder(spark, sf, window):
     vec, _ = vectors(cat, spark, sf)
     mean = lambda c: vs.history_mean(items, vec.select("item", F.col(c).alias("vec")), DIM)
     languages = items.join(cat.select("item", "language"), "item").select("user", "language")
-    vectors_q, vectors_i = rp.ladder_queries(
-        queries.select("user", F.col("n_profile").alias("n")),
-        mean("model_vec"),
-        mean("text_vec"),
-        languages,
-        vec,
-        DIM,
-        DIM,
+    top = rp.ladder_topk(
+        queries.select("user", F.col("n_profile").alias("n")), mean("model_vec"), mean("text_vec"), languages, vec, DIM, DIM
     )
-    named = vectors_q.withColumn("query", F.concat_ws("|", "user", "k", "beta"))
-    named = cut(named, "rungs")
-    top = vs.blocked_topk(named.select("query", "vec", "tags", "boost"), vectors_i, 20)
-    top = top.join(named.select("query", "user", "k", "beta"), "query")
-    asked = named.select("user", "k", "beta").join(queries, "user")
-    return rp.replay_metrics(top, asked, cat, by=("k", "beta"))
+    rungs = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(float(b)).alias("beta")) for k in rp.LADDER_K for b in rp.LADDER_BETA]))
+    asked = queries.withColumn("r", rungs).select("r.k", "r.beta", *queries.columns)
+    return rp.replay_metrics(cut(top, "rungs"), asked, cat, by=("k", "beta"))
 
 
 @query(

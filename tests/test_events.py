@@ -154,3 +154,20 @@ def test_issues_open_at_a_time(spark):
     )
     got = sorted((r["t"] // 86_400, r["number"]) for r in iss.open_at(cases, issues, 7 * 86_400).collect())
     assert got == [(10, 1), (100, 1), (100, 3)]
+
+
+def test_leak_search_moves_only_suspects(spark):
+    """Equal to comparing every cell, in any case, also where names hold dots; no exchange before the filter."""
+    rows = [(i, f"Name{i}", f"text {i}", None if i % 3 else f"USER{i // 5}") for i in range(500)]
+    d = spark.createDataFrame(rows, "n long, `a.b` string, free string, login string")
+    bad = spark.createDataFrame([("name77",), ("uSer33",), ("nobody",), (None,)], "value string")
+    cells = {(c, str(v).lower()) for r in d.collect() for c, v in r.asDict().items() if v is not None}
+    want = {c for c, v in cells if v in {"name77", "user33", "nobody"}}
+    assert want == {"a.b", "login"} == {r["column"] for r in pv.find_leaks(d, bad).collect()}
+    assert pv.find_leaks(d, bad.filter("value is null")).count() == 0
+    plan = pv.find_leaks(d, bad)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan
+    # below the filter there is no exchange but the broadcast
+    assert "Exchange hashpartitioning" not in plan[plan.index("BroadcastNestedLoopJoin") :].split("BroadcastExchange")[0]
+    hashed = spark.createDataFrame([("0123456789abcdef", "x"), ("nope", "y")], "user string, other string")
+    assert [tuple(r) for r in pv.audit(hashed, bad, "user").collect()] == [("user", "not hashed")]

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from tidemark.scale import cut, global_index
 
-MAX_PASSES = 999
-
 
 def first_rating(ratings: DataFrame) -> DataFrame:
     """One rating per (user, item): the earliest, the higher one on equal times."""
@@ -38,7 +36,7 @@ def k_core(df: DataFrame, k: int = 5) -> DataFrame:
     """
     current = cut(df, "core")
     rows = current.count()
-    for _ in range(MAX_PASSES):
+    while True:
         kept = current.join(_rare(current, "user", k), "user", "left_anti").join(
             _rare(current, "item", k), "item", "left_anti"
         )
@@ -47,7 +45,6 @@ def k_core(df: DataFrame, k: int = 5) -> DataFrame:
         if left == rows:
             return kept
         current, rows = kept, left
-    raise RuntimeError("k-core filtering did not converge")
 
 
 def id_map(df: DataFrame, column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.evaluation import comparable, topk
-from tidemark.operators.vectorscore import _best
+from tidemark.operators.vectorscore import best_of_rows
 from tidemark.scale import count_up, cut
 
 SLICE = 512  # items of one user handled together
@@ -195,7 +195,7 @@ def itemknn_topk(
             scores = np.bincount(cell, weights=sim[at], minlength=(b - a) * len(items)).reshape(b - a, -1)
             mine = (gone_u >= a) & (gone_u < b)
             scores[gone_u[mine] - a, gone_i[mine]] = 0.0
-            row, col = _best(np.where(scores > 0, np.rint(scores * 1e9), -np.inf), k)
+            row, col = best_of_rows(np.where(scores > 0, np.rint(scores * 1e9), -np.inf), k)
             out.append(pd.DataFrame({"user": names[a + row], "item": items[col], "score": scores[row, col]}))
         return pd.concat(out)
 

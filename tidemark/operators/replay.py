@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import UTC, datetime
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators.eventlog import KINDS
 from tidemark.operators.evaluation import comparable, gain
-from tidemark.operators.vectorscore import moments, standardised
+from tidemark.operators.vectorscore import BLOCK, DIGITS, TILE_CELLS, best_of_rows, blocks_of, in_blocks, moments, standardised, tag_scores
 from tidemark.scale import cut
 
 # fixed values: serving ladder candidates; the weight on the model is min(1, items / k)
@@ -140,7 +142,7 @@ def history_bin(n: Column) -> Column:
     return F.when(n <= 0, "0").when(n <= 5, "1-5").when(n <= 20, "6-20").otherwise("20+")
 
 
-def ladder_queries(
+def ladder_topk(
     queries: DataFrame,
     model: DataFrame,
     text: DataFrame,
@@ -150,25 +152,28 @@ def ladder_queries(
     dim_text: int,
     ks: Sequence[int] = LADDER_K,
     betas: Sequence[float] = LADDER_BETA,
-) -> tuple[DataFrame, DataFrame]:
-    """(query vectors, item vectors) of every (k, beta) rung.
+    top: int = 20,
+    block: int = BLOCK,
+) -> DataFrame:
+    """(user, k, beta, item, score, rank): the best items of every (k, beta) rung.
 
     Score = w z(model) + (1 - w) z(text) + beta [language match] + tie with w = min(1, n / k). A
     z-score over the catalog is an affine function of the inner product, whose mean and deviation
-    follow from the catalog's moments; a language match is a boost of the search (see `blocked_topk`).
-    So each (user, rung) is one query vector and the ranking is one inner-product search.
+    follow from the catalog's moments. Users and items meet in blocks (see `blocked_topk`), where two
+    matrix products serve all rungs: a rung is a sum of the two and of the matches, formed in the block,
+    and only its best items leave it. `score` is without what is the same for all items of a user.
 
     `queries`: user, n. `model`, `text`: user, vec (missing = zero). `languages`: user, language
     of the profile. `catalog`: item, model_vec, text_vec, language, tie.
     """
-    spark = queries.sparkSession
+    rungs = [(int(k), float(b)) for k in ks for b in betas]
 
     def with_tie(column: str) -> Column:
         return F.concat(F.transform(column, lambda x: x.cast("double")), F.array("tie"))
 
     catalog = cut(
         catalog.select(
-            "item", "tie", "language", with_tie("model_vec").alias("mv"), with_tie("text_vec").alias("tv")
+            "item", F.nullif(F.col("language"), F.lit("")).alias("tag"), with_tie("model_vec").alias("mv"), with_tie("text_vec").alias("tv")
         ),
         "catalog",
     )
@@ -181,46 +186,50 @@ def ladder_queries(
         vec = F.coalesce(F.transform("vec", lambda x: x.cast("double")), zero)
         return full.select("user", F.concat(vec, F.array(F.lit(1.0))).alias("vec"))
 
-    zm = standardised(padded(model, dim_model), m_stats).select("user", F.col("zvec").alias("zm"), F.col("offset").alias("om"))
-    zt = standardised(padded(text, dim_text), t_stats).select("user", F.col("zvec").alias("zt"), F.col("offset").alias("ot"))
-    spoken = (
-        languages.filter(F.col("language") != "")
-        .select("user", "language")
-        .distinct()
-        .groupBy("user")
-        .agg(F.collect_set("language").alias("langs"))
-    )
-    rungs = spark.createDataFrame(
-        [(int(k), float(b)) for k in ks for b in betas], "k long, beta double"
-    ).select(F.collect_list(F.struct("k", "beta")).alias("rungs"), F.lit(1).alias("one"))
-    none = F.array().cast("array<string>")
-    base = (
-        queries.select("user", "n", F.lit(1).alias("one"))
-        .join(zm, "user")
-        .join(zt, "user")
-        .join(spoken, "user", "left")
-        .join(F.broadcast(rungs), "one")
-        .select("user", "n", "zm", "om", "zt", "ot", F.coalesce("langs", none).alias("langs"), F.explode("rungs").alias("r"))
-        .select("*", "r.k", "r.beta")
-    )
-    w = F.least(F.lit(1.0), F.col("n") / F.col("k"))
-    base = base.withColumn("w", w)
-    head_m = F.transform(F.slice("zm", 1, dim_model), lambda x: x * F.col("w"))
-    head_t = F.transform(F.slice("zt", 1, dim_text), lambda x: x * (1 - F.col("w")))
-    tie = F.col("w") * F.col("zm")[dim_model] + (1 - F.col("w")) * F.col("zt")[dim_text] + 1.0
-    vectors = base.select(
-        F.struct("user", "k", "beta").alias("q"),
-        F.concat(head_m, head_t, F.array(tie)).alias("vec"),
-        F.col("langs").alias("tags"),
-        F.col("beta").alias("boost"),
-        (F.col("w") * F.col("om") + (1 - F.col("w")) * F.col("ot")).alias("offset"),
-    )
-    items = catalog.select(
-        "item",
-        F.concat(F.slice("mv", 1, dim_model), F.slice("tv", 1, dim_text), F.array("tie")).alias("vec"),
-        F.nullif(F.col("language"), F.lit("")).alias("tag"),
+    zm = standardised(padded(model, dim_model), m_stats).select("user", F.col("zvec").alias("zm"))
+    zt = standardised(padded(text, dim_text), t_stats).select("user", F.col("zvec").alias("zt"))
+    spoken = languages.filter(F.col("language") != "").groupBy("user").agg(F.collect_set("language").alias("tags"))
+    asked = queries.select("user", "n").join(zm, "user").join(zt, "user").join(spoken, "user", "left").withColumn("boost", F.lit(1.0))
+    asked = cut(asked, "asked")
+    n_q, n_i = blocks_of(asked, catalog, block)
+    left, right = in_blocks(asked, "user", n_q, "qb", n_i, "ib"), in_blocks(catalog, "item", n_i, "ib", n_q, "qb")
+
+    def score(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        v = v.sort_values("item", kind="stable")
+        users, items = q["user"].to_numpy(), v["item"].to_numpy()
+        found = [pd.DataFrame({"user": users[:0], "rung": np.zeros(0, np.int32), "item": items[:0], "score": np.zeros(0)})]
+        if not len(q) or not len(v):
+            return found[0]
+        zm, zt, mv, tv = (np.stack(c.to_numpy()) for c in (q["zm"], q["zt"], v["mv"], v["tv"]))
+        matches, tag_of = tag_scores(q, v["tag"].to_numpy())
+        n = q["n"].to_numpy(float)
+        step = max(1, TILE_CELLS // len(v))
+        for a in range(0, len(q), step):
+            rows = slice(a, a + step)
+            by_model, by_text = zm[rows, :-1] @ mv[:, :-1].T, zt[rows, :-1] @ tv[:, :-1].T
+            match = matches[rows][:, tag_of]
+            for k in sorted({k for k, _ in rungs}):
+                w = np.minimum(1.0, n[rows] / k)[:, None]
+                tie = w * zm[rows, -1:] + (1 - w) * zt[rows, -1:] + 1.0
+                mixed = w * by_model + (1 - w) * by_text + tie * mv[:, -1]
+                for number, (own, beta) in enumerate(rungs):
+                    if own != k:
+                        continue
+                    scores = np.round(mixed + beta * match, DIGITS)
+                    row, col = best_of_rows(scores, top)
+                    found.append(pd.DataFrame({"user": users[a + row], "rung": np.full(len(row), number, np.int32), "item": items[col], "score": scores[row, col]}))
+        return pd.concat(found[1:])
+
+    kinds = (queries.schema["user"].dataType.simpleString(), catalog.schema["item"].dataType.simpleString())
+    found = (
+        left.groupBy("qb", "ib")
+        .cogroup(right.groupBy("qb", "ib"))
+        .applyInPandas(score, f"user {kinds[0]}, rung int, item {kinds[1]}, score double")
     )
-    return vectors.select("q.user", "q.k", "q.beta", "vec", "tags", "boost", "offset"), items
+    names = F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.lit(b).alias("beta")) for k, b in rungs])
+    w = Window.partitionBy("user", "rung").orderBy(comparable("score", DIGITS).desc(), "item")
+    ranked = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+    return ranked.select("user", names[F.col("rung")].alias("r"), "item", "score", "rank").select("user", "r.k", "r.beta", "item", "score", "rank")
 
 
 def replay_report(per_user: DataFrame, queries: DataFrame) -> DataFrame:

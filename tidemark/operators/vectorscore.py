@@ -23,7 +23,7 @@ def _by_score() -> list[Column]:
     return [comparable("score", DIGITS).desc(), F.col("item")]
 
 
-def _best(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of_rows(scores: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the `keep` largest finite scores per row, earlier columns win ties."""
     m = scores.shape[1]
     if m > keep:
@@ -68,7 +68,7 @@ def tag_score(boost: Column, tags: Column, tag: Column) -> Column:
     return F.when(F.array_contains(tags, tag), boost).otherwise(0.0)
 
 
-def _tag_scores(vectors: pd.DataFrame, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+def tag_scores(vectors: pd.DataFrame, tags: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
     """(queries x tags of the block) boosts and the column of each item."""
     codes, names = pd.factorize(tags)
     place = {t: k for k, t in enumerate(names)}
@@ -80,6 +80,22 @@ def _tag_scores(vectors: pd.DataFrame, tags: np.ndarray) -> tuple[np.ndarray, np
     return boosts, np.where(codes < 0, len(names), codes)
 
 
+def blocks_of(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> tuple[int, int]:
+    """Numbers of query and item blocks of about `block` rows. Small inputs get smaller blocks, so that
+    every core has a few pairs of blocks. Counts both inputs."""
+    rows_q, rows_i = max(1, queries.count()), max(1, items.count())
+    cores = queries.sparkSession.sparkContext.defaultParallelism
+    block = max(MIN_BLOCK, min(block, int((rows_q * rows_i / (4 * cores)) ** 0.5)))
+    return -(-rows_q // block), -(-rows_i // block)
+
+
+def in_blocks(df: DataFrame, key: str, own: int, own_name: str, other: int, other_name: str) -> DataFrame:
+    """Rows hashed to one of `own` blocks, once for each of the `other` side's blocks."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(other - 1)))
+    placed = df.withColumn(own_name, F.pmod(F.xxhash64(key), F.lit(own)).cast("int")).withColumn(other_name, every)
+    return placed.repartition(min(own * other, 100_000), "qb", "ib")
+
+
 def blocked_topk(
     queries: DataFrame,
     items: DataFrame,
@@ -100,11 +116,7 @@ def blocked_topk(
     items whose tag it has: a product with one-hot vectors, however many tags there are.
     """
     tagged = "tags" in queries.columns and "tag" in items.columns
-    rows_q, rows_i = max(1, queries.count()), max(1, items.count())
-    # small inputs: smaller blocks, so that every core gets a few of them
-    cores = queries.sparkSession.sparkContext.defaultParallelism
-    block = max(MIN_BLOCK, min(block, int((rows_q * rows_i / (4 * cores)) ** 0.5)))
-    n_q, n_i = -(-rows_q // block), -(-rows_i // block)
+    n_q, n_i = blocks_of(queries, items, block)
     all_q, all_i = [F.sequence(F.lit(0), F.lit(n - 1)) for n in (n_q, n_i)]
 
     def part(column: str, n: int) -> Column:
@@ -159,7 +171,7 @@ def blocked_topk(
         by_row = np.argsort(gone_q, kind="stable")
         gone_q, gone_i = gone_q[by_row], gone_i[by_row]
         owners = v["owner"].to_numpy()
-        boosts, tag_of = _tag_scores(vectors, v["tag"].to_numpy()) if tagged else (None, None)
+        boosts, tag_of = tag_scores(vectors, v["tag"].to_numpy()) if tagged else (None, None)
         step = max(1, TILE_CELLS // len(v))
         out = []
         for a in range(0, len(names), step):
@@ -172,7 +184,7 @@ def blocked_topk(
             if owner_cap:
                 rows, cols = _owner_best(s, owners, ids, owner_cap, k)
             else:
-                rows, cols = _best(s, k)
+                rows, cols = best_of_rows(s, k)
             out.append(
                 pd.DataFrame({"query": names[a + rows], "item": ids[cols], "score": raw[rows, cols]})
             )
