@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from plain_forms import SMALL, repetition
 
-from tidemark.llm import arrays, collocations, exact_dedup, jaccard_join, whitening
+from tidemark.llm import arrays, collocations, exact_dedup, jaccard_join, sanitise, secrets_link, suffix_dedup, whitening
 from tidemark.llm import repetition as rules
 
 TEXTS = "doc_id long, text string"
@@ -285,3 +285,26 @@ def test_scores_beyond_64_bits(spark):
 
 def test_collocations_of_nothing(spark):
     assert collocations.collocations(spark.createDataFrame([], "text string, lang string")).count() == 0
+
+
+# stages --------------------------------------------------------------------------------------------
+
+
+def test_stages_carry_columns_whose_names_hold_dots(spark):
+    text = "password=abcdefghijklmnop " + " ".join(f"word{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, text, 5), (2, "jane@corp.com " + text[:300], 6)], "doc_id long, text string, `a.b` long")
+    for stage in (rules.keep, jaccard_join.keep_one, suffix_dedup.remove_repeats, secrets_link.redact, sanitise.sanitise):
+        got = stage(docs)
+        assert got.columns == docs.columns
+        assert {(r["doc_id"], r["a.b"]) for r in got.collect()} <= {(1, 5), (2, 6)}
+
+
+def test_long_keys_and_words_are_found(spark):
+    key = "aB" * 35 + "3"
+    name = "n" * 68
+    rows = [(1, f"user=bob {key}"), (2, f"{name} jane@corp.com")]
+    docs = spark.createDataFrame(rows, TEXTS)
+    spans = {r["doc_id"]: {s["value"] for s in r["spans"]} for r in secrets_link.find(docs).collect()}
+    assert key in spans[1]
+    terms = {r["doc_id"]: {s["value"] for s in r["spans"] if s["kind"] == "term"} for r in sanitise.find(docs).collect()}
+    assert name in terms[2]

@@ -581,7 +581,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     nameless = found.filter("n > 0 and component is null").select(id_.alias("id"), "th").distinct()
     chosen = best.unionByName(nameless).withColumn("one", F.lit(True))
     empty = found.filter("n = 0").select(id_.alias("id"), "th").distinct().withColumn("one", F.lit(False))
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"), F.struct(*docs.columns).alias("row"))
+    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"), F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"))
     kept = keyed.join(chosen.unionByName(empty), ["id", "th"])
     # equal rows of one document are told apart for those without words only
     turn = F.when(F.col("one"), F.lit(0).cast("long")).otherwise(F.monotonically_increasing_id())

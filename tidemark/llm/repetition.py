@@ -33,6 +33,7 @@ from tidemark.llm.arrays import flat, hash_spans, mix, mod_prefix, mod_spans, sl
 MIN_WORDS = 8  # shortest repeated passage that counts
 COVERED = 24  # percent of the words in repeated passages
 LONGEST = 10  # percent of the words in the longest one
+PORTION = 1 << 20  # bytes of text worked on at once; a longer text is worked on alone
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"[#*$%&|<>]"[1:-1])] = True
@@ -174,7 +175,7 @@ def rules(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVER
     """Per row: counts, `base_failed` (the fixed rule) and `kept` (see the module's description)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, most=PORTION):
             m = measure(batch.column(1), min_words)
             failed, kept = _verdicts(m, min_words, most_covered, most_longest)
             base = [m[c] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -189,8 +190,9 @@ def keep(docs: DataFrame, min_words: int = MIN_WORDS, most_covered: int = COVERE
     text_at = docs.columns.index("text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, most=2 << 20):
+        for batch in slices(batches, f"c{text_at}", PORTION):
             _, kept = _verdicts(measure(batch.column(text_at), min_words), min_words, most_covered, most_longest)
             yield batch.filter(pa.array(kept))
 
-    return docs.mapInArrow(work, docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # names may hold dots
+    return plain.mapInArrow(work, plain.schema).toDF(*docs.columns)

@@ -140,7 +140,7 @@ def sanitise(docs: DataFrame, doubt: float = DOUBT, hidden: float = HIDDEN) -> D
     Overlapping spans are replaced as one, by the mark of the first.
     """
     spots = _spots(docs, doubt, hidden).filter(F.size("spans") > 0).dropDuplicates(["id", "th"]).select("id", "th", "spans")
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [f"`{c}`" for c in docs.columns if c != "text"]
     out = _keyed(docs, F.col("text"), F.struct(*rest).alias("row")).join(spots, ["id", "th"], "left")
     runs = merged_spans(F.col("spans"))
 

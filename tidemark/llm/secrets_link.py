@@ -32,9 +32,9 @@ HEX = r"[0-9a-f]{16,}+"
 KINDS = ("assign", "access", "hex")
 
 # Weak parts, by role.
-IDENTIFIER = r"""\b(?i:username|user|login|client_?id|account|access_?key_?id)["']?\x20?[:=]\x20?["']?[A-Za-z0-9._@-]{3,64}+"""
-VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,64}[0-9])(?=[0-9A-Z+/_-]{0,64}[a-z])(?=[0-9a-z+/_-]{0,64}[A-Z])[A-Za-z0-9+/_-]{20,}+"
-ENDPOINT = r"\b[a-z][a-z0-9+]{1,20}+://[A-Za-z0-9.-]{3,253}+(?::[0-9]{2,5})?|(?<![A-Za-z0-9.-])[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}+:[0-9]{2,5}"
+IDENTIFIER = r"""\b(?i:username|user|login|client_?id|account|access_?key_?id)["']?\x20?[:=]\x20?["']?[A-Za-z0-9._@-]{3,}+"""
+VALUE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9A-Z+/_-]*+[a-z])(?=[0-9a-z+/_-]*+[A-Z])[A-Za-z0-9+/_-]{20,}+"
+ENDPOINT = r"\b[a-z][a-z0-9+]++://[A-Za-z0-9.-]{3,}+(?::[0-9]{2,5})?|(?<![A-Za-z0-9.-])[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++:[0-9]{2,5}"
 WEAK = (("linked_identifier", IDENTIFIER), ("linked_secret", VALUE), ("linked_endpoint", ENDPOINT))
 
 
@@ -76,7 +76,7 @@ def linked_spans(parts: DataFrame, key: list[str], scope: int = SCOPE) -> DataFr
 
 def _keyed(docs: DataFrame, *columns: Column) -> DataFrame:
     """`columns` and the key (id, th); a null doc_id has a stand-in."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.hash("text").alias("th"), *columns)
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("id"), F.xxhash64("text").alias("th"), *columns)
 
 
 def _spots(docs: DataFrame, scope: int) -> DataFrame:
@@ -108,7 +108,7 @@ def digests(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
 def redact(docs: DataFrame, scope: int = SCOPE, mark: str = MARK) -> DataFrame:
     """`docs` with each found span (overlapping ones as one) replaced by `mark`."""
     spots = _spots(docs, scope).filter(F.size("spans") > 0).dropDuplicates(["id", "th"]).select("id", "th", merged_spans(F.col("spans")).alias("gone"))
-    rest = [c for c in docs.columns if c != "text"]
+    rest = [f"`{c}`" for c in docs.columns if c != "text"]
     keyed = _keyed(docs, F.col("text"), F.struct(*rest).alias("row"))
     out = keyed.join(spots, ["id", "th"], "left").select("row", F.when(F.col("gone").isNull(), F.col("text")).otherwise(replaced(F.col("text"), F.col("gone"), mark)).alias("text"))
     return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))

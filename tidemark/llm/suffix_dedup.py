@@ -303,7 +303,7 @@ def _texts(docs: DataFrame, carried: list[str]) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"),
         F.hash("text").alias("th"),
         F.col("text"),
-        F.struct(*carried).alias("row"),
+        F.struct(*[f"`{c}`" for c in carried]).alias("row"),
     )
     return keyed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id", "th")
 
@@ -382,7 +382,6 @@ def _apply(docs: DataFrame, carried: list[str], added: str, values: Callable[[st
     """Carried columns of `docs` and what `values` makes of each text, its bytes and its removed runs."""
     texts = _texts(docs, carried)
     spans = repeated_spans(docs, texts, **options)
-    row_type = texts.schema["row"].dataType
     names = [c.split()[0] for c in added.split(", ")]
     kinds = {"long": pa.int64(), "string": pa.string()}
     types = [kinds[c.split()[1]] for c in added.split(", ")]
@@ -395,7 +394,9 @@ def _apply(docs: DataFrame, carried: list[str], added: str, values: Callable[[st
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(2), *columns], ["row", *(f"_{n}" for n in names)])
 
-    schema = f"row {row_type.simpleString()}, " + ", ".join(f"_{c}" for c in added.split(", "))
+    schema = texts.select("row").schema
+    for name, kind in zip(names, types, strict=True):
+        schema = schema.add(f"_{name}", "long" if kind == pa.int64() else "string")
     joined = texts.select("id", "th", "text", "row").join(spans, ["id", "th"], "left").select("text", "spans", "row")
     return joined.mapInArrow(work, schema)
 
