@@ -4,15 +4,19 @@ are grounded, some are not and some cannot be parsed."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from checks import inputs as I
-from checks.q_benchmark import KNN_SCORE, TGT
+from checks.inputs import IDCG
+from checks.q_benchmark import KNN_SCORE, TGT, full_top
+from checks.q_statistics import boot_sql, interval_sql, rounded
 from checks.q_text import scrub_sql, truncate_sql
 from checks.registry import query
 from tidemark.functions import prompts as pr
 from tidemark.operators import answers as an
 from tidemark.operators import evaluation as ev
 from tidemark.operators import neighbours as nb
+from tidemark.operators.bootstrap import paired_intervals
 from tidemark.operators.interactions import id_map
 from tidemark.operators.popularity import item_popularity
 from tidemark.scale import cut
@@ -398,7 +402,7 @@ def rerank_eval(spark, sf):
     ids = cut(id_map(s, "item"), "ids")
     index = ids.select(F.col("raw_id").alias("item"), F.col("item").alias("rank"))
     sets = cut(an.random_candidate_sets(ev.targets_of(s, "test"), s.select("user", "item"), index, ids.count()), "sets")
-    scores = nb.itemknn_score(train, nb.itemknn_fit(train))
+    scores = nb.itemknn_pairs(train, nb.itemknn_fit(train), sets)
     known = sets.join(scores, ["user", "item"], "left").join(item_popularity(train, s), "item")
     orders = {
         "model_order": [F.round(F.coalesce("score", F.lit(0.0)), 9).desc(), F.col("item")],
@@ -420,6 +424,72 @@ def rerank_eval(spark, sf):
     )
 
 
+# both candidate sets: random items beside one target, and the model's own first 20
+SETS = f"""{RERANK}, {full_top('knn')},
+sets AS MATERIALIZED (SELECT 'random20' AS "set", "user", item, t FROM cs
+  UNION ALL SELECT 'model20', "user", item, EXISTS (SELECT 1 FROM tgt g WHERE g."user" = top."user" AND g.item = top.item) FROM top),
+cand AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY "set", "user" ORDER BY item) - 1 AS c FROM sets),
+said AS (SELECT *, row_number() OVER (PARTITION BY "set", "user", s ORDER BY md5(s || ',' || "user" || ',' || item)) - 1 AS pos FROM cand, range(0, 3) x(s)),
+pts AS (SELECT "set", "user", c, t, sum(n - pos) AS points, min(pos) FILTER (s = 0) AS f FROM said JOIN (SELECT "set", "user", count(*) AS n FROM cand GROUP BY 1, 2) USING ("set", "user") GROUP BY ALL),
+ords AS MATERIALIZED (
+  SELECT "set", "set" || '_model_order' AS variant, a."user", t, row_number() OVER (PARTITION BY "set", a."user" ORDER BY round(coalesce(k.score, 0), 9) DESC, a.item) AS rank FROM cand a LEFT JOIN knn k ON k."user" = a."user" AND k.item = a.item
+  UNION ALL SELECT "set", "set" || '_popularity_order', "user", t, row_number() OVER (PARTITION BY "set", "user" ORDER BY pop DESC, item) FROM cand JOIN pop USING (item)
+  UNION ALL SELECT "set", "set" || '_text', "user", t, row_number() OVER (PARTITION BY "set", "user" ORDER BY points DESC, f, c) FROM pts),
+nts AS (SELECT 'random20' AS "set", "user", 1 AS n FROM ch UNION ALL SELECT 'model20', "user", count(*) FROM tgt GROUP BY 2),
+{IDCG},
+per AS MATERIALIZED (SELECT o."set", variant, o."user", sum(CASE WHEN t AND rank <= 10 THEN 1.0 / log2(CAST(rank AS DOUBLE) + 1) ELSE 0 END) / any_value(a.ideal) AS ndcg_10,
+    CAST(count(*) FILTER (t AND rank <= 10) AS DOUBLE) / any_value(nts.n) AS recall_10, sum(CASE WHEN t AND rank <= 20 THEN 1.0 / log2(CAST(rank AS DOUBLE) + 1) ELSE 0 END) / any_value(b.ideal) AS ndcg_20
+  FROM ords o JOIN nts ON nts."set" = o."set" AND nts."user" = o."user" JOIN (SELECT n AS m, ideal FROM idcg) a ON a.m = least(nts.n, 10) JOIN (SELECT n AS m, ideal FROM idcg) b ON b.m = least(nts.n, 20) GROUP BY 1, 2, 3)"""
+COMPARED = (("text", "model_order"), ("text", "popularity_order"))
+
+
+def reranked(spark, sf):
+    """set, variant, user and the metrics of both candidate sets in all their orders. An answer is a
+    ranking of the candidates by the md5 of answer, user and item."""
+    s = I.split(spark, sf)
+    train, targets, seen = s.filter("part = 'train'"), ev.targets_of(s, "test"), ev.seen_of(s, "test")
+    ids = cut(id_map(s, "item"), "ids")
+    index = ids.select(F.col("raw_id").alias("item"), F.col("item").alias("rank"))
+    sims = cut(nb.itemknn_fit(train), "sims")
+    drawn = an.random_candidate_sets(targets, s.select("user", "item"), index, ids.count())
+    top = nb.fill_topk(nb.itemknn_topk(train, sims, targets, seen).drop("rank"), targets, seen, index)
+    hits = top.select("user", "item").join(targets.withColumn("is_target", F.lit(True)), ["user", "item"], "left")
+    model = hits.select(F.lit("model20").alias("set"), "user", "item", F.coalesce("is_target", F.lit(False)).alias("is_target"))
+    sets = cut(drawn.select(F.lit("random20").alias("set"), "user", "item", "is_target").unionByName(model), "sets")
+    scores = nb.itemknn_pairs(train, sims, sets)
+    said = sets.withColumn("candidate", F.row_number().over(Window.partitionBy("set", "user").orderBy("item")))
+    key = lambda k: F.md5(F.concat_ws(",", F.lit(str(k)), F.col("user").cast("string"), F.col("item").cast("string")))
+    lists = said.groupBy("set", "user").agg(*[F.array_sort(F.collect_list(F.struct(key(k).alias("key"), "candidate"))).alias(f"a{k}") for k in range(3)])
+    each = lists.select("set", "user", F.posexplode(F.array("a0", "a1", "a2")).alias("ranking", "a"))
+    text = F.array_join(F.transform("a", lambda x: F.concat(F.lit("["), x["candidate"].cast("string"), F.lit("]"))), " > ")
+    orders = an.candidate_orders(sets, scores, item_popularity(train, s), each.select("set", "user", "ranking", text.alias("text")))
+    n = targets.groupBy("user").agg(F.count(F.lit(1)).alias("n"))
+    one = orders.filter("set = 'random20'").drop("set")
+    several = orders.filter("set = 'model20'").drop("set")
+    drawn_metrics = an.order_metrics(one, n.withColumn("n", F.lit(1).cast("long"))).withColumn("set", F.lit("random20"))
+    return cut(drawn_metrics.unionByName(an.order_metrics(several, n).withColumn("set", F.lit("model20"))), "reranked")
+
+
+@query(
+    "rerank_sets",
+    f"""WITH {SETS} SELECT "set", variant, count(*) AS n_users, round(avg(ndcg_10), 6) AS ndcg_10, round(avg(recall_10), 6) AS recall_10, round(avg(ndcg_20), 6) AS ndcg_20 FROM per GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    means = [F.round(F.avg(c), 6).alias(o) for c, o in (("ndcg_k", "ndcg_10"), ("recall_k", "recall_10"), ("ndcg_full", "ndcg_20"))]
+    return reranked(spark, sf).groupBy("set", "variant").agg(F.count(F.lit(1)).alias("n_users"), *means)
+
+
+@query(
+    "rerank_cis",
+    f"""WITH {SETS}, val AS MATERIALIZED (SELECT "set", variant AS series, "user", ndcg_10 AS value FROM per), {boot_sql('val', '"set"', 1_000)},
+    pr AS (SELECT s AS "set", s || '_text' AS a, s || '_' || o AS b FROM (VALUES ('random20'), ('model20')) x(s), (VALUES {', '.join(f"('{b}')" for _, b in COMPARED)}) y(o)), {interval_sql('"set"', 'pr')} SELECT * FROM pci""",
+)
+def _(spark, sf):
+    v = reranked(spark, sf).select("set", F.col("variant").alias("series"), "user", F.col("ndcg_k").alias("value"))
+    pairs = spark.createDataFrame([(x, f"{x}_{a}", f"{x}_{b}") for x in ("random20", "model20") for a, b in COMPARED], "set string, a string, b string")
+    return rounded(paired_intervals(v, pairs, ["set"], 1_000))
+
+
 # explanations: claims about a part, facts that cover some of them ------------------------------------------
 CLAIM = """'This ' || p_type || ' project by org' || p_size || '/' || replace(p_name, ' ', '-') || ' uses python and C++, is easy, "' || p_name || '." has ' || p_partkey || ' stars; people starred it'"""
 CLAIM_FACTS = """['Repository: ' || replace(p_name, ' ', '_') || CASE WHEN p_size % 2 = 0 THEN ' (main language: Python).' ELSE '.' END, CASE WHEN p_size % 3 = 0 THEN 'Estimated difficulty: easy. ' || p_partkey ELSE 'People who starred org' || p_size || '/' || replace(p_name, ' ', '-') END]"""

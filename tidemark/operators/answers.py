@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.labels import DIFFICULTIES
 from tidemark.functions.prompts import prompt_key
 from tidemark.functions.text import normalise
-from tidemark.operators.evaluation import gain, ideal_gain
+from tidemark.operators.evaluation import comparable, gain, ideal_gain
 from tidemark.operators.split import hash_key
 from tidemark.operators.training import MAX_ROUNDS, draw, unheld
 from tidemark.scale import cut
@@ -274,6 +274,37 @@ def random_candidate_sets(
     return chosen.withColumn("is_target", F.lit(True)).unionByName(rest)
 
 
+def candidate_orders(sets: DataFrame, scores: DataFrame, pop: DataFrame, answers: DataFrame | None = None) -> DataFrame:
+    """(set, variant, user, rank, is_target): the candidate sets in the orders to be compared.
+
+    `sets`: set, user, item, is_target. `scores`: user, item, score of the model for these pairs (a missing one is
+    0). `pop`: item, pop. `answers`: set, user, ranking (from 0), text: what a language model answered about the
+    candidates, shown in the order of their ids; several answers about a set count by Borda's rule. A variant
+    is named after its set: _model_order, _popularity_order, _text.
+    """
+    keys = ["set", "user"]
+    known = sets.join(scores.select("user", "item", "score"), ["user", "item"], "left").join(pop.select("item", "pop"), "item", "left")
+    number = F.row_number().over(Window.partitionBy(*keys).orderBy("item")) - 1  # a set is a short list
+    known = cut(known.withColumn("candidate", number), "candidates")
+
+    def ordered(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return rows.select("set", F.concat("set", F.lit("_" + name)).alias("variant"), "user", F.row_number().over(w).alias("rank"), "is_target")
+
+    out = ordered(known, "model_order", comparable(F.coalesce("score", F.lit(0.0))).desc(), F.col("item"))
+    out = out.unionByName(ordered(known, "popularity_order", F.coalesce("pop", F.lit(0)).desc(), F.col("item")))
+    if answers is None:
+        return out
+    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"))
+    order = parse_ranking(F.col("text"), F.col("n"))[0]
+    rankings = answers.join(sizes, keys).select(F.struct(*keys).alias("list"), "ranking", order.alias("order"))
+    places = borda(rankings).select("list.*", "candidate", "place")
+    placed = known.join(places, [*keys, "candidate"])
+    return out.unionByName(
+        placed.select("set", F.concat("set", F.lit("_text")).alias("variant"), "user", F.col("place").alias("rank"), "is_target")
+    )
+
+
 def order_metrics(ranked: DataFrame, n_targets: DataFrame, k: int = 10, full: int = 20) -> DataFrame:
     """(variant, user, ndcg_k, recall_k, ndcg_full) of ordered candidate sets.
 

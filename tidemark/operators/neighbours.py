@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -138,17 +140,21 @@ def unseen_scores(
     return sums.filter(F.col("seen") == 0).drop("seen")
 
 
-def itemknn_topk(
-    context: DataFrame, sims: DataFrame, users: DataFrame, seen: DataFrame, k: int = 20, block: int = USER_BLOCK
+def _score_blocks(
+    context: DataFrame,
+    sims: DataFrame,
+    marks: DataFrame,
+    users: DataFrame,
+    choose: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    block: int,
 ) -> DataFrame:
-    """(user, item, score, rank): the best `k` unseen items with a score for each of `users`.
+    """(user, item, score) of the cells that `choose`(scores, marked rows, marked columns) picks of each tile.
 
     A sparse product by blocks. Users are hashed to blocks; a block gets the similarity rows of the items that
     its users hold, each once however many of them hold it. A task multiplies (users x held items) with
-    (held items x items), hides what was seen and passes on k rows per user; scored pairs are never
-    a table. Items are hashed to blocks as well, so that the rows of a task are bounded by `SIM_ROWS`.
+    (held items x items) tile by tile; scored pairs are never a table. Items are hashed to blocks as well,
+    so that the rows of a task are bounded by `SIM_ROWS`. `marks`: user, item pairs of `users`.
     """
-    users = users.select("user").distinct()
     sims = sims.select("item", "neighbour", "sim")
     cores = users.sparkSession.sparkContext.defaultParallelism
     n_users = max(1, users.count())
@@ -161,14 +167,13 @@ def itemknn_topk(
     needed = held.select("ub", F.col("held").alias("neighbour")).distinct()
     # under names of its own: both sides of the cogroup come from `held`
     rows = needed.join(sims, "neighbour").select("item", "neighbour", "sim", F.col("ub").alias("ub"), ib.alias("ib"))
-    hidden = seen.select("user", "item").join(users, "user", "left_semi")
-    asked = held.select("user", F.col("held").alias("item"), F.lit(False).alias("hidden"), "ub", every.alias("ib")).unionByName(
-        hidden.select("user", "item", F.lit(True).alias("hidden"), ub.alias("ub"), ib.alias("ib"))
+    asked = held.select("user", F.col("held").alias("item"), F.lit(False).alias("marked"), "ub", every.alias("ib")).unionByName(
+        marks.select("user", "item", F.lit(True).alias("marked"), ub.alias("ub"), ib.alias("ib"))
     )
 
     def product(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"user": q["user"][:0], "item": v["item"][:0], "score": np.zeros(0)})
-        pairs, gone = q[~q["hidden"]], q[q["hidden"]]
+        pairs, marked = q[~q["marked"]], q[q["marked"]]
         if not len(pairs) or not len(v):
             return empty
         v = v.sort_values(["neighbour", "item"], kind="stable")
@@ -180,9 +185,9 @@ def itemknn_topk(
         order = np.argsort(who, kind="stable")
         who, what = who[order], what[order]
         first, last = np.searchsorted(neighbour, what, "left"), np.searchsorted(neighbour, what, "right")
-        gone_u, gone_i = pd.Index(names).get_indexer(gone["user"]), pd.Index(items).get_indexer(gone["item"])
-        known = (gone_u >= 0) & (gone_i >= 0)
-        gone_u, gone_i = gone_u[known], gone_i[known]
+        mark_u, mark_i = pd.Index(names).get_indexer(marked["user"]), pd.Index(items).get_indexer(marked["item"])
+        known = (mark_u >= 0) & (mark_i >= 0)
+        mark_u, mark_i = mark_u[known], mark_i[known]
         step = max(1, SCORE_CELLS // len(items))
         out = []
         for a in range(0, len(names), step):
@@ -193,17 +198,40 @@ def itemknn_topk(
             at = np.arange(total[-1]) - np.repeat(total - size, size) + np.repeat(first[lo:hi], size)
             cell = np.repeat(who[lo:hi] - a, size) * len(items) + item[at]
             scores = np.bincount(cell, weights=sim[at], minlength=(b - a) * len(items)).reshape(b - a, -1)
-            mine = (gone_u >= a) & (gone_u < b)
-            scores[gone_u[mine] - a, gone_i[mine]] = 0.0
-            row, col = best_of_rows(np.where(scores > 0, np.rint(scores * 1e9), -np.inf), k)
+            mine = (mark_u >= a) & (mark_u < b)
+            row, col = choose(scores, mark_u[mine] - a, mark_i[mine])
             out.append(pd.DataFrame({"user": names[a + row], "item": items[col], "score": scores[row, col]}))
         return pd.concat(out)
 
     kinds = (users.schema["user"].dataType.simpleString(), sims.schema["item"].dataType.simpleString())
     parts = min(n_u * n_i, 100_000)
     sides = [d.repartition(parts, "ub", "ib").groupBy("ub", "ib") for d in (asked, rows)]
-    found = sides[0].cogroup(sides[1]).applyInPandas(product, f"user {kinds[0]}, item {kinds[1]}, score double")
-    return topk(found, k)
+    return sides[0].cogroup(sides[1]).applyInPandas(product, f"user {kinds[0]}, item {kinds[1]}, score double")
+
+
+def itemknn_topk(
+    context: DataFrame, sims: DataFrame, users: DataFrame, seen: DataFrame, k: int = 20, block: int = USER_BLOCK
+) -> DataFrame:
+    """(user, item, score, rank): the best `k` unseen items with a score for each of `users`."""
+
+    def best(scores: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        scores[row, col] = 0.0
+        return best_of_rows(np.where(scores > 0, np.rint(scores * 1e9), -np.inf), k)
+
+    users = users.select("user").distinct()
+    hidden = seen.select("user", "item").join(users, "user", "left_semi")
+    return topk(_score_blocks(context, sims, hidden, users, best, block), k)
+
+
+def itemknn_pairs(context: DataFrame, sims: DataFrame, pairs: DataFrame, block: int = USER_BLOCK) -> DataFrame:
+    """(user, item, score) of the given `pairs` (user, item) only; a pair without a row scores 0."""
+
+    def asked(scores: np.ndarray, row: np.ndarray, col: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        some = scores[row, col] > 0
+        return row[some], col[some]
+
+    pairs = pairs.select("user", "item").distinct()
+    return _score_blocks(context, sims, pairs, pairs.select("user").distinct(), asked, block)
 
 
 def costar_neighbours(
