@@ -29,6 +29,7 @@ from tidemark.scale import cut
 
 LENGTH = 2048
 SHARD = 8_192
+PORTION = 2 << 20  # bytes of text encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -38,7 +39,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, closing: int = 0) -
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = wordcodes.load(path, False)
         tail = np.array([closing], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, most=PORTION):
             doc_ids = batch.column(0).to_pylist()
             codes = wordcodes.loose([t or "" for t in batch.column(1).to_pylist()], tokenizer)
             rows = []
