@@ -257,6 +257,31 @@ def recommend_from_profile(spark, sf):
     return d.select("user", "repo_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+SHARED_SKILLS = "list_distinct(list_concat(list_transform(skills, lambda x: lower(x)), [lower(language)]))"
+
+
+@query(
+    "profile_cards",
+    f"""WITH {PROFILE_LIST}, j AS (SELECT "user", repo_id, rank, rsk, us, interests, number, {score_issue_sql()} AS s, array_to_string(list_sort(list_intersect({SHARED_SKILLS}, us)), ',') AS matched
+      FROM plist JOIN prof USING ("user") JOIN (SELECT repo_id, rsk, language, n_contrib FROM cand) USING (repo_id) JOIN iss USING (repo_id)),
+    p AS (SELECT *, row_number() OVER (PARTITION BY "user", repo_id ORDER BY round(s, 9) DESC, number DESC) AS issue_rank FROM j QUALIFY issue_rank <= 3),
+    ti AS (SELECT DISTINCT x.interests, x.rsk, string_agg(t.topic, ',' ORDER BY t.position) AS told FROM (SELECT DISTINCT interests, rsk FROM p) x JOIN topic t ON list_contains(x.interests, t.topic) AND len(list_intersect(t.kw, x.rsk)) > 0 GROUP BY 1, 2)
+    SELECT "user", repo_id, rank, number, issue_rank, round(s, 6) AS issue_score, matched, array_to_string(list_sort(list_intersect(p.rsk, us))[1:5], ',') AS matched_skills, coalesce(told, '') AS matched_interests
+    FROM p LEFT JOIN ti ON ti.interests = p.interests AND ti.rsk = p.rsk""",
+)
+def _(spark, sf):
+    """Recommendations for stated profiles with their issues and what matches."""
+    r, issues, t = with_skills(repos(spark, sf)), open_issues(spark, sf), topics(spark, sf)
+    people = personas(spark, sf)
+    listed = cut(rc.recommend_from_profile(people, r, issues, t, DIM), "listed")
+    d = rc.profile_cards(listed, profile_skills(people, t), r, issues, t, F.lit(NOW))
+    names = {c: F.array_join(c, ",") for c in ("matched", "matched_skills", "matched_interests")}
+    return d.withColumns(names).select(
+        "user", "repo_id", F.col("rank").cast("long").alias("rank"), "number", F.col("issue_rank").cast("long").alias("issue_rank"),
+        F.round("issue_score", 6).alias("issue_score"), *names,
+    )
+
+
 def star_table(spark, sf):
     r = repos(spark, sf).select("repo_id", "language", "topics")
     return I.implicit(spark, sf).select("user", F.col("item").alias("repo_id"), "ts").join(r, "repo_id")

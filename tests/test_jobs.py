@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+from collections import defaultdict
 from datetime import UTC, date, datetime
 from pathlib import Path
 
@@ -150,6 +152,37 @@ def test_issue_pick_prefers_easy_and_free(spark):
     assert got[0] == 1 and 3 not in got[:2]
 
 
+def test_issue_shortlist_loses_no_pick(spark):
+    """All profiles pick the same issues from the short lists as from all issues."""
+    rng = random.Random(7)
+    day = 86_400
+    repos = spark.createDataFrame([(r, rng.choice(["Python", "Go", None]), 5 * r) for r in range(4)], "repo_id long, language string, n_contrib long")
+    rows = []
+    for k in range(900):
+        repo = 0 if k % 2 else k % 4  # one repository holds most issues
+        age = rng.choice([1, 5, 5, 400, 900 + k % 7]) * day + (k % 3) * (k % 5)
+        skills = rng.sample(["python", "docs", "Go", "css"], rng.randrange(3))
+        rows.append((repo, k, rng.choice(["easy", "medium", "hard", None]), rng.choice([0, 0, 1]), skills, 10**8 - age, rng.choice([0, 20, None])))
+    issues = spark.createDataFrame(rows, "repo_id long, number long, difficulty string, n_assignees int, skills array<string>, updated long, n_comments int")
+    issues = issues.withColumn("created", F.lit(0).cast("long"))
+    now = F.lit(10**8)
+    short = rc.issue_shortlist(issues, now)
+    assert short.columns == issues.columns and 0 < short.count() < 600
+    picks = spark.createDataFrame(
+        [(u, r, s, h) for u, (s, h) in enumerate([([], 2), (["python"], 6), (["docs", "css"], 12), (["go", "python", "css"], 3)]) for r in range(4)],
+        "user long, repo_id long, user_skills array<string>, hours int",
+    )
+    facts = repos.select("repo_id", "language", rc.activity_share(F.col("n_contrib")).alias("activity"))
+    score, _ = rc.score_issue(now)
+    every = defaultdict(list)
+    for r in picks.join(facts, "repo_id").join(issues, "repo_id").withColumn("s", F.rint(score * 1e9)).collect():
+        every[r["user"], r["repo_id"]].append((-r["s"], -r["number"]))
+    got = defaultdict(list)
+    for r in rc.pick_issues(picks, issues, repos, now).orderBy("issue_rank").collect():
+        got[r["user"], r["repo_id"]].append(r["number"])
+    assert dict(got) == {key: [-n for _, n in sorted(v)[:3]] for key, v in every.items()}
+
+
 def test_scratch_folder_comes_from_the_session(spark):
     folder = Path(spark.conf.get("spark.checkpoint.dir"))
     assert scale.scratch_root(spark) == str(folder)

@@ -25,6 +25,7 @@ TEXT_HISTORY = 50
 
 # rows per user and class that can still matter to the greedy pick (see select_diverse)
 REACH = N_REPOS + 2 * MAX_STARRED + 2 * (N_REPOS // MAX_PER_OWNER)
+SALTS = 64  # parts that the issues of a kind are cut in first
 
 
 def zscore(df: DataFrame, by: list[str], column: str, out: str) -> DataFrame:
@@ -109,16 +110,46 @@ def activity_share(n_contrib: Column) -> Column:
     return F.least(F.lit(1.0), F.log1p(F.coalesce(n_contrib, F.lit(0)).cast("double")) / math.log1p(500))
 
 
+def issue_shortlist(issues: DataFrame, now: Column, n: int = N_ISSUES) -> DataFrame:
+    """The issues that can be among the best `n` of their repository for any profile at all.
+
+    Two issues of a repository with the same difficulty and skills, both free or taken and both busy or
+    not, differ for every profile by their recency alone, then by number. An issue goes if `n` others of its
+    kind come before it for certain: they are ahead by more than scores are compared to, or equally recent
+    with higher numbers. Kinds are cut in `SALTS` parts first, so that a repository that holds a third of all
+    issues is not one task's.
+    """
+    recent = F.exp(-age_days(F.coalesce("updated", "created"), now) / 30.0)
+    kind = ["repo_id", "_difficulty", "_skills", "_taken", "_busy"]
+    held = issues.withColumns(
+        {
+            "_difficulty": F.coalesce("difficulty", F.lit("")),
+            "_skills": F.array_join(F.array_sort(F.array_distinct(lowered("skills"))), "\n"),
+            "_taken": F.coalesce("n_assignees", F.lit(0)) > 0,
+            "_busy": F.coalesce("n_comments", F.lit(0)) > 10,
+            "_recent": W_RECENT * recent,
+            "_salt": F.pmod(F.xxhash64("number"), F.lit(SALTS)),
+        }
+    )
+    for by in ([*kind, "_salt"], kind):
+        w = Window.partitionBy(*by).orderBy(F.col("_recent").desc(), F.col("number").desc())
+        ahead = F.lag("_recent", n).over(w)
+        held = held.withColumn("_ahead", ahead).filter(
+            F.col("_ahead").isNull() | ((F.col("_ahead") != F.col("_recent")) & (F.col("_ahead") <= F.col("_recent") + 2e-9))
+        )
+    return held.select(*issues.columns)
+
+
 def pick_issues(
     picks: DataFrame, issues: DataFrame, repos: DataFrame, now: Column, n: int = N_ISSUES
 ) -> DataFrame:
     """Top `n` issues of every picked (user, repository) by score, then higher number.
 
-    `picks`: user, repo_id, user_skills, hours.
+    `picks`: user, repo_id, user_skills, hours. Only the short list of a repository meets its picks.
     """
     facts = repos.select("repo_id", "language", activity_share(F.col("n_contrib")).alias("activity"))
     score, matched = score_issue(now)
-    rows = picks.join(facts, "repo_id").join(issues, "repo_id")
+    rows = picks.join(facts, "repo_id").join(issue_shortlist(issues, now, n), "repo_id")
     scored = rows.withColumn("matched", matched).withColumn("issue_score", score)
     w = Window.partitionBy("user", "repo_id").orderBy(
         comparable("issue_score").desc(), F.col("number").desc()
@@ -126,6 +157,35 @@ def pick_issues(
     return scored.withColumn("issue_rank", F.row_number().over(w)).filter(F.col("issue_rank") <= n)
 
 
+def profile_cards(
+    listed: DataFrame, users: DataFrame, repos: DataFrame, issues: DataFrame, topics: DataFrame, now: Column
+) -> DataFrame:
+    """The recommended repositories with what they share with the profile and up to three issues each.
+
+    (user, repo_id, rank, score, matched_skills, matched_interests, issue_rank, number, issue_score, matched).
+    `listed`: user, repo_id, score, rank. `users`: user, user_skills, interests, hours. `repos`: repo_id, skills,
+    language, n_contrib. At most five skills, in order; interests are the profile's topics with a
+    keyword among the repository's skills, in the order of the topics.
+    """
+    none = F.array().cast("array<string>")
+    known = topics.select(F.struct("position", "topic", "kw").alias("t")).agg(F.array_sort(F.collect_list("t")).alias("topics"))
+    shared = F.array_sort(F.array_intersect("_skills", "user_skills"))
+    told = F.filter(
+        "topics", lambda t: F.array_contains("interests", t["topic"]) & F.arrays_overlap(t["kw"], F.col("_skills"))
+    )
+    cards = (
+        listed.join(users.select("user", "user_skills", F.coalesce("interests", none).alias("interests"), "hours"), "user")
+        .join(repos.select("repo_id", F.coalesce("skills", none).alias("_skills")), "repo_id")
+        # the list of topics is one row, as long as the form that profiles are chosen from
+        .crossJoin(F.broadcast(known))
+        .withColumn("matched_skills", F.slice(shared, 1, 5))
+        .withColumn("matched_interests", F.transform(told, lambda t: t["topic"]))
+        .drop("topics", "_skills", "interests")
+    )
+    own = ["user", "repo_id", "rank", "score", "matched_skills", "matched_interests"]
+    return pick_issues(cards, issues, repos, now).select(*own, "issue_rank", "number", "issue_score", "matched")
+
+
 def select_diverse(ranked: DataFrame, n: int = N_REPOS) -> DataFrame:
     """(user, repo_id, score, owner, starred, rank): greedy pick in score order.
 
