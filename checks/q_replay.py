@@ -297,6 +297,21 @@ def _(spark, sf):
     return rounded(paired_intervals(v, pairs, ["cohort"], 1_000))
 
 
+@query(
+    "ladder_report",
+    f"""WITH {PER_USER}, {ladder_sql('t')}, {ladder_sql('r')}, g AS (SELECT t.k, t.beta, a, b FROM (SELECT k, beta, avg(ndcg) AS a FROM lm_t GROUP BY 1, 2) t JOIN (SELECT k, beta, avg(ndcg) AS b FROM lm_r GROUP BY 1, 2) r USING (k, beta)),
+    best AS (SELECT * FROM g ORDER BY round(a, 9) DESC, k, beta LIMIT 1),
+    rep AS (SELECT 'serving' AS ladder, k, beta, a, b FROM g WHERE k = 3 AND beta = CAST(0.15 AS DOUBLE) UNION ALL SELECT 'tuned', k, beta, a, b FROM best
+      UNION ALL SELECT 'model alone', NULL, NULL, avg(ndcg) FILTER (cohort = 'tune'), avg(ndcg) FILTER (cohort = 'report') FROM pu WHERE model = 'mean')
+    SELECT ladder, coalesce(k, -1) AS k, coalesce(beta, -1) AS beta, round(a, 6) AS tune_ndcg, round(b, 6) AS report_ndcg FROM rep""",
+)
+def _(spark, sf):
+    frames = [ladder(spark, sf, w).withColumn("cohort", F.lit(c)) for w, c in ((TUNE, "tune"), (REPORT, "report"))]
+    d = rp.ladder_report(cut(frames[0].unionByName(frames[1]), "rungs"), both_cohorts(spark, sf)[0], "mean")
+    missing = [F.coalesce(c, F.lit(-1).cast(t)).alias(c) for c, t in (("k", "long"), ("beta", "double"))]
+    return d.select("ladder", *missing, *[F.round(c, 6).alias(c) for c in ("tune_ndcg", "report_ndcg")])
+
+
 # issue replay: suppliers as repositories, order lines as issues ------------------------------------
 LINES = "FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
 ISSUE_LABELS = """CASE o_orderpriority WHEN '1-URGENT' THEN ['good first issue', 'docs'] WHEN '2-HIGH' THEN ['Level: Medium', 'python']

@@ -608,3 +608,17 @@ def _(spark, sf):
 def _(spark, sf):
     d = sv.newest_batches(open_issues(spark, sf), 5, 2)
     return d.select("repo_id", "number", "batch", F.col("position").cast("long").alias("position"))
+
+
+# the repositories that are paid for first, and the batches of their newest issues
+@query(
+    "priority_issue_batches",
+    f"""WITH {REPOS}, {ISSUES}, pr AS (SELECT repo_id, row_number() OVER (ORDER BY n_contrib DESC, repo_id) AS priority FROM repo WHERE repo_id IN (SELECT repo_id FROM iss) QUALIFY priority <= 200),
+    r AS (SELECT repo_id, number, row_number() OVER (PARTITION BY repo_id ORDER BY created DESC, number DESC) - 1 AS rn FROM iss JOIN pr USING (repo_id))
+    SELECT priority, repo_id, number, CAST(floor(rn / 2) AS BIGINT) AS batch, rn % 2 + 1 AS position FROM r JOIN pr USING (repo_id) WHERE rn < 5""",
+)
+def _(spark, sf):
+    issues = open_issues(spark, sf)
+    first = sv.priority_repos(repos(spark, sf), issues, 200).select("repo_id", "priority")
+    d = sv.newest_batches(issues.join(first, "repo_id"), 5, 2)
+    return d.select(F.col("priority").cast("long").alias("priority"), "repo_id", "number", "batch", F.col("position").cast("long").alias("position"))

@@ -198,7 +198,7 @@ def _(spark, sf):
     for i in range(5):
         low = edges[0] + i * width
         part = ev.filter((F.col("day") >= low) & (F.col("day") < low + width)).drop("day")
-        part.coalesce(1).write.mode("append").parquet(incoming)
+        part.write.mode("append").parquet(incoming)
         stream = st.file_stream(spark, incoming, schema)
         st.stream_first_touch(stream, table, f"{table}-checkpoint").awaitTermination()
     return spark.read.parquet(table).select("user", "repo_id", "ts", "kind")

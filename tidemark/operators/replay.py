@@ -297,3 +297,23 @@ def choose_rung(per_user: DataFrame) -> DataFrame:
         .withColumn("is_best", F.col("place") == 1)
         .drop("place")
     )
+
+
+def ladder_report(rungs: DataFrame, per_user: DataFrame, model: str) -> DataFrame:
+    """(ladder, k, beta, tune_ndcg, report_ndcg): the rung in service, the tuned one and the model alone.
+
+    `rungs`: cohort, k, beta, user, ndcg. `per_user`: cohort, model, user, ndcg. Rungs that are both the best
+    and in service give both rows.
+    """
+    chosen = choose_rung(rungs)
+    now = (F.col("k") == LADDER_NOW[0]) & (F.col("beta") == LADDER_NOW[1])
+    names = F.explode(F.array_compact(F.array(F.when(now, "serving"), F.when(F.col("is_best"), "tuned"))))
+    rows = chosen.select(names.alias("ladder"), "k", "beta", "tune_ndcg", "report_ndcg")
+    none = F.lit(None)
+    alone = per_user.filter(F.col("model") == model).agg(
+        F.avg(F.when(F.col("cohort") == "tune", F.col("ndcg"))).alias("tune_ndcg"),
+        F.avg(F.when(F.col("cohort") == "report", F.col("ndcg"))).alias("report_ndcg"),
+    )
+    return rows.unionByName(
+        alone.select(F.lit("model alone").alias("ladder"), none.cast("long").alias("k"), none.cast("double").alias("beta"), "tune_ndcg", "report_ndcg")
+    )
