@@ -6,6 +6,7 @@ characters, words and lines runs over the whole batch at once instead of text by
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Return freed memory to the machine at the end of a task: Python workers live on between stages."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `most` bytes of text; a longer text is a batch of its own."""
     for batch in batches:
@@ -44,6 +55,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             last = min(max(last, first + 1), batch.num_rows)
             yield batch.slice(first, last - first)
             first = last
+    give_back()
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -77,7 +89,7 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 MOD = np.uint64((1 << 61) - 1)
 MOD_BASE = 0x0B5D1F3A9C86E247  # drawn at random once
 _LOW, _31, _30, _61 = np.uint64((1 << 31) - 1), np.uint64(31), np.uint64(30), np.uint64(61)
-SPAN_BYTES = 1 << 20  # bytes of spans hashed at once
+SPAN_BYTES = 1 << 18  # bytes of spans hashed at once
 
 
 def _fold(x: np.ndarray) -> np.ndarray:

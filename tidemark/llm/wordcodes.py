@@ -37,8 +37,8 @@ def load(path: str, literal_specials: bool):
 class PieceCache:
     """piece (text or its UTF-8 bytes) -> bytes of its ids (little-endian unsigned 32-bit)."""
 
-    def __init__(self, tokenizer, lead: str = ""):
-        self.tokenizer, self.lead = tokenizer, lead
+    def __init__(self, tokenizer, lead: str = "", kept: int = KEPT):
+        self.tokenizer, self.lead, self.kept = tokenizer, lead, kept
         # the same tokenizer, which sees special tokens in a text; all of theirs begin with "<|"
         self.marking = Tokenizer.from_str(tokenizer.to_str())
         self.marking.encode_special_tokens = False
@@ -87,7 +87,7 @@ class PieceCache:
             out[p] = ids
             if len(p) <= LONGEST:
                 new[p] = ids
-        if len(new) > KEPT:
+        if len(new) > self.kept:
             self.old, self.new = new, {}
         return out
 
@@ -96,13 +96,16 @@ class PieceCache:
 _MARK = re.compile(rb"(?<=[a-z0-9])([.,])(?= )")
 
 
-def loose(texts: Sequence[str], tokenizer) -> list[bytes]:
+def loose(texts: Sequence[str], tokenizer, kept: int = KEPT) -> list[bytes]:
     """Ids for a tokenizer that drops white space and case: a text is the sequence of its words.
 
     ASCII letters are made small here already, and full stops and commas set apart, so that fewer
     different pieces are left.
     """
-    cache = _LOADED.setdefault(("loose", id(tokenizer)), PieceCache(tokenizer))
+    key = ("loose", id(tokenizer), kept)
+    if key not in _LOADED:
+        _LOADED[key] = PieceCache(tokenizer, kept=kept)
+    cache = _LOADED[key]
     split = [_MARK.sub(rb" \1", t.encode().lower().replace(b"\n", b" ") + b" ").split(b" ") for t in texts]
     ids = cache.fill({p for parts in split for p in parts})
     return [b"".join(map(ids.__getitem__, parts)) for parts in split]
