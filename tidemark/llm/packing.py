@@ -24,22 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import wordcodes
-from tidemark.llm.arrays import slices
+from tidemark.llm.arrays import SLICE_BYTES, slices
 from tidemark.scale import cut
 
 LENGTH = 2048
 SHARD = 8_192
-PORTION = 2 << 20  # bytes of text encoded at once
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, path: str, length: int = LENGTH, closing: int = 0, kept: int = wordcodes.KEPT) -> DataFrame:
-    """Per piece: doc_id, piece, start, length and the CRC-32 of its ids. `kept` bounds the words that a task remembers."""
+def pieces(docs: DataFrame, path: str, length: int = LENGTH, closing: int = 0, kept: int = wordcodes.KEPT, portion: int = SLICE_BYTES) -> DataFrame:
+    """Per piece: doc_id, piece, start, length and the CRC-32 of its ids. `kept` bounds the words that a task
+    remembers, `portion` the bytes of text that it encodes at once."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = wordcodes.load(path, False)
         tail = np.array([closing], "<u4").tobytes()
-        for batch in slices(batches, most=PORTION):
+        for batch in slices(batches, most=portion):
             doc_ids = batch.column(0).to_pylist()
             codes = wordcodes.loose([t or "" for t in batch.column(1).to_pylist()], tokenizer, kept)
             rows = []
@@ -174,6 +174,6 @@ def pack(parts: DataFrame, length: int = LENGTH, shard: int = SHARD) -> DataFram
     )
 
 
-def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, kept: int = wordcodes.KEPT) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, **limits: int) -> DataFrame:
     """Cut `docs` into pieces and pack them."""
-    return pack(pieces(docs, path, length, kept=kept), length)
+    return pack(pieces(docs, path, length, **limits), length)
