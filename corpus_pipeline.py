@@ -44,7 +44,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens with their sequences and places."""
-    return packing.pack_documents(docs, WORD_BPE, kept=100_000)  # the executor holds the other stages' memory as well
+    # the executor holds the other stages' memory as well: small portions, fewer words remembered
+    return packing.pack_documents(docs, WORD_BPE, kept=100_000, portion=2 << 20)
 
 
 STAGES = [
