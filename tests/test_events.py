@@ -171,3 +171,18 @@ def test_leak_search_moves_only_suspects(spark):
     assert "Exchange hashpartitioning" not in plan[plan.index("BroadcastNestedLoopJoin") :].split("BroadcastExchange")[0]
     hashed = spark.createDataFrame([("0123456789abcdef", "x"), ("nope", "y")], "user string, other string")
     assert [tuple(r) for r in pv.audit(hashed, bad, "user").collect()] == [("user", "not hashed")]
+
+
+def test_leak_search_without_arrow(spark):
+    """The filter of forbidden values must not need Arrow to reach Spark."""
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        d = spark.createDataFrame([("Octocat", "octocat/hello"), ("x", "a/b")], "user string, repo string")
+        bad = spark.createDataFrame([("octocat",)], "value string")
+        assert [r[0] for r in pv.find_leaks(d, bad).collect()] == ["user"]
+        raw = spark.createDataFrame([("t", 5, 7)], "type string, actor_id long, repo_id long")
+        assert pv.anonymise(raw, b"s").count() == 1
+    finally:
+        spark.conf.set(name, before)

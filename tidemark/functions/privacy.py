@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,7 +60,8 @@ def value_filter(values: DataFrame) -> DataFrame:
     words[found["at"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
     lengths = (int(found["shortest"].min()), int(found["longest"].max())) if len(found) else (1, 0)
     schema = "words array<bigint>, shortest int, longest int"
-    return values.sparkSession.createDataFrame(pd.DataFrame({"words": [words], "shortest": [lengths[0]], "longest": [lengths[1]]}), schema)
+    # plain ints: without Arrow, Spark takes no numpy numbers
+    return values.sparkSession.createDataFrame([(words.tolist(), *lengths)], schema)
 
 
 def audit(
