@@ -70,6 +70,25 @@ def test_blocked_topk_matches_numpy(spark, block, monkeypatch):
             assert out[i] == want[:10]
 
 
+def test_blocked_topk_moves_each_vector_once(spark, monkeypatch):
+    """Blocks meet where they are read: a side is written once, however many blocks the other one has."""
+    monkeypatch.setattr(vs, "MIN_BLOCK", 8)
+    rng = np.random.default_rng(7)
+    queries = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(64, 4)))], "query long, vec array<double>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(96, 4)))], "item long, vec array<double>")
+    held = {}
+
+    def keep(df, label):
+        held[label] = df.cache()
+        return held[label]
+
+    monkeypatch.setattr(vs, "cut", keep, raising=False)
+    assert vs.blocked_topk(queries, items, 3, block=8).count() == 64 * 3
+    for label, column, n in (("query-blocks", "query", 64), ("item-blocks", "item", 96)):
+        sizes = [r[0] for r in held[label].select(F.size(column)).collect()]
+        assert sum(sizes) == n and len(sizes) > 1
+
+
 def test_moments_give_z_scores(spark):
     rng = np.random.default_rng(3)
     q, v = rng.normal(size=(5, 4)), rng.normal(size=(40, 4)) + 1
