@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.interactions import first_rating, to_implicit
 from tidemark.operators.split import chronological_split
-from tidemark.scale import cut
+from tidemark.scale import cut, unbounded
 
 DAY = 86_400
 VAL_START, TEST_START, TEST_END = 1_705_795_200, 1_706_227_200, 1_706_659_200
@@ -30,7 +30,7 @@ def epoch(column: str):
 def raw_ratings(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+    return lines.join(unbounded(orders), F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.col("o_custkey").alias("user"),
         F.col("l_partkey").alias("item"),
         F.ceil(F.col("l_quantity") / 10).alias("rating"),

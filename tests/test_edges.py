@@ -157,3 +157,15 @@ def test_owner_cap_keeps_the_lower_id_of_ties():
     scores = np.array([[1.0, 1.0, 1.0, 1.0, 1.0], [3.0, 2.0, 1.0, -np.inf, 0.0]])
     rows, cols = _owner_best(scores, owners, ids, 2, 3)
     assert list(zip(rows, ids[cols])) == [(0, 1), (0, 2), (0, 5), (1, 5), (1, 6), (1, 2)]
+
+
+def test_ranked_lists_are_not_broadcast(spark):
+    """Lists compress so well that their files pass for small tables."""
+    from tidemark.operators import evaluation as ev
+
+    top = spark.createDataFrame([(1, 5, 1), (1, 6, 2)], "user long, item long, rank int")
+    targets = spark.createDataFrame([(1, 6), (2, 5)], "user long, item long")
+    heads = spark.createDataFrame([(5, 3, True), (6, 0, False)], "item long, pop long, is_head boolean")
+    for d, rows in ((ev.ranking_metrics(top, targets), 2), (ev.slice_metrics(top, targets, heads), 3), (ev.list_quality(top, heads.select("item", "pop"), heads, 2), 1)):
+        assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
+        assert d.count() == rows

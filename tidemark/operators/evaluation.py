@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.scale import unbounded
+
 K = 20
 
 
@@ -64,7 +66,7 @@ def ranking_metrics(
     target, then a single aggregate per group.
     """
     keys = list(by)
-    ranked = top.filter(F.col("rank") <= k).select(*keys, "item", "rank")
+    ranked = unbounded(top.filter(F.col("rank") <= k).select(*keys, "item", "rank"))
     joined = targets.select(*keys, "item").join(ranked, [*keys, "item"], "left")
     return (
         joined.groupBy(*keys)
@@ -88,8 +90,8 @@ def list_quality(top: DataFrame, pop: DataFrame, heads: DataFrame, n_items: int,
         top.filter(F.col("rank") <= k)
         .groupBy("item")
         .agg(F.count(F.lit(1)).alias("m"))
-        .join(pop, "item")
-        .join(heads.select("item", "is_head"), "item")
+        .join(unbounded(pop), "item")
+        .join(unbounded(heads.select("item", "is_head")), "item")
     )
     total = F.sum("m")
     return slots.agg(
@@ -106,13 +108,13 @@ def sliced_targets(targets: DataFrame, heads: DataFrame) -> DataFrame:
             F.when(F.col("is_head"), "head").otherwise("tail"), F.when(F.col("pop") == 0, "cold")
         )
     )
-    return targets.join(heads, "item").select(F.explode(names).alias("slice"), "user", "item")
+    return targets.join(unbounded(heads), "item").select(F.explode(names).alias("slice"), "user", "item")
 
 
 def slice_metrics(top: DataFrame, targets: DataFrame, heads: DataFrame, k: int = K) -> DataFrame:
     """(slice, user, recall, ndcg, hit) over users with a target in the slice."""
     marked = sliced_targets(targets, heads)
-    ranked = top.filter(F.col("rank") <= k).select("user", "item", "rank")
+    ranked = unbounded(top.filter(F.col("rank") <= k).select("user", "item", "rank"))
     joined = marked.join(ranked, ["user", "item"], "left")
     return (
         joined.groupBy("slice", "user")

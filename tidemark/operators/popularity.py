@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.scale import count_up, global_index
+from tidemark.scale import count_up, global_index, unbounded
 
 HEAD_PREFIX = 2_000  # ranks held in a broadcast table; deeper ranks are joined by shuffle
 
@@ -56,7 +56,7 @@ def popularity_topk(users: DataFrame, seen: DataFrame, ranked: DataFrame, k: int
     found = slots.filter(F.col("rank") < HEAD_PREFIX).join(head, "rank").unionByName(
         slots.filter(F.col("rank") >= HEAD_PREFIX).join(tail, "rank")
     )
-    unseen = found.join(seen, ["user", "item"], "left_anti")
+    unseen = found.join(unbounded(seen), ["user", "item"], "left_anti")
     w = Window.partitionBy("user").orderBy("rank")
     return (
         unseen.withColumn("slot", F.row_number().over(w))

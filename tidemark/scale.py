@@ -53,6 +53,15 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unbounded(df: DataFrame) -> DataFrame:
+    """`df` as a join side that is never broadcast.
+
+    Spark guesses a table's size from its files. Lists and ids compress many times, so tables of millions of
+    rows pass for a few megabytes and would be collected at the driver.
+    """
+    return df.hint("merge")
+
+
 def count_up(df: DataFrame, n: str, name: str, step: int = 100_000) -> DataFrame:
     """Each row once per number 0 .. n - 1 (n > 0), counted in steps so that no array is long."""
     pieces = df.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
