@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -237,3 +238,35 @@ def test_all_equal_scores_fill_the_list(spark):
     users = spark.createDataFrame([(0,), (1,)], "user long")
     sizes = {r["user"]: r["count"] for r in pp.popularity_topk(users, seen, ranked).groupBy("user").count().collect()}
     assert sizes == {0: 15, 1: 20}
+
+
+@pytest.mark.parametrize("list_rows, block_rows", [(3, 10), (10_000, 4_000_000)])
+def test_packed_neighbour_lists(spark, monkeypatch, list_rows, block_rows):
+    """Lists cut into pieces and dealt to item blocks give the sums of all products, whatever columns share them."""
+    monkeypatch.setattr(nb, "LIST_ROWS", list_rows)
+    monkeypatch.setattr(nb, "SIM_ROWS", block_rows)
+    rng = random.Random(5)
+    held = sorted({(u, rng.randrange(25)) for u in range(30) for _ in range(5)})
+    sims = [(i, j, rng.randrange(1, 9) / 8, None if j % 3 else 0.5) for i in range(25) for j in range(25) if i != j]
+    train = spark.createDataFrame(held, "user long, item long")
+    table = spark.createDataFrame(sims, "item long, neighbour long, sim double, other double")
+    want = {}
+    for u, h in held:
+        for i, j, s, o in sims:
+            if j == h:
+                one = want.setdefault((u, i), [0.0, 0.0])
+                one[0] += s
+                one[1] += o or 0.0
+    got = {(r["user"], r["item"]): r["score"] for r in nb.itemknn_score(train, table).collect()}
+    assert got == {k: v[0] for k, v in want.items()}
+    top = nb.itemknn_topk_by(train, table, train, train, ["sim", "other"], 4).collect()
+    found = {}
+    for r in top:
+        found.setdefault((r["column"], r["user"]), set()).add((r["item"], r["score"]))
+    for u in {u for u, _ in held}:
+        for c in (0, 1):
+            free = [(-v[c], i) for (x, i), v in want.items() if x == u and (u, i) not in held and v[c] > 0]
+            assert found.get((c, u), set()) == {(i, -s) for s, i in sorted(free)[:4]}
+    half = {(r["i"], r["j"]): (r["co"], r["n_i"], r["n_j"]) for r in nb.cooccurrence(train, 3, degrees=True).collect()}
+    joined = nb.with_degrees(nb.cooccurrence(train, 3), train).collect()
+    assert half == {(r["i"], r["j"]): (r["co"], r["n_i"], r["n_j"]) for r in joined}
