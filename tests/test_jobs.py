@@ -254,3 +254,26 @@ def test_new_projects_share_rankings_of_equal_profiles(spark, monkeypatch):
                 found += [(len(words) + 2 * lang + math.exp(-(now - x[5]) / 86_400 / 60), repo, tuple(sorted(words)), x[6]) for x in lists]
         found = sorted(found, key=lambda x: (-round(x[0], 9), -x[1]))[:3]
         assert sorted(got.get(who, [])) == [(k + 1, x[1], round(x[0], 9), x[2]) for k, x in enumerate(found) if x[3] > 0]
+
+
+def test_issue_features_join_profiles_before_candidates(spark, tmp_path):
+    """Profile and language are joined to the cases; the candidates are not moved again for them."""
+    from datetime import datetime
+
+    from checks.q_replay import featured
+
+    day = lambda d: datetime(1995, 1, d)
+    tables = {
+        "lineitem": ([(k, 1, k % 2, day(10 + k), "R") for k in range(6)], "l_orderkey long, l_linenumber int, l_suppkey long, l_shipdate timestamp, l_returnflag string"),
+        "orders": ([(k, k % 3, day(1 + k), "1-URGENT") for k in range(6)], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        "customer": ([(0, "DOCS"), (1, "SQL"), (1, "SQL")], "c_custkey long, c_mktsegment string"),
+        "supplier": ([(0, 1), (1, 2)], "s_suppkey long, s_nationkey int"),
+    }
+    for name, (values, schema) in tables.items():
+        spark.createDataFrame(values, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    d = featured(spark, str(tmp_path))
+    joins = [x for x in d._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+    assert "_bucket" in joins[0]
+    # orders of customers 0 and 1 (listed twice); an issue is open from its order until it is shipped
+    cases = [(k, m) for k in range(6) for m in range(6) if k % 3 < 2 and k % 2 == m % 2 and m >= k for _ in range(1 + (k % 3 == 1))]
+    assert sorted((r["case"] // 10, r["number"] // 10) for r in d.collect()) == sorted(c for c in cases if 1 + c[1] < 10 + c[0])
