@@ -169,3 +169,27 @@ def test_ranked_lists_are_not_broadcast(spark):
     for d, rows in ((ev.ranking_metrics(top, targets), 2), (ev.slice_metrics(top, targets, heads), 3), (ev.list_quality(top, heads.select("item", "pop"), heads, 2), 1)):
         assert "BroadcastHashJoin" not in d._jdf.queryExecution().executedPlan().toString()
         assert d.count() == rows
+
+
+def test_candidate_sets_are_not_broadcast(spark, monkeypatch):
+    """The draws of a user are many more rows than the file of users tells: they were one broadcast table."""
+    from tidemark.operators import answers as an
+
+    plans = []
+    whole = an.cut
+
+    def noted(df, label="cut"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return whole(df, label)
+
+    monkeypatch.setattr(an, "cut", noted)
+    held = spark.createDataFrame([(u, i) for u in range(9) for i in range(u, u + 3)], "user long, item long")
+    index = spark.range(50).select(F.col("id").alias("item"), F.col("id").alias("rank"))
+    sets = an.random_candidate_sets(held, held, index, 50)
+    assert sets.groupBy("user").count().filter("count = 20").count() == 9
+    scores = sets.select("user", "item", F.lit(0.5).alias("score"))
+    orders = an.candidate_orders(sets.withColumn("set", F.lit("s")), scores, index.select("item", F.lit(1).alias("pop")))
+    metrics = an.order_metrics(orders.drop("set"), held.groupBy("user").agg(F.count("*").alias("n")))
+    plans.append(metrics._jdf.queryExecution().executedPlan().toString())
+    assert metrics.count() == 18
+    assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
