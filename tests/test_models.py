@@ -237,3 +237,32 @@ def test_candidate_sets_hold_one_target_and_no_seen_item(spark, random_pairs):
     per = sets.groupBy("user").agg(F.count("*").alias("n"), F.count_if("is_target").alias("t"), F.count_distinct("item").alias("d"))
     assert per.filter("n <> 20 OR t <> 1 OR d <> 20").count() == 0
     assert sets.filter("NOT is_target").join(random_pairs, ["user", "item"], "left_semi").count() == 0
+
+
+def test_profile_list_makes_no_table_of_pairs(spark):
+    """Shared skills count in the search, three at most, also those that rows of a repository repeat; no join on a skill word."""
+    from tidemark.operators import recommend as rc
+    from tidemark.operators import vectorscore as vs
+
+    rng = np.random.default_rng(3)
+    names = [f"w{i}" for i in range(1200)]  # more than a task compares at once
+    asked = [[str(w) for w in rng.choice(names, 900, replace=False)] for _ in range(7)]
+    offered = [[str(w) for w in rng.choice(names, n)] for n in rng.integers(0, 6, 40)]
+    left, right = rng.normal(size=(7, 3)), rng.normal(size=(40, 3))
+    queries = spark.createDataFrame([(i, left[i].tolist(), asked[i]) for i in range(7)], "query long, vec array<double>, words array<string>")
+    items = spark.createDataFrame([(i, right[i].tolist(), offered[i]) for i in range(40)], "item long, vec array<double>, words array<string>")
+    got = vs.blocked_topk(queries, items, 5, bonus=(0.4, 3)).collect()
+    score = left @ right.T + [[0.4 * min(3, sum(w in set(a) for w in o)) for o in offered] for a in asked]
+    assert len(got) == 35
+    for r in got:
+        assert np.argsort(-score[r["query"]])[r["rank"] - 1] == r["item"] and abs(score[r["query"], r["item"]] - r["score"]) < 1e-9
+
+    users = spark.createDataFrame([(1, ["Go"], ["t"]), (2, [], ["t"]), (3, ["go"], None)], "user long, languages array<string>, interests array<string>")
+    repos = spark.createDataFrame(
+        [(i, f"o{i % 4}", "Go" if i % 3 else None, ["go", "x", "y", "z"][: i % 5], i, right[i].tolist()) for i in range(1, 30)],
+        "repo_id long, owner string, language string, skills array<string>, n_contrib long, text_vec array<double>",
+    )
+    topics = spark.createDataFrame([("t", ["x", "y", "z"], [1.0, 0.0, 0.0])], "topic string, kw array<string>, vec array<double>")
+    d = rc.recommend_from_profile(users, repos, repos.select("repo_id"), topics, 3)
+    assert "n_skills" not in d._jdf.queryExecution().optimizedPlan().toString()
+    assert d.groupBy("user").count().filter("count = 8").count() == 3

@@ -18,6 +18,7 @@ from tidemark.scale import cut
 BLOCK = 20_000  # vectors per block side
 MIN_BLOCK = 256
 TILE_CELLS = 8_000_000  # scores held at once inside a task
+WORDS = 512  # words that a task compares at once
 DIGITS = 12  # scores equal to this many decimals are ties
 
 
@@ -82,6 +83,21 @@ def tag_scores(vectors: pd.DataFrame, tags: np.ndarray) -> tuple[np.ndarray, np.
     return boosts, np.where(codes < 0, len(names), codes)
 
 
+class _Words:
+    """The words of some rows as positions in a vocabulary; words outside it are left out."""
+
+    def __init__(self, lists: list, vocabulary: pd.Index) -> None:
+        lists = [x or () for x in lists]
+        at = vocabulary.get_indexer(pd.Index([w for x in lists for w in x], dtype=object))
+        self.n, self.row, self.at = len(lists), np.repeat(np.arange(len(lists)), [len(x) for x in lists])[at >= 0], at[at >= 0]
+
+    def counts(self, first: int, last: int, a: int, b: int) -> np.ndarray:
+        """(rows first to last x words a to b) how often a row has a word."""
+        fits = (self.row >= first) & (self.row < last) & (self.at >= a) & (self.at < b)
+        cell = (self.row[fits] - first) * (b - a) + self.at[fits] - a
+        return np.bincount(cell, minlength=(last - first) * (b - a)).reshape(last - first, b - a).astype(np.float32)
+
+
 def blocks_of(queries: DataFrame, items: DataFrame, block: int = BLOCK) -> tuple[int, int]:
     """Numbers of query and item blocks of about `block` rows. Small inputs get smaller blocks, so that
     every core has a few pairs of blocks. Counts both inputs."""
@@ -116,11 +132,13 @@ def _cells(table: pa.Table) -> pa.Array:
 class _Best:
     """The best rows of a block of queries over the item blocks that were added."""
 
-    def __init__(self, q: Row, k: int, owner_cap: int | None, tagged: bool) -> None:
-        self.k, self.cap, self.tagged = k, owner_cap, tagged
+    def __init__(self, q: Row, k: int, owner_cap: int | None, tagged: bool, bonus: tuple[float, int] | None = None) -> None:
+        self.k, self.cap, self.tagged, self.bonus = k, owner_cap, tagged, bonus
         self.names = np.array(q["query"])
         self.left = np.frombuffer(q["cells"], "<f8").reshape(len(self.names), -1)
         self.boosts = pd.DataFrame({"tags": q["tags"], "boost": q["boost"]})
+        self.vocabulary = pd.Index(sorted({w for x in q["words"] for w in x or () if w is not None}), dtype=object)
+        self.words = _Words([set(x or ()) for x in q["words"]], self.vocabulary)
         row = pd.Index(self.names).get_indexer(q["gone_query"])
         order = np.argsort(row, kind="stable")
         order = order[row[order] >= 0]
@@ -133,6 +151,9 @@ class _Best:
         right = np.frombuffer(v["cells"], "<f8").reshape(len(ids), -1)
         owners = np.array(v["owner"], object)
         boosts, tag_of = tag_scores(self.boosts, np.array(v["tag"], object)) if self.tagged else (None, None)
+        offered = _Words(v["words"], self.vocabulary)
+        parts = [(c, min(c + WORDS, len(self.vocabulary))) for c in range(0, len(self.vocabulary), WORDS)] if self.bonus else []
+        sides = [offered.counts(0, len(ids), *c).T for c in parts[:1]]  # held for all tiles if it is the only one
         gone_i = pd.Index(ids).get_indexer(self.gone_i)
         known = gone_i >= 0
         gone_q, gone_i = self.gone_q[known], gone_i[known]
@@ -142,6 +163,12 @@ class _Best:
             raw = self.left[a : a + step] @ right.T
             if self.tagged:
                 raw += boosts[a : a + step][:, tag_of]
+            if parts:
+                shared = np.zeros(raw.shape, np.float32)
+                for at, c in enumerate(parts):
+                    side = sides[at] if at < len(sides) else offered.counts(0, len(ids), *c).T
+                    shared += self.words.counts(a, a + len(raw), *c) @ side
+                raw += self.bonus[0] * np.minimum(shared, self.bonus[1], dtype=float)
             lo, hi = np.searchsorted(gone_q, [a, a + step])
             raw[gone_q[lo:hi] - a, gone_i[lo:hi]] = -np.inf
             least = self.least[a : a + step]
@@ -186,6 +213,7 @@ def blocked_topk(
     exclude: DataFrame | None = None,
     owner_cap: int | None = None,
     block: int = BLOCK,
+    bonus: tuple[float, int] | None = None,
 ) -> DataFrame:
     """(query, item, score, rank): exact top-k by inner product over all items, ties by item.
 
@@ -197,7 +225,8 @@ def blocked_topk(
     and the answers, only the products with both. Counts both inputs to choose the number of blocks.
 
     With `tags` (array) and `boost` in `queries` and `tag` in `items`, a query's boost is added to the
-    items whose tag it has: a product with one-hot vectors, however many tags there are.
+    items whose tag it has: a product with one-hot vectors, however many tags there are. With `bonus` (weight,
+    most) each of an item's `words` (array) that is among the query's `words` adds the weight, `most` times at most.
     """
     tagged = "tags" in queries.columns and "tag" in items.columns
     spark = queries.sparkSession
@@ -219,6 +248,7 @@ def blocked_topk(
         vec,
         (F.col("tags") if tagged else F.lit(None)).cast("array<string>").alias("tags"),
         (F.col("boost") if tagged else F.lit(0.0)).cast("double").alias("boost"),
+        (F.col("words") if bonus else F.lit(None)).cast("array<string>").alias("words"),
     ).filter("vec is not null")
     hidden = spark.createDataFrame([], f"query {q_kind}, item {i_kind}") if exclude is None else exclude
     # under names of its own: both sides of the cogroup may come from one table
@@ -229,23 +259,24 @@ def blocked_topk(
         vec,
         (F.col("owner") if owner_cap else F.lit(None)).cast("string").alias("owner"),
         (F.col("tag") if tagged else F.lit(None)).cast("string").alias("tag"),
+        (F.col("words") if bonus else F.lit(None)).cast("array<string>").alias("words"),
     )
 
     def pack_queries(vectors: pa.Table, gone: pa.Table) -> pa.Table:
         if not vectors.num_rows:
             return pa.table({})
-        names = ("query", "tags", "boost")
+        names = ("query", "tags", "boost", "words")
         lists = {name: _one_list(t.column(name)) for t, some in ((vectors, names), (gone, ("gone_query", "gone_item"))) for name in some}
         return pa.table({"cells": _cells(vectors), **lists})
 
     def pack_items(found: pa.Table) -> pa.Table:
         found = found.sort_by([(c, "ascending") for c in (["owner", "item"] if owner_cap else ["item"])])
-        return pa.table({"cells": _cells(found), **{name: _one_list(found.column(name)) for name in ("item", "owner", "tag")}})
+        return pa.table({"cells": _cells(found), **{name: _one_list(found.column(name)) for name in ("item", "owner", "tag", "words")}})
 
-    left_kind = f"cells binary, query array<{q_kind}>, tags array<array<string>>, boost array<double>, gone_query array<{q_kind}>, gone_item array<{i_kind}>"
+    left_kind = f"cells binary, query array<{q_kind}>, tags array<array<string>>, boost array<double>, words array<array<string>>, gone_query array<{q_kind}>, gone_item array<{i_kind}>"
     left = asking.groupBy("block").cogroup(hidden.groupBy("block")).applyInArrow(pack_queries, left_kind)
     left = cut(left, "query-blocks")
-    right = offered.groupBy("block").applyInArrow(pack_items, f"cells binary, item array<{i_kind}>, owner array<string>, tag array<string>")
+    right = offered.groupBy("block").applyInArrow(pack_items, f"cells binary, item array<{i_kind}>, owner array<string>, tag array<string>, words array<array<string>>")
     right = cut(right, "item-blocks")
     # the blocks of both sides meet where they are read: no block is copied for its partners
     left = left.withColumn("at", F.monotonically_increasing_id()).repartitionByRange(n_q, "at")
@@ -254,7 +285,7 @@ def blocked_topk(
         asked: dict[int, _Best] = {}
         for q, v in pairs:
             if q["at"] not in asked:
-                asked[q["at"]] = _Best(q, k, owner_cap, tagged)
+                asked[q["at"]] = _Best(q, k, owner_cap, tagged, bonus)
             asked[q["at"]].add(v)
         for best in asked.values():
             yield from best.lists()
