@@ -266,3 +266,32 @@ def test_profile_list_makes_no_table_of_pairs(spark):
     d = rc.recommend_from_profile(users, repos, repos.select("repo_id"), topics, 3)
     assert "n_skills" not in d._jdf.queryExecution().optimizedPlan().toString()
     assert d.groupBy("user").count().filter("count = 8").count() == 3
+
+
+def test_bpr_loss_moves_no_item_vector_to_the_negative(spark):
+    from tidemark.operators import training as tr
+
+    rng = np.random.default_rng(5)
+    u, v = rng.normal(size=(4, 3)), rng.normal(size=(6, 3))
+    users = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(u)], "user long, vec array<double>")
+    items = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "item long, vec array<double>")
+    rows = [(a, b, (a + b + c) % 6) for a in range(4) for b in range(3) for c in (1, 2, 2)]
+    d = tr.bpr_loss(spark.createDataFrame(rows, "user long, item long, negative long"), users, items, 0.5)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    # what meets the negatives' vectors holds no item vector
+    assert not any("_i#" in line and "negative#" in line and "Project" in line for line in plan.splitlines())
+    x = np.array([u[a] @ v[b] - u[a] @ v[c] for a, b, c in rows])
+    l2 = np.mean([u[a] @ u[a] + v[b] @ v[b] + v[c] @ v[c] for a, b, c in rows]) / 2
+    got = d.first()
+    assert np.allclose([got["bpr"], got["l2"], got["loss"]], [np.log1p(np.exp(-x)).mean(), l2, np.log1p(np.exp(-x)).mean() + 0.5 * l2])
+
+
+def test_claims_are_checked_by_all_cores(spark, tmp_path):
+    """A part table of one small file was one task's."""
+    from checks.registry import QUERIES
+    import checks.q_answers  # noqa: F401
+
+    part = spark.range(40).selectExpr("id as p_partkey", "'Brand#1' as p_brand", "'red bolt' as p_name", "'MEDIUM' as p_type", "cast(id as int) as p_size")
+    part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    d = QUERIES["faithfulness_check"](spark, str(tmp_path))
+    assert d.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and d.count() > 0
