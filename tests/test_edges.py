@@ -193,3 +193,19 @@ def test_candidate_sets_are_not_broadcast(spark, monkeypatch):
     plans.append(metrics._jdf.queryExecution().executedPlan().toString())
     assert metrics.count() == 18
     assert len(plans) > 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_resamples_hold_arrays_of_values(spark):
+    """A task got one row for each user and series; now one for each series and piece, with the same means."""
+    n = 200
+    rows = [(f"s{k}", u, None if (k, u % 7) == (1, 0) else float((u * 7919 + k) % 101)) for k in range(2) for u in range(n)]
+    values = spark.createDataFrame(rows, "series string, user long, value double")
+    got = {(r["series"], r["b"]): r["mean"] for r in resample_means(values, (), 20).collect()}
+    draws = list(plain_resamples(n, n, 20))
+    for (s, b), mean in got.items():
+        of = {u: v for name, u, v in rows if name == s}
+        drawn = [of[u] for u in draws[b] if of[u] is not None]
+        assert abs(mean - sum(drawn) / len(drawn)) < 1e-9
+    assert len(got) == 40
+    plan = resample_means(values, (), 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(slot" in plan
