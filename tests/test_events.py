@@ -186,3 +186,17 @@ def test_leak_search_without_arrow(spark):
         assert pv.anonymise(raw, b"s").count() == 1
     finally:
         spark.conf.set(name, before)
+
+
+def test_open_issues_are_moved_once_for_each_wide_bucket(spark):
+    from tidemark.operators import issues as iss
+
+    day = 86_400
+    issues = spark.createDataFrame([(1, n, n * day, (n + 100) * day) for n in range(50)] + [(1, 99, 0, None)], "repo_id int, number int, created long, closed long")
+    cases = spark.createDataFrame([(1, 60 * day), (1, 700 * day)], "repo_id int, t long")
+    d = iss.open_at(cases, issues)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and str(120 * day) in plan
+    got = {(r["t"], r["number"]) for r in d.collect()}
+    want = {(60 * day, n) for n in [*range(50), 99]} | {(700 * day, 99)}
+    assert got == want
