@@ -200,6 +200,7 @@ def labels_and_issues(spark, sf):
         F.expr(LABEL_OF).alias("label"),
         F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).alias("created"),
     )
+    ev = cut(ev, "labelled")
     labels = (
         ev.groupBy("repo_id", "label")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -209,16 +210,22 @@ def labels_and_issues(spark, sf):
     return labels, ev
 
 
-def train_activity(spark, sf):
-    ext = el.external_events(raw_events(spark, sf).select("*"))
-    return el.repo_activity(ext.filter(F.col("ts") < I.VAL_START), 5)
+def external(spark, sf):
+    """(external events, creation of each repository); the log is parsed once for all that read them."""
+    raw = cut(raw_events(spark, sf).select("type", "actor_id", "login", "repo_id", "repo_name", "ts", "created_us"), "raw")
+    created = raw.groupBy("repo_id").agg(F.min("ts").alias("created"))
+    return cut(el.external_events(raw), "external"), cut(created, "created")
 
 
-def beginner(spark, sf):
+def train_activity(ext):
+    return cut(el.repo_activity(ext.filter(F.col("ts") < I.VAL_START), 5), "activity")
+
+
+def beginner(spark, sf, activity=None):
     labels, issues = labels_and_issues(spark, sf)
-    return sc.beginner_repos(
-        train_activity(spark, sf), labels, issues, I.TRAIN_START, I.VAL_START, 10, 60, 25
-    )
+    if activity is None:
+        activity = train_activity(external(spark, sf)[0])
+    return sc.beginner_repos(activity, labels, issues, I.TRAIN_START, I.VAL_START, 10, 60, 25)
 
 
 @query("beginner_repos", f"WITH {BEGINNER} SELECT * FROM beg")
@@ -232,17 +239,16 @@ cold AS (SELECT repo_id, n_actors FROM later WHERE repo_id NOT IN (SELECT repo_i
   AND repo_id IN (SELECT repo_id FROM meta WHERE created >= {I.VAL_START} AND NOT is_fork))"""
 
 
-def cold(spark, sf):
-    raw = raw_events(spark, sf)
-    later = el.repo_activity(el.external_events(raw).filter(F.col("ts") >= I.VAL_START), 5)
-    meta = raw.groupBy("repo_id").agg(F.min("ts").alias("created"))
-    meta = meta.withColumn("is_fork", F.col("repo_id") % 7 == 0)
-    return sc.cold_repos(later, train_activity(spark, sf), meta, I.VAL_START, 5)
+def cold(ext, created, activity):
+    later = el.repo_activity(ext.filter(F.col("ts") >= I.VAL_START), 5)
+    meta = created.withColumn("is_fork", F.col("repo_id") % 7 == 0)
+    return sc.cold_repos(later, activity, meta, I.VAL_START, 5)
 
 
 @query("cold_repos", f"WITH {ACT_TRAIN}, {COLD} SELECT * FROM cold")
 def _(spark, sf):
-    return cold(spark, sf)
+    ext, created = external(spark, sf)
+    return cold(ext, created, train_activity(ext))
 
 
 REPO_SET = f"""{BEGINNER}, {COLD}, broad AS (SELECT repo_id, count(DISTINCT actor_id) AS n_shared FROM ext_t
@@ -254,9 +260,11 @@ rset AS (SELECT repo_id, 'beginner' AS "group" FROM beg UNION ALL
 
 
 def chosen_repos(spark, sf):
-    beg = cut(beginner(spark, sf), "beginner")
-    ext = el.external_events(raw_events(spark, sf)).filter(F.col("ts") < I.VAL_START)
-    return sc.repo_set(beg, el.co_touch(ext, beg, 10), cold(spark, sf), 30, 10)
+    ext, created = external(spark, sf)
+    activity = train_activity(ext)
+    beg = cut(beginner(spark, sf, activity), "beginner")
+    shared = el.co_touch(ext.filter(F.col("ts") < I.VAL_START), beg, 10)
+    return sc.repo_set(beg, shared, cold(ext, created, activity), 30, 10)
 
 
 @query("repo_set", f'WITH {REPO_SET} SELECT repo_id, "group" FROM rset')
