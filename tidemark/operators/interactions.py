@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.scale import cut, global_index
+from tidemark.scale import cut, global_index, unbounded
+
+FEW_KEYS = 200_000  # key lists up to this size are broadcast
 
 
 def first_rating(ratings: DataFrame) -> DataFrame:
@@ -23,28 +25,51 @@ def to_implicit(ratings: DataFrame, threshold: float = 4) -> DataFrame:
     return ratings.filter(F.col("rating") >= threshold).select("user", "item", "ts")
 
 
-def _rare(df: DataFrame, column: str, k: int) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") < k).select(column)
+def _listed(rows: DataFrame, keys: dict[str, DataFrame], few: bool) -> DataFrame:
+    """`rows` with `round`: the first round that listed one of the row's keys, null if none did.
+
+    `keys`: by column, key and round. `few`: the lists are short enough to be broadcast.
+    """
+    for column, listed in keys.items():
+        listed = listed.withColumnRenamed("round", f"_{column}")
+        rows = rows.join(F.broadcast(listed) if few else unbounded(listed), column, "left")
+    marks = [f"_{c}" for c in keys]
+    return rows.withColumn("round", F.least(*marks)).drop(*marks)
 
 
 def k_core(df: DataFrame, k: int = 5) -> DataFrame:
     """Drop rows of users or items with fewer than `k` rows until every count is at least `k`.
 
-    Both counts of a pass are taken before the pass drops anything. The join sides are the *rare*
-    keys, which by definition have few rows each, so a frequent key never meets a match; the pass
-    result is written to the shared folder, which also ends the lineage.
+    Both counts of a pass are taken before the pass drops anything. All rows are counted once; a later pass
+    counts only what the pass before dropped and takes it off. Rows are marked by the lists of *rare* keys,
+    which by definition have few rows each, so a frequent key never meets a match. Rows are written again
+    to the shared folder only when a quarter of them are gone or the lists are long; until then a pass reads them and moves
+    nothing but the keys and rows it drops.
     """
-    current = cut(df, "core")
-    rows = current.count()
+    columns = ("user", "item")
+    one = F.count(F.lit(1))
+    rows = cut(df, "core")
+    n_rows, n_gone, r = rows.count(), 0, 0
+    # a row without a key is never dropped for that key
+    counts = {c: cut(rows.filter(F.col(c).isNotNull()).groupBy(c).agg(one.alias("n")), f"{c}-counts") for c in columns}
+    listed: dict[str, DataFrame] = {}
     while True:
-        kept = current.join(_rare(current, "user", k), "user", "left_anti").join(
-            _rare(current, "item", k), "item", "left_anti"
-        )
-        kept = cut(kept.select(*df.columns), "core")
-        left = kept.count()
-        if left == rows:
-            return kept
-        current, rows = kept, left
+        rare = {c: cut(d.filter(F.col("n") < k).select(c, F.lit(r).alias("round")), f"rare-{c}") for c, d in counts.items()}
+        if not sum(d.count() for d in rare.values()):
+            return rows if not listed else cut(_listed(rows, listed, True).filter("round is null").select(*df.columns), "core")
+        listed = {c: listed[c].unionByName(d) if listed else d for c, d in rare.items()}
+        few = sum(d.count() for d in listed.values()) <= FEW_KEYS
+        marked = _listed(rows, listed, few)
+        dropped = cut(marked.filter(F.col("round") == r).select(*columns), "dropped")
+        n_gone += dropped.count()
+        for c in columns:
+            off = dropped.groupBy(c).agg(one.alias("off"))
+            left = counts[c].join(unbounded(off), c, "left").select(c, (F.col("n") - F.coalesce("off", F.lit(0))).alias("n"))
+            counts[c] = cut(left.filter("n > 0"), f"{c}-counts")
+        if 4 * n_gone > n_rows or not few:
+            rows = cut(marked.filter("round is null").select(*df.columns), "core")
+            n_rows, n_gone, listed = n_rows - n_gone, 0, {}
+        r += 1
 
 
 def id_map(df: DataFrame, column: str) -> DataFrame:
