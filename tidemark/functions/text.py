@@ -3,20 +3,21 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# fixed values: what is removed from free text, in this order
+# fixed values: what is removed from free text, in this order, and what a text must hold for it
 SCRUB_STEPS = (
-    (r"(?s)```.*?```", " "),  # code fence
-    (r"!\[[^\]]*\]\([^)]*\)", " "),  # image
-    (r"\[([^\]]*)\]\([^)]*\)", "$1"),  # link, label stays
-    (r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "[email]"),
-    (r"(?U)https?://\S*|www\.\S+", " "),
-    (r"<[^>]+>", " "),  # HTML tag
-    (r"(?U)(?<![\w.])@[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})", "@user"),
+    (r"(?s)```.*?```", " ", ("```",)),  # code fence
+    (r"!\[[^\]]*\]\([^)]*\)", " ", ("![",)),  # image
+    (r"\[([^\]]*)\]\([^)]*\)", "$1", ("](",)),  # link, label stays
+    (r"(?U)[\w.+-]+@[\w-]+\.[\w.-]+", "[email]", ("@",)),
+    (r"(?U)https?://\S*|www\.\S+", " ", ("://", "www.")),
+    (r"<[^>]+>", " ", ("<",)),  # HTML tag
+    (r"(?U)(?<![\w.])@[A-Za-z0-9](?:[A-Za-z0-9-]{0,38})", "@user", ("@",)),
 )
 # fixed values: label phrases that mark an issue for newcomers
 BEGINNER_LABELS = (
@@ -36,6 +37,11 @@ BEGINNER_LABELS = (
 TOKEN = r"[a-z0-9+#.]+"
 
 
+def bound(column: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` reads it."""
+    return F.get(F.transform(F.array(column), body), F.lit(0))
+
+
 def collapse(column: Column) -> Column:
     """Whitespace runs to one space, none at the ends."""
     return F.trim(F.regexp_replace(column, r"(?U)\s+", " "))
@@ -47,11 +53,21 @@ def truncate_words(column: Column, n: int) -> Column:
     return F.when(F.length(column) > n, F.concat(head, F.lit(" ..."))).otherwise(column)
 
 
+def _step(pattern: str, replacement: str, signs: Sequence[str]) -> Callable[[Column], Column]:
+    """The replacement where a text holds a sign: looking for it takes far less time than the expression."""
+
+    def step(text: Column) -> Column:
+        held = reduce(lambda a, b: a | b, [F.contains(text, F.lit(s)) for s in signs])
+        return F.when(held, F.regexp_replace(text, pattern, replacement)).otherwise(text)
+
+    return step
+
+
 def scrub_text(column: Column, max_chars: int | None = None) -> Column:
     """Plain text without names, addresses, links, markup or code; null becomes ''."""
     text = F.coalesce(column, F.lit(""))
-    for pattern, replacement in SCRUB_STEPS:
-        text = F.regexp_replace(text, pattern, replacement)
+    for pattern, replacement, signs in SCRUB_STEPS:
+        text = bound(text, _step(pattern, replacement, signs))
     text = collapse(text)
     return text if max_chars is None else truncate_words(text, max_chars)
 
