@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from tidemark.functions.labels import DIFFICULTIES
 from tidemark.functions.prompts import prompt_key
-from tidemark.functions.text import normalise
+from tidemark.functions.text import bound, normalise
 from tidemark.operators.evaluation import comparable, gain, ideal_gain
 from tidemark.operators.split import hash_key
 from tidemark.operators.training import MAX_ROUNDS, draw, unheld
@@ -125,23 +125,29 @@ def issue_features(responses: DataFrame, batches: DataFrame) -> DataFrame:
 
 def skill_grounded(skill: Column, source: Column) -> Column:
     """The normalised skill occurs in the normalised source."""
+    return _occurs(skill, normalise(source))
+
+
+def _occurs(skill: Column, base: Column) -> Column:
     s = normalise(skill)
-    return (F.length(s) > 0) & F.contains(normalise(source), s)
+    return (F.length(s) > 0) & F.contains(base, s)
 
 
 def evidence_grounded(evidence: Column, source: Column) -> Column:
     """At least half of the four-word windows of the evidence occur in the source; shorter
     evidence must occur as a whole."""
+
+    def check(both: Column) -> Column:
+        text, base, words = both["text"], both["base"], both["words"]
+        n = F.size(words)
+        starts = F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))
+        windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))
+        share = F.size(F.filter(windows, lambda w: F.contains(base, w))) / F.size(starts)
+        return F.when(F.length(text) == 0, False).when(n < 4, F.contains(base, text)).otherwise(share >= 0.5)
+
+    # both texts are normalised once, not once for every window
     text = normalise(evidence)
-    words = F.split(text, " ")
-    n = F.size(words)
-    base = normalise(source)
-    starts = F.sequence(F.lit(1), F.greatest(n - 3, F.lit(1)))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(4)), " "))
-    found = F.size(F.filter(windows, lambda w: F.contains(base, w)))
-    share = found / F.size(windows)
-    whole = F.contains(base, text)
-    return F.when(F.length(text) == 0, False).when(n < 4, whole).otherwise(share >= 0.5)
+    return bound(F.struct(text.alias("text"), F.split(text, " ").alias("words"), normalise(source).alias("base")), check)
 
 
 def grounding_report(repos: DataFrame, issues: DataFrame) -> DataFrame:
@@ -154,8 +160,8 @@ def grounding_report(repos: DataFrame, issues: DataFrame) -> DataFrame:
     def skill_counts(df: DataFrame) -> Column:
         language = [F.coalesce("language", F.lit(""))] if "language" in df.columns else []
         known = F.concat_ws(" ", "source", *language)
-        hits = F.filter("skills", lambda s: skill_grounded(s, known))
-        return F.size(hits)
+        # the source is normalised once, not once for every skill
+        return bound(normalise(known), lambda base: F.size(F.filter("skills", lambda s: _occurs(s, base))))
 
     r = repos.select("parsed", F.size("skills").alias("n"), skill_counts(repos).alias("hits"))
     r = r.agg(
