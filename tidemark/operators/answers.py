@@ -15,7 +15,9 @@ from tidemark.functions.text import bound, normalise
 from tidemark.operators.evaluation import comparable, gain, ideal_gain
 from tidemark.operators.split import hash_key
 from tidemark.operators.training import MAX_ROUNDS, draw, unheld
-from tidemark.scale import cut, unbounded
+from tidemark.scale import cut, portions, unbounded
+
+PORTION = 200_000  # rankings that a task takes apart
 
 # fixed values: general words a claim is checked for, besides the catalog's own
 CLAIM_WORDS = (
@@ -213,7 +215,12 @@ def parse_ranking(text: Column, n: Column) -> tuple[Column, Column]:
 
 def borda(rankings: DataFrame) -> DataFrame:
     """(list, candidate, points, place): sum of n - position over the rankings of a list, ties by
-    the first ranking. `rankings`: list, ranking (number from 0), order (array of candidates)."""
+    the first ranking. `rankings`: list, ranking (number from 0), order (array of candidates).
+
+    An order becomes a row per candidate inside the task that holds its list, so tasks are kept to about
+    `PORTION` orders however many there are. Writes the rankings once, to count them.
+    """
+    rankings = portions(cut(rankings.select("list", "ranking", "order"), "rankings"), PORTION, "list")
     rows = rankings.select(
         "list", "ranking", F.size("order").alias("n"), F.posexplode("order").alias("pos", "candidate")
     )

@@ -67,6 +67,12 @@ def spread(df: DataFrame, *keys: str, per_core: int = 4) -> DataFrame:
     return df.repartition(per_core * df.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+def portions(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """`df` hashed by `keys` to tasks of about `rows` rows, or as it is if one task could take it. Counts `df`."""
+    n = df.count()
+    return df if n <= rows else df.repartition(min(-(-n // rows), 100_000), *keys)
+
+
 def count_up(df: DataFrame, n: str, name: str, step: int = 100_000) -> DataFrame:
     """Each row once per number 0 .. n - 1 (n > 0), counted in steps so that no array is long."""
     pieces = df.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
