@@ -209,3 +209,92 @@ def test_resamples_hold_arrays_of_values(spark):
     assert len(got) == 40
     plan = resample_means(values, (), 20)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(slot" in plan
+
+
+def test_places_are_counted_in_bounded_tasks(spark, monkeypatch):
+    from tidemark.operators import answers as an
+
+    rows = [(n, r, [0, 1, 2] if r else [2, 1, 0]) for n in range(40) for r in range(2)]
+    monkeypatch.setattr(an, "PORTION", 10)
+    d = an.borda(spark.createDataFrame(rows, "list long, ranking int, order array<int>"))
+    assert "REPARTITION_BY_NUM" in d._jdf.queryExecution().executedPlan().toString()
+    got = {(r["list"], r["candidate"]): (r["points"], r["place"]) for r in d.collect()}
+    assert got == {(n, c): (4, 3 - c) for n in range(40) for c in range(3)}
+
+
+def test_sources_are_normalised_once(spark):
+    from tidemark.operators import answers as an
+
+    text = "a b c d e f g h " * 20
+    d = spark.createDataFrame([("x", text, "a b c d e f x y"), ("y", text, "")], "id string, source string, evidence string")
+    d = d.select("id", an.evidence_grounded(d["evidence"], d["source"]).alias("copied"))
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(lower(source") == 1 and plan.count("regexp_replace(lower(evidence") == 2
+    assert {r["id"]: r["copied"] for r in d.collect()} == {"x": True, "y": False}
+
+
+def test_texts_without_a_sign_are_not_searched(spark):
+    import re
+
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import text as tx
+
+    texts = ["plain words", "a@b.co and @me", "see ```x``` ![i](u) [l](u)", "http:/ no, https://h/p and www.x", "<b>bold</b> a < b", None]
+    d = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id int, t string")
+    plain = F.coalesce("t", F.lit(""))
+    for pattern, replacement, signs in tx.SCRUB_STEPS:
+        plain = F.regexp_replace(plain, pattern, replacement)
+        for t in filter(None, texts):
+            java = pattern.replace("(?U)", "")
+            assert not re.search(java, t) or any(s in t for s in signs)
+    rows = d.select(tx.scrub_text(F.col("t")).alias("a"), tx.collapse(plain).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows]
+
+
+def test_repository_set_parses_the_log_once(spark, monkeypatch):
+    from checks import q_events
+
+    calls = []
+    real = q_events.raw_events
+    monkeypatch.setattr(q_events, "raw_events", lambda *a: calls.append(a) or real(*a))
+    q_events.chosen_repos(spark, "/root/testdata/sf0.001").collect()
+    assert len(calls) == 1
+
+
+def test_index_moves_no_vector_to_its_candidates(spark):
+    import numpy as np
+
+    from tidemark.operators import vectorindex as vi
+
+    m = np.random.default_rng(0).normal(size=(300, 4))
+    items = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(m)], "item long, vec array<double>")
+    index = vi.build_index(items, 4)
+    d = vi.index_topk(index, items.withColumnRenamed("item", "query"), 5, 4)
+    plan = d._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Join") == plan.count("BroadcastHashJoin") == 1
+    got = {(r["query"], r["rank"]): r["item"] for r in d.collect()}
+    best = np.argsort(-(m @ m.T), axis=1)[:, :5]
+    assert got == {(q, r + 1): best[q, r] for q in range(300) for r in range(5)}
+
+
+def test_best_rows_are_kept_by_slices(monkeypatch):
+    import numpy as np
+    from pyspark.sql import Row
+
+    from tidemark.operators import vectorscore as vs
+
+    monkeypatch.setattr(vs, "SLICE", 7)
+    monkeypatch.setattr(vs, "TILE_CELLS", 60)
+    rng = np.random.default_rng(0)
+    q, v = rng.normal(size=(30, 4)), rng.normal(size=(40, 4))
+    none = {"tags": [None] * 30, "boost": [0.0] * 30, "words": [None] * 30, "gone_query": [3], "gone_item": [int(np.argmax(v @ q[3]))]}
+    best = vs._Best(Row(query=list(range(30)), cells=q.tobytes(), **none), 5, None, False)
+    for a in (0, 20):
+        some = {"item": list(range(a, a + 20)), "owner": [None] * 20, "tag": [None] * 20, "words": [None] * 20}
+        best.add(Row(cells=v[a : a + 20].tobytes(), **some))
+    assert max(len(d) for d in best.kept.values()) <= 7 * 5
+    got = {(a, b) for x in best.lists() for a, b in zip(x[0], x[1], strict=True)}
+    scores = q @ v.T
+    scores[3, np.argmax(scores[3])] = -np.inf
+    assert got == {(a, int(b)) for a in range(30) for b in np.argsort(-scores[a])[:5]}
