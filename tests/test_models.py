@@ -112,6 +112,34 @@ def test_propagation(spark):
     one = {(r["side"], r["node"]): r["vec"][0] for r in gr.graph_propagate(edges, start, 1, 1).collect()}
     assert one[("u", 1)] == pytest.approx((2 + 4 / np.sqrt(2)) / 2)
 
+@pytest.mark.parametrize("sizes", [{}, {"cells": 30}, {"most": 7, "cells": 30}])
+def test_propagation_moves_no_vectors(spark, monkeypatch, sizes):
+    """Small blocks, pieces of a hub's edges, nodes without vectors or edges, a node that comes twice."""
+    rng = np.random.default_rng(1)
+    edges = [e for u in range(30) for i in {0, *rng.choice(20, 4).tolist()} for e in (("u", u, "i", i, 0.5 + i), ("i", i, "u", u, 1.0 + u))]
+    edges += [("u", 1, "x", 5, 1.0), ("x", 7, "u", 3, 2.0), ("u", 2, "u", 4, 0.5)]
+    start = [(s, n, rng.random(3).tolist()) for s, m in (("u", 25), ("i", 15)) for n in range(m)] + [("u", 3, [1.0, 2.0, 3.0]), ("z", 9, [1.0] * 3), ("i", 19, None)]
+    now: dict = {}
+    for s, n, v in start:
+        if v is not None:
+            now[s, n] = now.get((s, n), 0) + np.array(v)
+    want = dict(now)
+    for _ in range(2):
+        then: dict = {}
+        for a, b, c, d, w in edges:
+            if (a, b) in now:
+                then[c, d] = then.get((c, d), 0) + w * now[a, b]
+        now = then
+        want = {k: want.get(k, 0) + now.get(k, 0) for k in {*want, *now}}
+    written = []
+    monkeypatch.setattr(gr, "cut", lambda df, label="cut", *more: (written.append((label, df._jdf.queryExecution().toString())), scale.cut(df, label, *more))[1])
+    e = spark.createDataFrame(edges, "src_side string, src long, dst_side string, dst long, w double")
+    got = gr.graph_propagate(e, spark.createDataFrame(start, "side string, node long, vec array<double>"), 2, 3, **sizes)
+    got = {(r["side"], r["node"]): r["vec"] for r in got.collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k] / 3) for k in want)
+    layers = [plan for label, plan in written if label.startswith("layer")]
+    assert layers and not any("Exchange" in plan for plan in layers)
+
 
 def test_factor_model_beats_popularity_on_clusters(spark):
     rng = np.random.default_rng(4)
