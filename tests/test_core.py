@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter, defaultdict
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -296,3 +297,15 @@ def test_core_writes_rows_again_only_when_many_are_gone(spark, monkeypatch, few)
     assert Counter(map(tuple, got)) == Counter(want)
     passes = sum(label == "dropped" for label in written)
     assert passes > 4 and (few == 3 or written.count("core") == 2)
+
+
+def test_seen_pairs_are_left_out_where_scores_are(parts, monkeypatch):
+    """Masked scores come out of the blocks: nothing is moved after the product, and rows are those of the masked table."""
+    monkeypatch.setattr(nb, "SIM_ROWS", 40)
+    train = parts.filter("part = 'train'")
+    fitted = nb.itemknn_fit(train, 5, 10.0)
+    want = ev.mask_seen(nb.itemknn_score(train, fitted), parts, "test")
+    got = ev.mask_seen(partial(nb.itemknn_score, train, fitted), parts, "test")
+    assert "Exchange" not in got._jdf.queryExecution().toString()
+    some = lambda d: {(r["user"], r["item"]): pytest.approx(r["score"]) for r in d.collect()}
+    assert some(got) == some(want) and got.count() == want.count() > 0
