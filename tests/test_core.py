@@ -309,3 +309,23 @@ def test_seen_pairs_are_left_out_where_scores_are(parts, monkeypatch):
     assert "Exchange" not in got._jdf.queryExecution().toString()
     some = lambda d: {(r["user"], r["item"]): pytest.approx(r["score"]) for r in d.collect()}
     assert some(got) == some(want) and got.count() == want.count() > 0
+
+
+def test_nearest_by_several_similarities_at_once(spark):
+    """The rows of an item are moved once for all similarities, and ranks are those of each of them alone."""
+    rng = random.Random(3)
+    sims = [(i, j, rng.randrange(-1, 4), rng.randrange(0, 3)) for i in range(8) for j in range(8) if i != j]
+    table = spark.createDataFrame(sims, "item long, neighbour long, a int, b int")
+    got = nb.nearest_by(table, 3, {"a": F.col("a"), "b": F.col("b") * 2})
+    assert got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    found = got.collect()
+    for c, x in (("a", F.col("a")), ("b", F.col("b") * 2)):
+        want = nb.nearest(table.withColumn("sim", x).filter("sim > 0"), 3).collect()
+        assert {(r["item"], r["neighbour"], r["rank_" + c]) for r in found if r["rank_" + c]} == {(r["item"], r["neighbour"], r["rank"]) for r in want}
+
+
+def test_a_list_moves_as_one_row(spark):
+    top = spark.createDataFrame([(0, 3, 1), (0, 1, 2), (1, 7, 1)], "user long, item long, rank int")
+    tgt = spark.createDataFrame([(0, 1), (0, 9), (2, 7)], "user long, item long")
+    got = {(r["user"], r["item"]): r["rank"] for r in ev.placed(tgt, top, 2, ["user"]).collect()}
+    assert got == {(0, 1): 2, (0, 9): None, (2, 7): None}
