@@ -323,3 +323,26 @@ def test_claims_are_checked_by_all_cores(spark, tmp_path):
     part.coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
     d = QUERIES["faithfulness_check"](spark, str(tmp_path))
     assert d.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism and d.count() > 0
+
+
+def test_excluded_pairs_are_scored_where_vectors_meet(spark, monkeypatch):
+    """Scores that 4-byte numbers cannot tell apart are ordered by their 8-byte products; excluded pairs come with theirs."""
+    monkeypatch.setattr(vs, "MIN_BLOCK", 8)
+    monkeypatch.setattr(vs, "FIRST", 5)
+    rng = np.random.default_rng(2)
+    base, q = rng.normal(size=6), rng.normal(size=(20, 6))
+    v = base + 1e-10 * rng.normal(size=(60, 6))
+    tags = [["a"], ["b"], [], None]
+    queries = spark.createDataFrame([(u, q[u].tolist(), tags[u % 4], 1e-10) for u in range(20)], "query long, vec array<double>, tags array<string>, boost double")
+    items = spark.createDataFrame([(i, v[i].tolist(), f"o{i % 9}", "abc"[i % 3]) for i in range(60)], "item long, vec array<double>, owner string, tag string")
+    gone = [(u, (u * 7 + j) % 60) for u in range(20) for j in range(3)]
+    out = vs.blocked_topk(queries, items, 4, spark.createDataFrame([*gone, (99, 1), (1, 99)], "query long, item long"), owner_cap=2, block=25, scored=True).collect()
+    score = {(u, i): q[u] @ v[i] + (1e-10 if "abc"[i % 3] in (tags[u % 4] or []) else 0) for u in range(20) for i in range(60)}
+    assert {(r["query"], r["item"]) for r in out if r["rank"] is None} == set(gone)
+    assert all(r["score"] == pytest.approx(score[r["query"], r["item"]], abs=1e-14) for r in out)
+    for u in range(20):
+        want, held = [], Counter()
+        for i in sorted((i for i in range(60) if (u, i) not in gone), key=lambda i: (-round(score[u, i], 12), i)):
+            held[i % 9] += 1
+            want += [i] if held[i % 9] <= 2 else []
+        assert [r["item"] for r in sorted((r for r in out if r["query"] == u and r["rank"]), key=lambda r: r["rank"])] == want[:4]
