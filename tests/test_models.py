@@ -151,6 +151,17 @@ def test_factor_model_beats_popularity_on_clusters(spark):
     assert share > 0.9
 
 
+def test_factor_model_drops_files_of_earlier_iterations(spark, monkeypatch):
+    """Spark deletes the shuffle files of an iteration only at a checkpoint."""
+    from pyspark.ml import recommendation
+
+    made, als = [], recommendation.ALS
+    monkeypatch.setattr(recommendation, "ALS", lambda **k: (made.append(k), als(**k))[1])
+    train = spark.createDataFrame([(u, (u + i) % 6) for u in range(8) for i in range(3)], "user long, item long")
+    tr.implicit_mf(train, rank=2, iterations=3)
+    assert made[0]["checkpointInterval"] <= 2 and made[0]["maxIter"] == 3
+
+
 def test_negatives(spark, random_pairs):
     index = spark.range(80).select(F.col("id").alias("item"), F.col("id").alias("rank"))
     neg = tr.sample_negatives(random_pairs, index, 80, 3)
