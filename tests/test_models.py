@@ -155,11 +155,11 @@ def test_factor_model_drops_files_of_earlier_iterations(spark, monkeypatch):
     """Spark deletes the shuffle files of an iteration only at a checkpoint."""
     from pyspark.ml import recommendation
 
-    made, als = [], recommendation.ALS
-    monkeypatch.setattr(recommendation, "ALS", lambda **k: (made.append(k), als(**k))[1])
+    made, fit = [], recommendation.ALS.fit
+    monkeypatch.setattr(recommendation.ALS, "fit", lambda self, *more: (made.append(self), fit(self, *more))[1])
     train = spark.createDataFrame([(u, (u + i) % 6) for u in range(8) for i in range(3)], "user long, item long")
     tr.implicit_mf(train, rank=2, iterations=3)
-    assert made[0]["checkpointInterval"] <= 2 and made[0]["maxIter"] == 3
+    assert made[0].getCheckpointInterval() <= 2 and made[0].getMaxIter() == 3
 
 
 def test_negatives(spark, random_pairs):
@@ -357,3 +357,14 @@ def test_excluded_pairs_are_scored_where_vectors_meet(spark, monkeypatch):
             held[i % 9] += 1
             want += [i] if held[i % 9] <= 2 else []
         assert [r["item"] for r in sorted((r for r in out if r["query"] == u and r["rank"]), key=lambda r: r["rank"])] == want[:4]
+
+
+def test_ages_are_not_moved_with_candidates(spark):
+    from tidemark.operators import issues as iss
+
+    rows = [(c, 1_000_000, n, 1_000_000 - 86_400 * n, n == c, 1.0, 0.5, float(n)) for c, ns in ((1, (1, 2)), (3, (4, 5)), (6, (6,))) for n in ns]
+    d = spark.createDataFrame(rows, "case long, t long, number long, created long, is_linked boolean, diff double, skill double, age double")
+    out = iss.usable_cases(d)
+    assert out.columns == d.columns and sorted(map(tuple, out.collect())) == sorted(r for r in rows if r[0] == 1)
+    exchanged = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Project" in x]
+    assert not any("age#" in x and "AS age" not in x for x in exchanged)
