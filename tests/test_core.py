@@ -325,7 +325,16 @@ def test_nearest_by_several_similarities_at_once(spark):
 
 
 def test_a_list_moves_as_one_row(spark):
-    top = spark.createDataFrame([(0, 3, 1), (0, 1, 2), (1, 7, 1)], "user long, item long, rank int")
+    top = spark.createDataFrame([(0, None, 1), (0, 1, 2), (1, 7, 1)], "user long, item long, rank int")
     tgt = spark.createDataFrame([(0, 1), (0, 9), (2, 7)], "user long, item long")
     got = {(r["user"], r["item"]): r["rank"] for r in ev.placed(tgt, top, 2, ["user"]).collect()}
     assert got == {(0, 1): 2, (0, 9): None, (2, 7): None}
+
+
+def test_seen_null_items_hide_nothing(spark):
+    held = spark.createDataFrame([(0, 1), (0, 2), (1, 2), (1, 3), (2, None)], "user long, item long")
+    sims = spark.createDataFrame([(i, j, 0.5) for i in range(1, 5) for j in range(1, 5) if i != j], "item long, neighbour long, sim double")
+    hidden = spark.createDataFrame([(0, None), (1, 3), (None, 4)], "user long, item long")
+    whole = {(r["user"], r["item"]) for r in nb.itemknn_score(held, sims).collect()}
+    got = {(r["user"], r["item"]) for r in nb.itemknn_score(held, sims, users=held, hidden=hidden).collect()}
+    assert (0, 4) in whole and got == whole - {(1, 3)}
